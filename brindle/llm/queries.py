@@ -8,13 +8,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ._common import crc_remainder, shared_dir
+from .backoff_lm import score_texts
 from .decontaminate import find_items
 from .interleave import interleave_shards
 from .language_id import fit, identify
 from .licenses import MIN_DICE, scan_licenses, template_bigrams
 from .packing import pack_documents
 from .secret_scan import RULES, scan_secrets
-from .token_orc import document_starts, ids_as_bytes, read_tokens, write_tokens
+from .token_orc import document_starts, read_tokens, with_checksum, write_tokens
 
 SHARDS = 24
 
@@ -33,8 +34,7 @@ def op1_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = f"{shared_dir(spark)}/tokens"
     write_tokens(_table(spark, sf_dir, "documents"), path)
-    rows = ids_as_bytes(document_starts(read_tokens(spark, path)), "doc_id", "start", "n_tokens")
-    return rows.select("doc_id", "start", "n_tokens", F.crc32("token_bytes").alias("ids_crc32"))
+    return with_checksum(document_starts(read_tokens(spark, path)), "doc_id", "start", "n_tokens")
 
 
 def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,6 +49,11 @@ def op4_interleave(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op5_backoff_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = score_texts(_table(spark, sf_dir, "documents"), crc_remainder(F.col("doc_id"), 7) != 2)
+    return scored.select("doc_id", (~F.col("trained")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op6_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").select("doc_id", "text", "lang", (crc_remainder(F.col("doc_id"), 4) == 2).alias("held_out"))
     model = fit(docs.where("not held_out"))
@@ -73,6 +78,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_token_orc": op2_token_orc,
     "op3_decontaminate": op3_decontaminate,
     "op4_interleave": op4_interleave,
+    "op5_backoff_lm": op5_backoff_lm,
     "op6_language_id": op6_language_id,
     "op7_secrets": op7_secrets,
     "op10_licenses": op10_licenses,
