@@ -48,3 +48,15 @@ def with_fields(df: DataFrame, fields: list[T.StructField]) -> T.StructType:
     """The schema of ``df`` with ``fields`` behind it; same-named columns of ``df`` give way."""
     names = {f.name.lower() for f in fields}
     return T.StructType([f for f in df.schema.fields if f.name.lower() not in names] + fields)
+
+
+#: Ids up to which a list of them is broadcast (about 50 MB); a longer one is joined by a shuffle.
+BROADCAST_IDS = 2_000_000
+
+
+def without_ids(df: DataFrame, id_col: str, ids: DataFrame) -> DataFrame:
+    """The rows of ``df`` whose id is not in the one column of ``ids``; rows with a null id stay."""
+    ids = cut_lineage(ids)
+    name = ids.columns[0]
+    small = ids.count() <= BROADCAST_IDS
+    return df.join(F.broadcast(ids) if small else ids, df[id_col] == ids[name], "left_anti")

@@ -21,6 +21,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ._common import without_ids
+
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
 SIGNATURE = 0.75
@@ -101,4 +103,4 @@ def find_items(
 def drop_contaminated(docs: DataFrame, items: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
     """The rows of ``docs``, with all their columns, in which no item was found; rows with a null id stay."""
     bad = find_items(docs, items, id_col=id_col, **options).select(F.col(id_col).alias("__contaminated")).distinct()
-    return docs.join(bad, docs[id_col] == bad["__contaminated"], "left_anti")
+    return without_ids(docs, id_col, bad)

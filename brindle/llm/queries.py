@@ -13,6 +13,8 @@ from .decontaminate import find_items
 from .interleave import interleave_shards
 from .language_id import fit, identify
 from .licenses import MIN_DICE, scan_licenses, template_bigrams
+from .near_text import near_classes
+from .near_vectors import near_vectors
 from .packing import pack_documents
 from .secret_scan import RULES, scan_secrets
 from .token_orc import document_starts, read_tokens, with_checksum, write_tokens
@@ -68,6 +70,14 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", *counts, "base_sha256", joined.alias("spans"))
 
 
+def op8_near_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_classes(_table(spark, sf_dir, "documents")).withColumn("kept", F.col("doc_id") == F.col("class_id"))
+
+
+def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "line_no", "license", "template_no", F.round("dice", 6).alias("dice"))
@@ -81,6 +91,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op5_backoff_lm": op5_backoff_lm,
     "op6_language_id": op6_language_id,
     "op7_secrets": op7_secrets,
+    "op8_near_text": op8_near_text,
+    "op9_near_vectors": op9_near_vectors,
     "op10_licenses": op10_licenses,
 }
 
@@ -120,7 +132,23 @@ SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, template_no, round(
 QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, template_no) = 1"""
 
 
+#: Links and components of vectors: the closure of links by a recursive query.
+NEAR_VECTORS_SQL = """
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND list_bool_and(list_transform(embedding, lambda x: x IS NOT NULL AND isfinite(x)))
+    AND list_bool_or(list_transform(embedding, lambda x: x <> 0))),
+l AS (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.e) = len(b.e)
+  WHERE list_cosine_similarity(a.e, b.e) >= 0.93),
+r(vec_id, seen) AS (SELECT vec_id, vec_id FROM embeddings UNION SELECT r.vec_id, l.b FROM r JOIN l ON r.seen = l.a),
+c AS (SELECT vec_id, min(seen) AS component_id FROM r GROUP BY vec_id),
+n AS (SELECT a AS vec_id, count(*) AS n_links FROM l GROUP BY a)
+SELECT vec_id, coalesce(n_links, 0) AS n_links, component_id, vec_id = component_id AS kept FROM c LEFT JOIN n USING (vec_id)"""
+
+
 ORACLE_SQL: dict[str, str] = {
     "op3_decontaminate": _contained_sql(),
+    "op9_near_vectors": NEAR_VECTORS_SQL,
     "op10_licenses": _license_sql(),
 }

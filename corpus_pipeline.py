@@ -1,10 +1,71 @@
-"""The corpus pipeline: language, near duplicates, benchmark leaks, secrets, packing."""
+"""The corpus pipeline: language, near duplicates, benchmark leaks, secrets, packing.
+
+Each stage takes (spark, docs, sf_dir), works on all its predecessor kept and
+applies an operator of ``brindle.llm``; all but the last return the columns of
+``docs``. ``run`` applies them to the table ``documents``, each result written
+to the shared folder as Parquet and read again.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from brindle.llm._common import shared_dir
+from brindle.llm.decontaminate import drop_contaminated
+from brindle.llm.language_id import UNKNOWN, fit, identify
+from brindle.llm.near_text import drop_near_duplicates
+from brindle.llm.packing import pack_documents
+from brindle.llm.secret_scan import redact_secrets
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rejects documents without a language: a null text or no letter in it. The model is learnt from the labelled rows."""
+    named = docs.select(F.struct(*docs.columns).alias("row"), F.col("text").alias("text"))
+    kept = identify(named, fit(docs.select("text", "lang"))).where(F.col("lang_pred") != UNKNOWN)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
+
+
+def one_of_each_group(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Keeps the least id of each class of near duplicates."""
+    return drop_near_duplicates(docs)
+
+
+def no_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Drops documents that contain an item of the table ``benchmark``."""
+    return drop_contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Masks secrets in the texts; ``n_chars`` follows the text."""
+    clean = redact_secrets(docs)
+    return clean.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(*docs.columns) if "n_chars" in docs.columns else clean
+
+
+def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Packs all documents into token sequences; one row for each piece."""
+    pieces = pack_documents(docs)
+    return pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_id")
+
+
+STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
+    ("language_id", known_language),
+    ("near_dedup", one_of_each_group),
+    ("decontaminate", no_benchmark_leaks),
+    ("secret_scan", no_secrets),
+    ("pack", packed),
+]
+
+#: Classifiers, sampling and tokenization are not expressible in SQL; tests compare the stages with brute force.
 ORACLE_SQL = None
-STAGES: list = []
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES:
+        path = f"{shared_dir(spark)}/{name}"
+        stage(spark, docs, sf_dir).write.parquet(path)
+        docs = spark.read.parquet(path)
+    return docs
