@@ -3,20 +3,22 @@
 Byte-level BPE first cuts a text by a pattern and then merges within each cut,
 so a word's ids do not depend on its neighbours. A text is therefore cut at
 single spaces, which that pattern never crosses, and each chunk's ids come
-from a bounded cache; the tokenizers library only sees chunks that are new.
-A text in which a space touches other white space goes to it as a whole.
+from a bounded cache; the tokenizers library only sees what is new. New words
+go to its BPE model many at a time. A text in which a space touches other white
+space goes to the whole tokenizer as it is.
 """
 
 from __future__ import annotations
 
-from itertools import chain
+import json
+from itertools import chain, islice
 
 import numpy as np
 
 END_ID = b"\0\0\0\0"
-MAX_CHUNKS = 500_000
-MAX_PIECES = 900_000
+MAX_CHUNKS = 1_000_000
 GROUP_CHARS = 1_000_000
+WORDS_AT_ONCE = 20_000
 
 _encoders: dict[str, "TokenBytes"] = {}
 
@@ -32,19 +34,35 @@ def encoder(path: str | None = None) -> "TokenBytes":
     return _encoders[path]
 
 
+def byte_letters() -> dict[int, str]:
+    """Byte-level BPE writes each byte as a letter: printable ones as they are, the others from U+0100 on."""
+    shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    hidden = [b for b in range(256) if b not in shown]
+    return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
+
+
 class TokenBytes:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     def __init__(self, path: str):
         import public_tokenizers
         import regex
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, models, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True
         self._cut = regex.compile(public_tokenizers.PATTERN).findall
-        self._chunks: dict[str, bytes] = {}
-        self._pieces: dict[str, bytes] = {}
+        #: The same merges for words that are cut already and written as byte letters.
+        with open(path, encoding="utf-8") as file:
+            model = json.load(file)["model"]
+        merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
+        self._letters = byte_letters()
+        self._line = self._letters[10]
+        self._line_id = model["vocab"][self._line]
+        self._words = Tokenizer(models.BPE(vocab=model["vocab"], merges=merges, cache_capacity=0))
+        self._words.pre_tokenizer = pre_tokenizers.Split(self._line, "isolated")
+        #: Ids of chunks: a key stands for a space and the key, or without a space if it starts with a zero character.
+        self._chunks: dict[str, bytes | None] = {}
 
     def encode_all(self, texts: list[str | None]):
         """Yields the ids of each text, without an end id; a null text has none."""
@@ -61,68 +79,67 @@ class TokenBytes:
     def _encode_group(self, texts: list[str]):
         split = [text.split(" ") for text in texts]
         for parts in split:
-            if parts[0]:
-                parts[0] = "\0" + parts[0]  # no space stands before it
-            else:
-                parts[0] = "\0"
+            parts[0] = "\0" + parts[0]  # no space stands before it
         known = self._chunks
         new = set(chain.from_iterable(split)).difference(known)
         if new:
-            if len(known) + len(new) > MAX_CHUNKS:
-                known.clear()
-                new = set(chain.from_iterable(split))
+            if len(known) > MAX_CHUNKS:
+                # What came first recurs most: the older half stays.
+                known = self._chunks = dict(islice(known.items(), MAX_CHUNKS // 2))
+                new = set(chain.from_iterable(split)).difference(known)
             self._learn(new)
         get = known.__getitem__
         for text, parts in zip(texts, split, strict=True):
             try:
                 yield b"".join(map(get, parts))
             except TypeError:  # a chunk is None: white space touches a space
-                yield self._whole(text)
-
-    def _whole(self, text: str) -> bytes:
-        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+                yield np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn(self, chunks: set[str]) -> None:
         """Adds the ids of new chunks; None stands for chunks that are no unit of their own."""
-        cut, pieces, known = self._cut, self._pieces, self._chunks
-        found: dict[str, list[str]] = {}
+        known = self._chunks
+        words, rest = set(), []
+        tailed: list[tuple[str, str]] = []  # a word and one more character
         for chunk in chunks:
-            if chunk[:1] == "\0":
-                body, text = chunk[1:], chunk[1:]
-                if not body:
-                    known[chunk] = b""
-                    continue
-                loose = body[-1].isspace()
+            if chunk.isalpha():
+                words.add(chunk)
+            elif chunk[:-1].isalpha() and chunk[-1] in ",.;:!?":
+                tailed.append((chunk[:-1], chunk[-1]))
+                if chunk[:-1] not in known:
+                    words.add(chunk[:-1])
+            else:
+                rest.append(chunk)
+        self._learn_words(list(words))
+        if tailed:
+            tail = {c: self._ids(c) for c in ",.;:!?"}
+            known.update((w + c, known[w] + tail[c]) for w, c in tailed)
+        found: dict[str, list[str]] = {}
+        for chunk in rest:
+            first = chunk[:1] == "\0"
+            body = chunk[1:] if first else chunk
+            if first and not body:
+                known[chunk] = b""
+            elif not body or body[-1].isspace() or (not first and body[0].isspace()) or any("\x1c" <= c <= "\x1f" for c in body):
+                known[chunk] = None
             else:
-                body, text = chunk, " " + chunk
-                loose = not body or body[0].isspace() or body[-1].isspace()
-            if loose or any("\x1c" <= c <= "\x1f" for c in body):
-                known[chunk] = None  # type: ignore[assignment]
-                continue
-            found[chunk] = cut(text)
-        new = set(chain.from_iterable(found.values())).difference(pieces)
-        if len(pieces) + len(new) > MAX_PIECES:
-            pieces.clear()
-            new = set(chain.from_iterable(found.values()))
-        words = [x for x in new if x[0] == " " and x[1:].isalpha()]
-        if not self._learn_words(words):
-            words = []
-        rest = list(new.difference(words))
-        for piece, got in zip(rest, self._tokenizer.encode_batch(rest, add_special_tokens=False), strict=True):
-            pieces[piece] = np.array(got.ids, "<u4").tobytes()
-        get = pieces.__getitem__
-        for chunk, cuts in found.items():
-            known[chunk] = b"".join(map(get, cuts))
-
-    def _learn_words(self, words: list[str]) -> bool:
-        """One call for many words, each of which starts with its space; False if they do not come apart again."""
-        if not words:
-            return True
-        got = self._tokenizer.encode("".join(words), add_special_tokens=False)
-        ids, owner = np.array(got.ids, "<u4").tobytes(), np.array(got.word_ids)
-        ends = np.flatnonzero(np.diff(owner)) + 1
-        if len(ends) + 1 != len(words):
-            return False
-        bounds = [0, *(ends * 4).tolist(), len(ids)]
-        self._pieces.update(zip(words, map(lambda a, b: ids[a:b], bounds[:-1], bounds[1:]), strict=True))
-        return True
+                found[chunk] = self._cut(body if first else " " + body)
+        pieces = list(set(chain.from_iterable(found.values())))
+        coded = self._tokenizer.encode_batch(pieces, add_special_tokens=False) if pieces else []
+        get = {p: np.array(e.ids, "<u4").tobytes() for p, e in zip(pieces, coded, strict=True)}.__getitem__
+        known.update((chunk, b"".join(map(get, cuts))) for chunk, cuts in found.items())
+
+    def _ids(self, text: str) -> bytes:
+        return np.array(self._tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def _learn_words(self, words: list[str]) -> None:
+        """Words of letters only, each with a space before it; a line end between words shows where they end."""
+        for first in range(0, len(words), WORDS_AT_ONCE):
+            part = words[first : first + WORDS_AT_ONCE]
+            written = " " + "\n ".join(part)
+            text = written.encode("utf-8", "surrogatepass").decode("latin-1").translate(self._letters)
+            ids = np.array(self._words.encode_batch_fast([text], add_special_tokens=False)[0].ids, "<u4")
+            ends = np.flatnonzero(ids == self._line_id)
+            data = ids.tobytes()
+            starts = [0, *((ends + 1) * 4).tolist()]
+            stops = [*(ends * 4).tolist(), len(data)]
+            self._chunks.update(zip(part, map(lambda a, b: data[a:b], starts, stops), strict=True))

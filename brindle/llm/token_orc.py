@@ -9,6 +9,7 @@ alone, and stripes are read in parallel.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -102,18 +103,17 @@ def document_starts(rows: DataFrame) -> DataFrame:
     return sized.join(F.broadcast(before), "shard").withColumn("start", F.col("shard_offset") + F.col("shard_start")).drop("shard_offset")
 
 
-def ids_as_bytes(rows: DataFrame, *keep: str) -> DataFrame:
-    """The columns ``keep`` and ``token_bytes``: a row's ids as little-endian unsigned 32-bit integers."""
+def with_checksum(rows: DataFrame, *keep: str) -> DataFrame:
+    """The columns ``keep`` and ``ids_crc32``, the CRC-32 of a row's ids as little-endian unsigned 32-bit integers."""
     source = rows.select(*keep, "ids")
-    schema = T.StructType([*source.schema.fields[:-1], T.StructField("token_bytes", T.BinaryType())])
+    schema = T.StructType([*source.schema.fields[:-1], T.StructField("ids_crc32", T.LongType())])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             lists = batch.column(batch.num_columns - 1)
-            offsets, values = lists.offsets.to_numpy(), lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)
-            data = values[offsets[0] : offsets[-1]].tobytes() if len(lists) else b""
-            ends = ((offsets - offsets[0]) * 4).astype(np.int64)
-            binary = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(lists), [None, pa.py_buffer(ends.tobytes()), pa.py_buffer(data)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], binary.cast(pa.binary())], names=schema.names)
+            data = memoryview(lists.values.to_numpy(zero_copy_only=False).astype("<u4", copy=False)).cast("B") if len(lists) else b""
+            ends = (lists.offsets.to_numpy().astype(np.int64) * 4).tolist()
+            sums = [zlib.crc32(data[a:b]) for a, b in zip(ends, ends[1:], strict=False)]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(sums, pa.int64())], names=schema.names)
 
-    return source.mapInArrow(pack, schema)
+    return source.mapInArrow(check, schema)
