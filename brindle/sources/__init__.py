@@ -1 +1 @@
-
+"""Loaders: files, pages and tables to documents."""
