@@ -42,7 +42,7 @@ IDF_STRENGTH = 0.1
 #: Low-order bytes of a shingle's hash; its range adds the bits that a larger corpus needs.
 SENT_BYTES, KEPT_BYTES = 5, 7
 SAMPLE_ROWS = 1 << 13
-STAR_ROUNDS = 6
+STAR_ROUNDS = 10
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -246,7 +246,7 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, min_similarity: flo
         left, cost = outside.agg(F.count(F.lit(1)), F.sum("n")).first()
         if not left:
             break
-        last = turn == STAR_ROUNDS or (cost or 0) <= 8 * total + 20_000
+        last = turn == STAR_ROUNDS or cost <= total // 8 + 5000
         if last:
             centres = outside.select("bucket", F.col("id").alias("a"), F.col("label").alias("from"))
         else:
