@@ -18,8 +18,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ._common import partitions
+
 RANGE_ROWS = 1024
 MAX_RANGES = 1 << 16
+#: Sources up to which their counts are broadcast (about 50 MB); beyond it the join shuffles.
+MAX_SOURCES = 500_000
 
 
 def shuffle_key(seed: int, id_col: str) -> F.Column:
@@ -60,8 +64,10 @@ def interleave_shards(
 
     # Ranges of the shuffled key within each source: how many, and what comes before each.
     counts = df.groupBy(source.alias("stratum")).agg(F.count(F.lit(1)).alias("n")).select("stratum", "n", F.ceil(F.col("n") / per_range).cast("long").alias("ranges"))
+    # Without a join by source no task gets a hot source's rows together.
+    hint = F.broadcast if counts.count() <= MAX_SOURCES else (lambda frame: frame)
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
-    keyed = lambda frame: frame.join(counts, "stratum").withColumn("range", F.floor(place * F.col("ranges")).cast("long"))
+    keyed = lambda frame: frame.join(hint(counts), "stratum").withColumn("range", F.floor(place * F.col("ranges")).cast("long"))
     slim = keyed(df.select(source.alias("stratum"), shuffle_key(seed, id_col).alias("key")))
     in_source = Window.partitionBy("stratum").orderBy("range")
     firsts = slim.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("k")).select(
@@ -70,6 +76,7 @@ def interleave_shards(
     in_range = Window.partitionBy("stratum", "range").orderBy("key", "id", "size", "crc")
     ranked = (
         keyed(rows)
+        .repartition(partitions(df), "stratum", "range")  # never by the source alone, as the join might have it
         .withColumn("at", F.row_number().over(in_range) - 1)
         .join(firsts, ["stratum", "range"])
         .withColumn("fraction", (2 * (F.col("first") + F.col("at")) + 1).cast("double") / (2 * F.col("n")).cast("double"))
