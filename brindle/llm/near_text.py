@@ -14,11 +14,12 @@ copies at 0.9 fall below the threshold.
 3. Improved consistent weighted sampling (Ioffe 2010) draws ``BANDS * ROWS``
    samples of each remaining text; texts that agree in a band are candidates.
 4. Candidates are verified by their exact weighted Jaccard similarity, and links
-   are united to classes. A bucket is not expanded into all pairs: its members
-   are compared with one of them, then with one of those that this left
-   outside, and so on; when little is left outside, that is compared with all
-   that differ in class. Members of one class need no comparison, so no link
-   between classes is lost.
+   are united to classes. A bucket is not expanded into all pairs: every text is
+   compared with the least member of one of its buckets, then with those of its
+   other buckets that are of another class. What a bucket's largest class leaves
+   outside is a query set: in blocks of bounded size it is sent to all tasks,
+   which compare it with their texts of the same buckets. Members of one class
+   need no comparison, so no link between classes is lost.
 """
 
 from __future__ import annotations
@@ -42,7 +43,8 @@ IDF_STRENGTH = 0.1
 #: Low-order bytes of a shingle's hash; its range adds the bits that a larger corpus needs.
 SENT_BYTES, KEPT_BYTES = 5, 7
 SAMPLE_ROWS = 1 << 13
-STAR_ROUNDS = 10
+#: Bytes of packed sets that a block of queries may have: the first is small, as it often unites classes. They are collected and broadcast.
+FIRST_BLOCK_BYTES, BLOCK_BYTES = 2 << 20, 24 << 20
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -163,12 +165,22 @@ def _candidates(docs: DataFrame, total: int, min_similarity: float) -> DataFrame
     return BlockCounts(make, use, (SENT_BYTES,)).run(blocks, "id long, weight double, hashes binary, weights binary, bands array<bigint>")
 
 
+def _shared_weights(hashes: np.ndarray, weights: np.ndarray, others: np.ndarray, other_weights: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """The weight that a set (ascending hashes) shares with each of the sets that are laid end to end from ``starts``."""
+    at = np.searchsorted(hashes, others)
+    at[at == len(hashes)] = 0
+    same = np.where(hashes[at] == others, np.minimum(weights[at], other_weights), np.float32(0))
+    return np.add.reduceat(same, starts, dtype=np.float64)
+
+
+def _similar(weight_a, weight_b, shared, min_similarity: float):
+    return shared >= min_similarity * (weight_a + weight_b - shared) * (1 - 1e-6)
+
+
 def _linked(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFrame:
     """Those of the distinct pairs (``a``, ``b``) that are similar enough."""
     side = lambda x: sets.select(F.col("id").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in ("weight", "hashes", "weights")])
-    # The ratio of two weights bounds their similarity.
-    close = F.least("weight_a", "weight_b") >= F.lit(min_similarity * (1 - 1e-9)) * F.greatest("weight_a", "weight_b")
-    both = pairs.join(side("b"), "b").join(side("a"), "a").where(close)
+    both = pairs.select("a", "b").join(side("b"), "b").join(side("a"), "a")
 
     def verify(batches):
         for batch in batches:
@@ -179,17 +191,68 @@ def _linked(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFra
                 if get["a"][i] != last:
                     last, ha, wa = get["a"][i], unpack_hashes(get["hashes_a"][i], KEPT_BYTES), np.frombuffer(get["weights_a"][i], np.float32)
                 hb, wb = unpack_hashes(get["hashes_b"][i], KEPT_BYTES), np.frombuffer(get["weights_b"][i], np.float32)
-                at = np.searchsorted(ha, hb)
-                at[at == len(ha)] = 0
-                same = ha[at] == hb if len(ha) else np.zeros(len(hb), bool)
-                shared = float(np.minimum(wa[at[same]], wb[same]).sum(dtype=np.float64))
-                keep.append(shared >= min_similarity * (get["weight_a"][i] + get["weight_b"][i] - shared) * (1 - 1e-6))
+                shared = _shared_weights(ha, wa, hb, wb, np.zeros(1, np.int64))[0] if len(ha) and len(hb) else 0.0
+                keep.append(bool(_similar(get["weight_a"][i], get["weight_b"][i], shared, min_similarity)))
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     columns = ["a", "b", "weight_a", "hashes_a", "weights_a", "weight_b", "hashes_b", "weights_b"]
     return both.select(*columns).mapInArrow(verify, "a long, b long")
 
 
+def _linked_to(queries: list, sets: DataFrame, min_similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) of the queries (rows of ``sets`` with the ``buckets`` in which they ask) with all texts of those buckets."""
+    sent = sets.sparkSession.sparkContext.broadcast([tuple(q) for q in queries])
+
+    def verify(batches):
+        rows = sent.value
+        where = {q[0]: set(q[4]) for q in rows}
+        weight = np.array([q[1] for q in rows])
+        hashes = [unpack_hashes(q[2], KEPT_BYTES) for q in rows]
+        weights = [np.frombuffer(q[3], np.float32) for q in rows]
+        asks: dict[int, list[int]] = {}
+        for k, q in enumerate(rows):
+            for bucket in q[4]:
+                asks.setdefault(bucket, []).append(k)
+        for batch in batches:
+            a, b = [], []
+            ids, whole, bands = (batch.column(k).to_pylist() for k in (0, 1, 4))
+            for i, x in enumerate(ids):
+                mine = where.get(x, ())
+                # A pair that both ask for in a bucket is compared once.
+                hit = {k for bucket in bands[i] if bucket in asks for k in asks[bucket] if rows[k][0] < x or (rows[k][0] > x and bucket not in mine)}
+                if not hit:
+                    continue
+                hit = np.fromiter(hit, np.int64)
+                hit = hit[np.minimum(weight[hit], whole[i]) >= min_similarity * (1 - 1e-9) * np.maximum(weight[hit], whole[i])]
+                if not len(hit):
+                    continue
+                own, own_weights = unpack_hashes(batch.column(2)[i].as_py(), KEPT_BYTES), np.frombuffer(batch.column(3)[i].as_py(), np.float32)
+                # A few sets at a time, so that a text of very many queries needs little memory.
+                for at in range(0, len(hit), 256):
+                    some = hit[at : at + 256]
+                    sizes = np.array([len(hashes[k]) for k in some])
+                    shared = _shared_weights(own, own_weights, np.concatenate([hashes[k] for k in some]), np.concatenate([weights[k] for k in some]), np.cumsum(sizes) - sizes)
+                    for k in some[_similar(weight[some], whole[i], shared, min_similarity)]:
+                        a.append(rows[k][0])
+                        b.append(x)
+            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return sets.select("id", "weight", "hashes", "weights", "bands").mapInArrow(verify, "a long, b long")
+
+
+def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+    """``labels`` (``node``, ``label``; least nodes have none) after the ``edges`` have united more; they are written."""
+    if labels is None:
+        return components(edges)
+    if edges.isEmpty():
+        return labels
+    of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    united = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
+    new = components(united)
+    moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
+    return cut_lineage(moved.unionAll(new.select("node", "label")))
+
+
 def _release(spark) -> None:
     """Shuffle files of plans that are done go when the driver's JVM collects its garbage."""
     gc.collect()
@@ -226,44 +289,58 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, min_similarity: flo
     reps = member.where("id = rep").select("id")
 
     found = _candidates(rows.where("text is not null"), total, min_similarity)
-    sets = cut_lineage(found.join(reps, "id", "left_semi"))
+    others = member.groupBy(F.col("id").alias("other")).agg(F.max(F.col("id") == F.col("rep")).alias("stands")).where("not stands").select("other")
+    sets = cut_lineage(without_ids(found, "id", others))
     del found
     _release(spark)
 
-    buckets = sets.select("id", F.posexplode("bands").alias("band", "key")).select("id", F.struct("band", "key").alias("bucket"))
-    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min("id").alias("least")).where("n > 1")
+    buckets = sets.select("id", "weight", F.explode("bands").alias("bucket"))
+    shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "weight")).alias("least")).where("n > 1")
     buckets = cut_lineage(buckets.join(shared.select("bucket", "least"), "bucket"))
-    pairs = buckets.where("id <> least").select(F.col("least").alias("a"), F.col("id").alias("b")).distinct()
-    edges = cut_lineage(_linked(pairs, sets, min_similarity))
-    done = pairs
-    labels = components(edges)
-    for turn in range(1, STAR_ROUNDS + 1):
+    # The ratio of two weights bounds their similarity.
+    close = F.least("weight", "least.weight") >= F.lit(min_similarity * (1 - 1e-9)) * F.greatest("weight", "least.weight")
+    pairs = buckets.where("id <> least.id").where(close).select(F.col("least.id").alias("a"), F.col("id").alias("b"))
+    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
+    labels = _merged(None, _linked(first, sets, min_similarity))
+    label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
+    apart = pairs.distinct().join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
+    labels = _merged(labels, cut_lineage(_linked(apart.join(first, ["a", "b"], "left_anti"), sets, min_similarity)))
+    _release(spark)
+
+    asked = None
+    limit = FIRST_BLOCK_BYTES
+    while True:
         now = buckets.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
         per_label = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-        mixed = per_label.groupBy("bucket").agg(F.sum("k").alias("n"), F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        now = cut_lineage(now.join(mixed.select("bucket", "n", F.col("top.label").alias("top")), "bucket"))
-        outside = now.where("label <> top")
-        left, cost = outside.agg(F.count(F.lit(1)), F.sum("n")).first()
-        if not left:
+        mixed = per_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+        outside = now.join(mixed.select("bucket", F.col("top.label").alias("top")), "bucket").where("label <> top").select("id", "bucket")
+        if asked is not None:
+            outside = outside.join(asked, ["id", "bucket"], "left_anti")
+        outside = outside.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
+        outside = cut_lineage(outside.join(sets.select("id", (F.length("hashes") + F.length("weights")).alias("bytes")), "id"))
+        left = outside.agg(F.sum("bytes")).first()[0]
+        if left is None:
             break
-        last = turn == STAR_ROUNDS or cost <= total // 8 + 5000
-        if last:
-            centres = outside.select("bucket", F.col("id").alias("a"), F.col("label").alias("from"))
-        else:
-            pick = outside.groupBy("bucket").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "id").alias("h"), "id", "label")).alias("c"))
-            centres = pick.select("bucket", F.col("c.id").alias("a"), F.col("c.label").alias("from"))
-        more = centres.join(now.select("bucket", F.col("id").alias("b"), "label"), "bucket").where("label <> from")
-        more = more.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        more = cut_lineage(more.join(done, ["a", "b"], "left_anti"))
-        edges = cut_lineage(edges.unionAll(_linked(more, sets, min_similarity)))
-        labels = components(edges)
-        done = done.unionAll(more)
-        if last:
+        share = limit / max(left, 1)
+        part = outside
+        while share < 1:
+            part = outside.where(F.pmod(F.xxhash64("id", F.lit(limit)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
+            if (part.agg(F.sum("bytes")).first()[0] or 0) <= 2 * limit:
+                break
+            share /= 2
+        block = part.select("id", "buckets").join(sets, "id").select("id", "weight", "hashes", "weights", "buckets").collect()
+        if block:
+            labels = _merged(labels, cut_lineage(_linked_to(block, sets, min_similarity)))
+            ids = part.select("id", F.explode("buckets").alias("bucket"))
+            asked = cut_lineage(ids if asked is None else asked.unionAll(ids))
+        if share >= 1:
             break
+        limit = BLOCK_BYTES
+        _release(spark)
     # An id with several texts ties their classes together; that is rare.
     ties = member.join(member.groupBy("id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "id").select("a", F.col("rep").alias("b")).where("a <> b")
     if not ties.isEmpty():
-        labels = components(edges.unionAll(ties))
+        labels = _merged(labels, ties)
     found = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
     return found.select(F.col("id").alias(id_col), "class_id")
 
