@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
+import sys
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -35,6 +38,21 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def trim_memory() -> None:
+    """Gives freed memory of a Python worker back to the system, as workers are reused by later stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def drop_encoders() -> None:
+    """Frees the word caches that an earlier stage's tokenizers left in this Python worker."""
+    held = sys.modules.get(f"{__package__}.token_bytes")
+    if held is not None and held.forget():
+        trim_memory()
+
+
 def crc_remainder(key: Column, n: int) -> Column:
     """``crc32(key as text) mod n``; a null key counts as the empty text."""
     return F.crc32(F.coalesce(key.cast("string"), F.lit(""))) % F.lit(n)

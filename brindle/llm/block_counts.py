@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._common import partitions
+from ._common import drop_encoders, partitions, trim_memory
 
 #: UTF-8 bytes of text in a block, about.
 BLOCK_BYTES = 6_000_000
@@ -99,6 +99,7 @@ class BlockCounts:
             return [table.column(c).combine_chunks() for c in columns]
 
         def ask(table: pa.Table) -> pa.Table:
+            drop_encoders()
             block = table.column("block")[0].as_py()
             kinds, _ = make(of(table))
             cut = [cuts_of(h, ranges) for h, _ in kinds]
@@ -106,6 +107,8 @@ class BlockCounts:
             for k in range(ranges):
                 part = [(h[c[k] : c[k + 1]], n[c[k] : c[k + 1]]) for (h, n), c in zip(kinds, cut, strict=True)]
                 out.append((k, block, [pack_hashes(h, w) for (h, _), w in zip(part, widths, strict=True)], [pack_counts(n) for _, n in part]))
+            del kinds
+            trim_memory()
             rows = list(zip(*out, strict=True))
             types = [pa.int32(), pa.int32(), pa.list_(pa.binary()), pa.list_(pa.binary())]
             return pa.table([pa.array(x, t) for x, t in zip(rows, types, strict=True)], names=["hash_range", "block", "hashes", "counts"])
@@ -122,6 +125,7 @@ class BlockCounts:
                 for reply, h in zip(replies, asked, strict=True):
                     reply += [pack_counts(total[at : at + len(h)]), corpus]
                     at += len(h)
+            trim_memory()
             return pa.table([table.column("block").combine_chunks(), table.column("hash_range").combine_chunks(), pa.array(replies, pa.list_(pa.binary()))], names=["block", "hash_range", "totals"])
 
         def settle(rows: pa.Table, replies: pa.Table) -> pa.Table:
@@ -132,7 +136,10 @@ class BlockCounts:
             got = replies.column("totals").to_pylist()
             totals = [np.concatenate([unpack_counts(got[i][2 * k]) for i in order]) for k in range(len(widths))]
             corpus = [tuple(sum(np.frombuffer(g[2 * k + 1], np.int64) for g in got).tolist()) for k in range(len(widths))]
-            return pa.Table.from_batches([use(work, kinds, totals, corpus)])
+            out = pa.Table.from_batches([use(work, kinds, totals, corpus)])
+            del kinds, work, totals
+            trim_memory()
+            return out
 
         from pyspark.sql.pandas.types import to_arrow_schema
         from pyspark.sql.types import _parse_datatype_string

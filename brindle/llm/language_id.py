@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import with_fields
+from ._common import drop_encoders, trim_memory, with_fields
 
 FEATURES = 1 << 15
 MAX_TRAIN_ROWS = 6000
@@ -118,6 +118,7 @@ def fit(
         sample = sample.where(F.xxhash64(F.lit(5), "text") < limit)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         sums: dict[str, np.ndarray] = {}
         rows: dict[str, int] = {}
         for batch in batches:
@@ -168,8 +169,10 @@ def identify(df: DataFrame, model: LanguageModel, *, text_col: str = "text") ->
     kept = [df[f.name] for f in schema.fields[:-2]]
 
     def predict(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         for batch in batches:
             langs, scores = shared.value.predict(batch.column(0).to_pylist())
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], pa.array(langs, pa.string()), pa.array(scores, pa.float64())], names=schema.names)
+        trim_memory()
 
     return df.select(df[text_col].alias("__text"), *kept).mapInArrow(predict, schema)

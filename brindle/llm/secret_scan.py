@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import with_fields
+from ._common import drop_encoders, trim_memory, with_fields
 
 #: ("and" | "or", parts) or a trigram of lower-case bytes; None asks for nothing.
 Query = tuple | bytes | None
@@ -193,6 +193,7 @@ def scan_secrets(df: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ..
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         scan = scanner(rules)
         for batch in batches:
             texts = batch.column(0).to_pylist()
@@ -206,6 +207,7 @@ def scan_secrets(df: DataFrame, *, text_col: str = "text", rules: tuple[Rule, ..
                 pa.array([hashlib.sha256(x.encode()).hexdigest() for x in base], pa.string()),
             ]
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *columns], names=schema.names)
+        trim_memory()
 
     return df.select(df[text_col].alias("__text"), *kept).mapInArrow(find, schema)
 
@@ -215,6 +217,7 @@ def redact_secrets(df: DataFrame, *, text_col: str = "text", mark: str = "[REDAC
     at = df.columns.index(text_col)
 
     def clean(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        drop_encoders()
         scan = scanner(rules)
         for batch in batches:
             texts = batch.column(at).to_pylist()
@@ -230,5 +233,6 @@ def redact_secrets(df: DataFrame, *, text_col: str = "text", mark: str = "[REDAC
             columns = list(batch.columns)
             columns[at] = pa.array(texts, batch.column(at).type)
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
+        trim_memory()
 
     return df.mapInArrow(clean, df.schema)

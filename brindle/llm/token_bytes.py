@@ -34,6 +34,13 @@ def encoder(path: str | None = None) -> "TokenBytes":
     return _encoders[path]
 
 
+def forget() -> bool:
+    """Drops all encoders of this process; whether there was one."""
+    held = bool(_encoders)
+    _encoders.clear()
+    return held
+
+
 def byte_letters() -> dict[int, str]:
     """Byte-level BPE writes each byte as a letter: printable ones as they are, the others from U+0100 on."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
