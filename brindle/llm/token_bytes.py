@@ -15,8 +15,11 @@ from itertools import chain, islice
 
 import numpy as np
 
+from ._common import trim_memory
+
 END_ID = b"\0\0\0\0"
-MAX_CHUNKS = 1_000_000
+#: About 50 MB of a worker's memory; more saves no time, as what does not recur soon seldom recurs at all.
+MAX_CHUNKS = 400_000
 GROUP_CHARS = 1_000_000
 WORDS_AT_ONCE = 20_000
 
@@ -93,6 +96,7 @@ class TokenBytes:
             if len(known) > MAX_CHUNKS:
                 # What came first recurs most: the older half stays.
                 known = self._chunks = dict(islice(known.items(), MAX_CHUNKS // 2))
+                trim_memory()
                 new = set(chain.from_iterable(split)).difference(known)
             self._learn(new)
         get = known.__getitem__
