@@ -27,7 +27,6 @@ TIERS = (256, 512, 1024)
 STEP_TOKENS = 64 * 1024
 FLUSH_WINDOWS = 512
 EMIT_BYTES = 4_000_000
-ROWS_AT_ONCE = 256
 
 #: A piece: document number within the task, first token, token count, the ids.
 Piece = tuple[int, int, int, bytes]
@@ -184,10 +183,9 @@ def pack_documents(
             return got
 
         full: list[tuple[int, list[Piece]]] = []
-        # A few rows at a time: a whole batch of texts as Python strings takes many times its size.
-        for batch in (b.slice(at, ROWS_AT_ONCE) for b in batches for at in range(0, b.num_rows, ROWS_AT_ONCE)):
+        for batch in batches:
             id_type = batch.column(0).type
-            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1).to_pylist()), strict=True):
+            for key, ids in zip(batch.column(0).to_pylist(), encode(batch.column(1)), strict=True):
                 ids += END_ID
                 tokens = len(ids) // 4
                 number = state["doc"] = state["doc"] + 1

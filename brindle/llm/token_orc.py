@@ -22,7 +22,7 @@ from pyspark.sql import types as T
 from ._common import partitions
 from .token_bytes import END_ID, encoder
 
-ROWS_AT_ONCE = 256
+EMIT_BYTES = 4_000_000
 
 
 def write_tokens(
@@ -54,18 +54,23 @@ def write_tokens(
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode_all, shard, at = encoder(tokenizer_path).encode_all, TaskContext.get().partitionId(), 0
         for batch in batches:
-            for first in range(0, batch.num_rows, ROWS_AT_ONCE):
-                part = batch.slice(first, ROWS_AT_ONCE)
-                coded = [ids + END_ID for ids in encode_all(part.column(1).to_pylist())]
+            first, coded, size = 0, [], 0
+            for row, ids in enumerate(encode_all(batch.column(1)), 1):
+                coded.append(ids + END_ID)
+                size += len(coded[-1])
+                if size < EMIT_BYTES and row < batch.num_rows:
+                    continue
                 ends = np.cumsum([len(x) // 4 for x in coded])
                 offsets = np.concatenate([[0], ends])
                 values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(coded))])
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
+                keys = batch.column(0).slice(first, row - first)
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), pa.array(np.full(len(coded), shard), pa.int32()), pa.array(at + offsets[:-1], pa.int64()), lists],
+                    [keys, pa.array(np.full(len(coded), shard), pa.int32()), pa.array(at + offsets[:-1], pa.int64()), lists],
                     names=schema.names,
                 )
                 at += int(ends[-1])
+                first, coded, size = row, [], 0
 
     (
         source.repartitionByRange(partitions(df), "doc_id")
