@@ -14,7 +14,7 @@ from brindle.llm.token_orc import document_starts, read_tokens, with_checksum, w
 
 plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 plain.encode_special_tokens = True
-ODD = [None, "", " ", "  a", "a  b", "a \n b", "it's we'll", "x  y", "Ünï cöde ½ ²3 　 x", "\x1c a \x1d", "a\tb c\r\nd", "<|endoftext|> x", "日本語 テキスト, naïve.", "Éa! ñandú; ok: x? Ⅷ Ⅷ, ǅ ª.", "😀 a😀b", "w" * 5000]
+ODD = [None, "", " ", "  a", "a  b", "a \n b", "it's we'll", "x  y", "Ünï cöde ½ ²3 　 x", "\x1c a \x1d", "a\tb c\r\nd", "<|endoftext|> x", "日本語 テキスト, naïve.", "Éa! ñandú; ok: x? Ⅷ Ⅷ, ǅ ª.", "😀 a😀b", "w" * 5000, "x \0abc", "\0abc", "été,##!! ab×, (a), b', c."]
 
 
 def ids_of(text):
