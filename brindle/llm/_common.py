@@ -46,6 +46,17 @@ def trim_memory() -> None:
         trim(0)
 
 
+#: Bytes of rows that Spark hands to a Python worker at once, about, and the default in its place.
+BATCH_BYTES, DEFAULT_BATCH_BYTES = 4 << 20, "67108864b"
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Makes this session's Arrow batches small where it has Spark's default of 64 MB, which JVM and worker hold several times over."""
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(name) == DEFAULT_BATCH_BYTES:
+        spark.conf.set(name, BATCH_BYTES)
+
+
 def drop_encoders() -> None:
     """Frees the word caches that an earlier stage's tokenizers left in this Python worker."""
     held = sys.modules.get(f"{__package__}.token_bytes")

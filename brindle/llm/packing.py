@@ -21,6 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
+from ._common import bound_batches
 from .token_bytes import END_ID, encoder
 
 TIERS = (256, 512, 1024)
@@ -141,6 +142,7 @@ def pack_documents(
     """
     if sorted(tiers) != sorted({1 << (t.bit_length() - 1) for t in tiers if t > 0}):
         raise ValueError("tiers must be distinct powers of two")
+    bound_batches(df.sparkSession)
     source = df.select(df[id_col], df[text_col])
     id_field = T.StructField(id_col, source.schema[0].dataType, True)
     long = lambda name: T.StructField(name, T.LongType())
