@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
 from ._common import bound_batches
-from .token_bytes import END_ID, encoder
+from .token_bytes import END_ID, GROUP_BYTES, MAX_CHUNKS, encoder
 
 TIERS = (256, 512, 1024)
 STEP_TOKENS = 64 * 1024
@@ -127,6 +127,8 @@ def pack_documents(
     tiers: tuple[int, ...] = TIERS,
     step_tokens: int = STEP_TOKENS,
     tokenizer_path: str | None = None,
+    max_chunks: int = MAX_CHUNKS,
+    group_bytes: int = GROUP_BYTES,
 ) -> DataFrame:
     """Packs all documents of ``df``; one row for each piece of a document.
 
@@ -138,7 +140,8 @@ def pack_documents(
 
     A null or empty text is its end id alone. Repeated rows and repeated or
     null ids are packed row by row. An empty table gives no rows. Other columns
-    of ``df`` are not read, whatever their names.
+    of ``df`` are not read, whatever their names. ``max_chunks`` and
+    ``group_bytes`` trade a worker's memory for time; the result is the same.
     """
     if sorted(tiers) != sorted({1 << (t.bit_length() - 1) for t in tiers if t > 0}):
         raise ValueError("tiers must be distinct powers of two")
@@ -153,7 +156,7 @@ def pack_documents(
     top = max(tiers)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path).encode_all
+        encode = encoder(tokenizer_path, max_chunks, group_bytes).encode_all
         task = TaskContext.get().partitionId() << 36
         packer = TierPacker(tiers)
         docs: dict[int, list] = {}  # number: id, tokens, tokens still to place

@@ -36,14 +36,15 @@ KINDS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]]
 _encoders: dict[str, "TokenBytes"] = {}
 
 
-def encoder(path: str | None = None) -> "TokenBytes":
-    """The worker process's encoder for the tokenizer file at ``path``."""
+def encoder(path: str | None = None, max_chunks: int = MAX_CHUNKS, group_bytes: int = GROUP_BYTES) -> "TokenBytes":
+    """The worker process's encoder for the tokenizer file at ``path``, with bounds of its cache and of the texts at hand at once."""
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
     if path not in _encoders:
         _encoders[path] = TokenBytes(path)
+    _encoders[path].max_chunks, _encoders[path].group_bytes = max_chunks, group_bytes
     return _encoders[path]
 
 
@@ -64,6 +65,9 @@ def byte_letters() -> dict[int, str]:
 class TokenBytes:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
+    max_chunks = MAX_CHUNKS
+    group_bytes = GROUP_BYTES
+
     def __init__(self, path: str):
         import public_tokenizers
         import regex
@@ -91,7 +95,7 @@ class TokenBytes:
         sizes = np.cumsum(pc.binary_length(array).fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)
         first, done = 0, 0
         while first < len(array):
-            stop = max(first + 1, int(np.searchsorted(sizes, done + GROUP_BYTES, "right")))
+            stop = max(first + 1, int(np.searchsorted(sizes, done + self.group_bytes, "right")))
             yield from self._encode_group(array.slice(first, stop - first).fill_null(""))
             first, done = stop, int(sizes[stop - 1])
 
@@ -99,7 +103,7 @@ class TokenBytes:
         """Arrow cuts the texts, numbers their distinct chunks and lines up the ids; only distinct chunks become Python strings."""
         parts = pc.split_pattern(texts, " ")
         chunks, bounds, glued = cut_tails(parts.flatten(), parts.offsets.to_numpy())
-        if len(self._spaced) + len(self._glued) > MAX_CHUNKS:
+        if len(self._spaced) + len(self._glued) > self.max_chunks:
             # What came first recurs most: the older half stays.
             self._spaced, self._glued = (dict(islice(d.items(), len(d) // 2)) for d in (self._spaced, self._glued))
             trim_memory()

@@ -45,8 +45,8 @@ def no_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Packs all documents into token sequences; one row for each piece."""
-    pieces = pack_documents(docs)
+    """Packs all documents into token sequences; one row for each piece. Workers of earlier stages are there still, so it takes less memory."""
+    pieces = pack_documents(docs, max_chunks=200_000, group_bytes=1_500_000)
     return pieces.select("doc_id", "start", "length", F.crc32("token_bytes").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset", "window", "step_id")
 
 
