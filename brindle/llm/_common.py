@@ -38,6 +38,17 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """``df`` as a Parquet table in the shared folder.
+
+    Checkpoints keep the planner's estimate of their size. Where each round joins the result of the round before, the
+    estimates multiply to numbers of millions of digits, and planning never ends; a table has the size of its files.
+    """
+    path = f"{shared_dir(df.sparkSession)}/rows"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def trim_memory() -> None:
     """Gives freed memory of a Python worker back to the system, as workers are reused by later stages."""
     pa.default_memory_pool().release_unused()

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage
+from ._common import written
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -32,10 +32,10 @@ def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     path. Least neighbours are pre-aggregated, so a node of very many edges is
     no burden; each round is written to the shared folder.
     """
-    now = cut_lineage(edges.select("a", "b").where("a <> b").distinct())
+    now = written(edges.select("a", "b").where("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
-        now = cut_lineage(_star(_star(now, True), False))
+        now = written(_star(_star(now, True), False))
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))

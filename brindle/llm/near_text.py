@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut_lineage, without_ids
+from ._common import cut_lineage, without_ids, written
 from .block_counts import BlockCounts, blocked, mix, pack_hashes, span_hashes, text_bytes, unpack_hashes
 from .components import components
 
@@ -45,6 +45,8 @@ SENT_BYTES, KEPT_BYTES = 5, 7
 SAMPLE_ROWS = 1 << 13
 #: Bytes of packed sets that a block of queries may have: the first is small, as it often unites classes. They are collected and broadcast.
 FIRST_BLOCK_BYTES, BLOCK_BYTES = 2 << 20, 24 << 20
+#: Sums of bytes that are collected for a block, at most.
+MAX_SLOTS = 1 << 16
 BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 _FOLD = np.arange(256, dtype=np.uint8)
@@ -250,7 +252,23 @@ def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
     united = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
     new = components(united)
     moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
-    return cut_lineage(moved.unionAll(new.select("node", "label")))
+    return written(moved.unionAll(new.select("node", "label")))
+
+
+def _first_bytes(rest: DataFrame, left: int, limit: int) -> DataFrame:
+    """Of ``rest`` (``id``, ``bytes``; ``left`` bytes in all) the first in the order of a hash of the id: up to about ``limit`` bytes, and one row at least."""
+    if left <= limit:
+        return rest
+    # Ranges of the hash that hold a small part of a block each, so that only their sums are collected.
+    slots = min(MAX_SLOTS, -(-16 * left // limit))
+    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
+    end, taken = None, 0
+    for row in sorted(rest.groupBy(slot.alias("slot")).agg(F.sum("bytes").alias("bytes")).collect()):
+        taken += row.bytes
+        if end is not None and taken > limit:
+            break
+        end = row.slot
+    return rest.where(slot <= F.lit(end))
 
 
 def _release(spark) -> None:
@@ -321,19 +339,14 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, min_similarity: flo
         left = outside.agg(F.sum("bytes")).first()[0]
         if left is None:
             break
-        share = limit / max(left, 1)
-        part = outside
-        while share < 1:
-            part = outside.where(F.pmod(F.xxhash64("id", F.lit(limit)), F.lit(1 << 30)) < F.lit(int(share * (1 << 30))))
-            if (part.agg(F.sum("bytes")).first()[0] or 0) <= 2 * limit:
-                break
-            share /= 2
+        part = _first_bytes(outside, left, limit)
         block = part.select("id", "buckets").join(sets, "id").select("id", "weight", "hashes", "weights", "buckets").collect()
-        if block:
-            labels = _merged(labels, cut_lineage(_linked_to(block, sets, min_similarity)))
-            ids = part.select("id", F.explode("buckets").alias("bucket"))
-            asked = cut_lineage(ids if asked is None else asked.unionAll(ids))
-        if share >= 1:
+        if not block:
+            raise RuntimeError(f"no text of the {left} bytes that are left came into the block")
+        labels = _merged(labels, cut_lineage(_linked_to(block, sets, min_similarity)))
+        ids = part.select("id", F.explode("buckets").alias("bucket"))
+        asked = cut_lineage(ids if asked is None else asked.unionAll(ids))
+        if left <= limit:
             break
         limit = BLOCK_BYTES
         _release(spark)

@@ -1,12 +1,14 @@
 import random
 import re
 from collections import Counter, defaultdict
+from itertools import combinations
 from math import log
 
 import numpy as np
 import pyarrow as pa
 import pytest
 
+from brindle.llm import near_text
 from brindle.llm.components import components
 from brindle.llm.near_text import BANDS, IDF_STRENGTH, band_keys, drop_near_duplicates, near_classes, shingle_sets
 
@@ -89,6 +91,32 @@ def test_like_brute_force(spark):
     assert left.where("doc_id is null").count() == 1
 
 
+def test_many_blocks_of_queries(spark, monkeypatch):
+    rng = random.Random(5)
+    part = [[f"p{k}w{rng.randrange(500)}" for _ in range(30)] for k in range(9)]
+    # Each has six of nine passages: they share buckets, but five shared passages make 0.7 only.
+    rows = [(k, " ".join(w for p in some for w in part[p])) for k, some in enumerate(rng.sample(list(combinations(range(9), 6)), 60))]
+    rows += [(100 + k, rows[k][1].rsplit(" ", 5)[0] + f" end{k // 2}") for k in range(0, 60, 3)]
+    monkeypatch.setattr(near_text, "FIRST_BLOCK_BYTES", 2000)
+    monkeypatch.setattr(near_text, "BLOCK_BYTES", 10_000)
+    blocks, rounds, linked, release = [], [], near_text._linked_to, near_text._release
+
+    def counted(block, *args):
+        blocks.append(sum(len(q.hashes) + len(q.weights) for q in block))
+        return linked(block, *args)
+
+    def round_ends(session):
+        rounds.append(1)
+        assert len(rounds) < 100, "no end"
+        release(session)
+
+    monkeypatch.setattr(near_text, "_linked_to", counted)
+    monkeypatch.setattr(near_text, "_release", round_ends)
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows)
+    assert len(blocks) >= 8 and max(blocks) <= 20_000
+
+
 def test_empty(spark):
     assert near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
