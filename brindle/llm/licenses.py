@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: The usual short notices of public licences and the opening
@@ -29,6 +29,13 @@ TEMPLATES = (
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
 )
+#: For whole texts also what the notices and opening sentences go on with.
+WHOLE_TEXTS = (
+    *TEMPLATES,
+    ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
+    ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
+    ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+)
 MIN_DICE = 0.8
 
 
@@ -96,3 +103,76 @@ def scan_licenses(
         .where(F.col("best.dice") >= min_dice)
         .select(F.col("id").alias(id_col), "line_no", F.col("best.license").alias("license"), (-F.col("best.order")).alias("template_no"), F.col("best.dice").alias("dice"), "line")
     )
+
+
+def scan_license_texts(
+    df: DataFrame,
+    *,
+    id_col: str = "doc_id",
+    text_col: str = "text",
+    templates: tuple[tuple[str, str], ...] = WHOLE_TEXTS,
+    min_dice: float = MIN_DICE,
+) -> DataFrame:
+    """Every passage of every text that resembles a licence template, across line ends and inside lines.
+
+    A text is normalised as a whole (lower case; anything but a-z and 0-9 is one
+    space) and cut into word bigrams. Windows of all lengths that can reach
+    ``min_dice`` are compared: of a window's w bigrams (each place counts), s
+    distinct ones are among a template's n, and its coefficient is 2s / (w + n).
+    Windows that overlap are one passage: the one with the largest product of
+    coefficient and s stands, then the best ``dice``, the first template and the
+    first place.
+
+    Only bigrams of templates are shuffled. Columns: the id column,
+    ``word_no`` (from 0) and ``words`` of the passage, ``license``,
+    ``template_no`` and ``dice``. Repeated rows are scanned row by row.
+    """
+    spark = df.sparkSession
+    known, long = [], []
+    for k, name, bigrams in template_bigrams(templates):
+        known += [(b, k) for b in bigrams]
+        long.append((k, name, len(bigrams)))
+    ratio = min_dice / (2 - min_dice)
+    grams = F.broadcast(spark.createDataFrame(known, "gram string, template_no int"))
+    sizes = F.broadcast(spark.createDataFrame(long, "template_no int, license string, n int"))
+    plain = F.trim(F.regexp_replace(F.lower(text_col), "[^a-z0-9]+", " "))
+    rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.explode(F.array(F.split(plain, " "))).alias("w"))
+    follow = F.slice("w", F.lit(2), F.size("w") - 1)
+    pairs = F.zip_with(F.slice("w", F.lit(1), F.size("w") - 1), follow, lambda a, b: F.concat(a, F.lit(" "), b))
+    hits = rows.where(F.size("w") > 1).select("row", "id", F.posexplode(pairs).alias("pos", "gram")).join(grams, "gram")
+    found = hits.groupBy("row", "id", "template_no").agg(F.array_sort(F.collect_list(F.struct("pos", "gram"))).alias("hits")).join(sizes, "template_no")
+    # A window has no fewer bigrams than it shares, so fewer than this are never enough.
+    found = found.where(F.size("hits") >= F.col("n") * (ratio * (1 - 1e-9)))
+
+    # ``prev``: where the template's bigram was before, so that a window counts it once.
+    same = Window.partitionBy("row", "template_no", F.col("h.gram")).orderBy("h.pos")
+    found = found.select("row", "id", "template_no", "license", "n", F.explode("hits").alias("h")).withColumn("prev", F.lag("h.pos", 1, -1).over(same))
+    hit = F.struct(F.col("h.pos").alias("pos"), "prev")
+    found = found.groupBy("row", "id", "template_no", "license", "n").agg(F.array_sort(F.collect_list(hit)).alias("hits"))
+    most = F.ceil(F.col("n") / ratio).cast("int")
+
+    def window(i):
+        start = F.element_at("hits", i)["pos"]
+        inside = F.filter(F.slice("hits", i, most), lambda h: h["pos"] < start + most)
+        none = F.struct(F.lit(0.0).alias("score"), F.lit(0).alias("s"), F.lit(0).alias("w"), F.lit(0.0).alias("dice"), F.lit(0).alias("seen"))
+
+        def step(best, h):
+            seen = best["seen"] + (h["prev"] < start).cast("int")
+            w = h["pos"] - start + 1
+            dice = 2.0 * seen / (w + F.col("n"))
+            better = (dice >= min_dice) & (dice * seen > best["score"])
+            pick = lambda new, name: F.when(better, new).otherwise(best[name]).alias(name)
+            return F.struct(pick(dice * seen, "score"), pick(seen, "s"), pick(w, "w"), pick(dice, "dice"), seen.alias("seen"))
+
+        return F.struct(F.aggregate(inside, none, step).alias("best"), start.alias("start"))
+
+    windows = found.select("row", "id", "template_no", "license", F.explode(F.transform(F.sequence(F.lit(1), F.size("hits")), window)).alias("x"))
+    scored = windows.select("row", "id", "x.best.*", "x.start", "template_no", "license").where("s > 0")
+    one = F.struct((-F.col("score")).alias("score"), (-F.col("dice")).alias("dice"), "template_no", "start", "w", "license")
+    apart = lambda kept, x: ~F.exists(kept, lambda y: (x["start"] <= y["start"] + y["w"]) & (y["start"] <= x["start"] + x["w"]))
+    ranked = scored.groupBy("row", "id").agg(F.array_sort(F.collect_list(one)).alias("ranked"))
+    none = F.slice("ranked", 1, 0)
+    best = ranked.select("id", F.explode(F.aggregate("ranked", none, lambda kept, x: F.when(apart(kept, x), F.concat(kept, F.array(x))).otherwise(kept))).alias("x"))
+    return best.select(
+        F.col("id").alias(id_col), F.col("x.start").alias("word_no"), (F.col("x.w") + 1).alias("words"), F.col("x.license").alias("license"), F.col("x.template_no").alias("template_no"), (-F.col("x.dice")).alias("dice")
+    )

@@ -12,7 +12,7 @@ from .backoff_lm import score_texts
 from .decontaminate import find_items
 from .interleave import interleave_shards
 from .language_id import fit, identify
-from .licenses import MIN_DICE, scan_licenses, template_bigrams
+from .licenses import MIN_DICE, scan_license_texts, scan_licenses, template_bigrams
 from .near_text import near_classes
 from .near_vectors import near_vectors
 from .packing import pack_documents
@@ -83,6 +83,11 @@ def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "line_no", "license", "template_no", F.round("dice", 6).alias("dice"))
 
 
+def op10_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_license_texts(_table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "word_no", "words", "license", "template_no", F.round("dice", 6).alias("dice"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_pack": op1_pack,
     "op2_token_orc": op2_token_orc,
@@ -94,6 +99,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_text": op8_near_text,
     "op9_near_vectors": op9_near_vectors,
     "op10_licenses": op10_licenses,
+    "op10_license_texts": op10_license_texts,
 }
 
 

@@ -1,5 +1,6 @@
 import hashlib
 import re
+import textwrap
 import zlib
 from collections import Counter, defaultdict
 
@@ -7,7 +8,7 @@ import pytest
 
 from brindle.llm.decontaminate import drop_contaminated, find_items
 from brindle.llm.interleave import interleave_shards
-from brindle.llm.licenses import scan_licenses, template_bigrams
+from brindle.llm.licenses import WHOLE_TEXTS, scan_license_texts, scan_licenses, template_bigrams
 
 WORDS = [hashlib.md5(str(k).encode()).hexdigest()[:6] for k in range(4000)]
 
@@ -85,3 +86,25 @@ def test_licences_like_brute_force(spark):
     got = Counter((r.doc_id, r.line_no, r.license, round(r.dice, 9)) for r in scan_licenses(docs).collect())
     assert got == expect and len(got) >= 6
     assert scan_licenses(docs.limit(0)).count() == 0
+
+
+def test_licences_across_lines(spark):
+    filler = " ".join(WORDS[:300])
+    whole = {k: WHOLE_TEXTS[k][1] for k in range(len(WHOLE_TEXTS))}
+    texts = [textwrap.fill(filler + " " + whole[k] + " " + filler, 78) for k in whole]  # wrapped
+    texts += [f"{filler} {whole[k]} {filler}" for k in (2, 6, 10, 18)]  # inside a line
+    texts += ["// " + textwrap.fill(whole[20], 60).replace("\n", "\n// "), f"{whole[0]}\n{filler}\n{whole[0]} {whole[8]}", filler, "", None, "free software of the public license version " * 30]
+    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0])], "doc_id long, text string")
+    expect = Counter((k, WHOLE_TEXTS[k][0]) for k in whole) + Counter({(len(whole) + j, WHOLE_TEXTS[k][0]): 1 for j, k in enumerate((2, 6, 10, 18))})
+    at = len(whole) + 4
+    expect += Counter({(at, "GPL-3.0"): 1, (at + 1, "MIT"): 2, (at + 1, "LGPL-3.0"): 1, (None, "MIT"): 1, (0, "MIT"): 1})
+    got = scan_license_texts(docs).collect()
+    assert Counter((r.doc_id, r.license) for r in got) == expect
+    assert all(r.dice >= 0.8 and (r.doc_id is None or r.doc_id >= len(whole) or r.template_no == r.doc_id) for r in got)
+    assert {r.word_no for r in got if r.doc_id == 0} == {300}
+    assert scan_licenses(docs.where(f"doc_id in (2, {len(whole)})")).count() == 0  # by lines these are lost
+    assert scan_license_texts(docs.limit(0)).count() == 0
+    # What is short of its template's end is found as it is by lines, whatever follows.
+    short = spark.createDataFrame([(k, f"{filler}\n{' '.join(text.split()[: -(-len(text.split()) * 3 // 4)])}\n{filler}") for k, (_, text) in enumerate(WHOLE_TEXTS[:18])], "doc_id long, text string")
+    by_line = {(r.doc_id, r.license) for r in scan_licenses(short).collect()}
+    assert len(by_line) > 8 and {(r.doc_id, r.license) for r in scan_license_texts(short).collect()} >= by_line
