@@ -201,16 +201,18 @@ s AS (SELECT query_id, node_id, round(CAST(count(*) AS DOUBLE), 6) AS score FROM
 """
 
 
-def _sparse(spark, sf_dir):
-    first = lambda c: F.map_from_entries(F.transform(F.array_distinct(F.slice(F.split(c, " "), 1, 5)), lambda t: F.struct(t, F.lit(1.0).cast("float"))))
-    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), first("text").alias("sparse"))
-    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), first("text").alias("sparse"))
+def _sparse(spark, sf_dir, first=None):
+    """Hits by the distinct space-separated words of whole texts, or of the ``first`` words only."""
+    words = lambda c: F.split(c, " ") if first is None else F.slice(F.split(c, " "), 1, first)
+    sparse = lambda c: F.map_from_entries(F.transform(F.array_distinct(words(c)), lambda t: F.struct(t, F.lit(1.0).cast("float"))))
+    nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), sparse("text").alias("sparse"))
+    asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), sparse("text").alias("sparse"))
     return index.sparse_hits(nodes, asked).withColumn("rank", F.col("rank").cast("long"))
 
 
 @query(SPARSE_SQL + TOP_SQL)
 def sparse_dot_topk(spark, sf_dir):
-    return _sparse(spark, sf_dir)
+    return _sparse(spark, sf_dir, first=5)  # as in its SQL
 
 
 LISTS_SQL = TFIDF_SQL + """, a AS (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 10),

@@ -184,3 +184,20 @@ def test_entry_survives_without_the_extra_package(monkeypatch):
     monkeypatch.setattr(builtins, "__import__", blocked)
     assert "bm25_okapi_topk" in entry.queries() and not [n for n in entry.queries() if n.startswith("op")]
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_sparse_hits_of_whole_texts(spark):
+    from brindle.plans import retrieval
+
+    sf = "/root/testdata/sf0.001"
+    words = lambda name, key: {r[key]: set((r["text"] or "").split(" ")) for r in spark.read.parquet(f"{sf}/{name}.parquet").collect()}
+    docs, asked = words("documents", "doc_id"), words("benchmark", "item_id")
+    expect = set()
+    for q, mine in asked.items():
+        best = sorted((-len(mine & have), d) for d, have in docs.items() if mine & have)[:10]
+        expect |= {(q, d, float(-n), k + 1) for k, (n, d) in enumerate(best)}
+    got = {(r.query_id, r.node_id, r.score, r["rank"]) for r in retrieval._sparse(spark, sf).collect()}
+    assert got == expect and max(x[2] for x in got) > 5
+    # The query fuses these hits.
+    fused = fusion.hybrid([retrieval._dense(spark, sf), retrieval._sparse(spark, sf)])
+    assert sorted(map(repr, retrieval.dense_sparse_rrf(spark, sf).collect())) == sorted(map(repr, fused.collect()))
