@@ -130,7 +130,7 @@ def _candidates(docs: DataFrame, total: int, min_similarity: float) -> DataFrame
 
     def make(columns: list[pa.Array]):
         ids, texts = columns
-        # Of an id's texts the least one counts; for equal texts of a block the least id stands.
+        # Of an id's texts the least one counts; rows that are repeated count once.
         rows = sorted(zip(ids.to_pylist(), texts.cast(pa.binary()).to_pylist(), range(len(ids)), strict=True))
         by_id = {row[0]: row for row in reversed(rows)}
         by_text = {row[1]: row for row in sorted(by_id.values(), reverse=True)}
@@ -301,14 +301,17 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, min_similarity: flo
     spark = df.sparkSession
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.count()
-    key = rows.select("id", F.when(F.col("text").isNotNull(), F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.length("text").alias("n"))).alias("key"))
-    least = key.where("key is not null").groupBy("key").agg(F.min("id").alias("rep"))
-    member = cut_lineage(key.join(least, "key", "left").select("id", F.coalesce("rep", "id").alias("rep")).distinct())
-    reps = member.where("id = rep").select("id")
-
-    found = _candidates(rows.where("text is not null"), total, min_similarity)
-    others = member.groupBy(F.col("id").alias("other")).agg(F.max(F.col("id") == F.col("rep")).alias("stands")).where("not stands").select("other")
-    sets = cut_lineage(without_ids(found, "id", others))
+    key_of = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.length("text").alias("n"))
+    key = cut_lineage(rows.select("id", F.when(F.col("text").isNotNull(), key_of).alias("key")))
+    own = key.where("key is not null").withColumn("own", F.lit(True))
+    least = own.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("id"))), F.min("id")).alias("rep"))
+    known = cut_lineage(own.join(least, "key").select("id", "rep", "own").distinct())
+    member = cut_lineage(known.select("id", "rep").unionAll(key.where("key is null").select("id", F.col("id").alias("rep"))).distinct())
+
+    # Only representatives are counted, each distinct text once in the corpus.
+    others = known.where("own and id <> rep").select("id").withColumnRenamed("id", "other").distinct()
+    found = _candidates(without_ids(rows.where("text is not null"), "id", others), total, min_similarity)
+    sets = cut_lineage(found)
     del found
     _release(spark)
 
