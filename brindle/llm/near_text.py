@@ -304,6 +304,12 @@ def _near_classes(df: DataFrame, id_col: str, text_col: str, min_similarity: flo
     key_of = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.length("text").alias("n"))
     key = cut_lineage(rows.select("id", F.when(F.col("text").isNotNull(), key_of).alias("key")))
     own = key.where("key is not null").withColumn("own", F.lit(True))
+    several = cut_lineage(own.groupBy("id").agg(*[f(f"key.{c}").alias(f"{c}{k}") for k, f in enumerate((F.min, F.max)) for c in "xyn"]).where("x0 <> x1 or y0 <> y1 or n0 <> n1").select("id"))
+    if not several.isEmpty():
+        # Of an id's texts the least one is its own.
+        first = rows.join(several, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", key_of.alias("first"))
+        own = own.drop("own").join(cut_lineage(first), "id", "left").select("id", "key", F.coalesce(F.col("key") == F.col("first"), F.lit(True)).alias("own"))
+    # A text's representative is the least id whose own text it is, so no id stands for two texts that are compared.
     least = own.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("id"))), F.min("id")).alias("rep"))
     known = cut_lineage(own.join(least, "key").select("id", "rep", "own").distinct())
     member = cut_lineage(known.select("id", "rep").unionAll(key.where("key is null").select("id", F.col("id").alias("rep"))).distinct())

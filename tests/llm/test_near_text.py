@@ -126,6 +126,13 @@ def test_frequencies_do_not_depend_on_blocks(spark, monkeypatch):
     assert got == brute(rows) and got[1000] == 0
 
 
+def test_links_of_a_text_that_a_repeated_id_has_too(spark):
+    one, two = " ".join(f"a{k}" for k in range(100)), " ".join(f"b{k}" for k in range(100))
+    rows = [(5, one), (5, two), (100, two), (200, two + " end"), (300, one + " end"), (7, None), (7, one), (400, "other")]
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == brute(rows) == {5: 5, 7: 5, 100: 5, 200: 5, 300: 5, 400: 400}
+
+
 def test_empty(spark):
     assert near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
