@@ -1,19 +1,11 @@
-"""Benchmark items inside documents, by size-partitioned MinHash containment search.
-
-A document is the set of its word 5-shingles, each with one hash. Documents are
-partitioned by size (powers of two), and a document of the partition of up to u
-shingles has as its MinHash signature the ``SIGNATURE * u`` least hashes of its
-set (bottom-k MinHash). A signature that grows with its partition is what finds
-an item of a dozen words in a document of many thousands: an item shingle that
-occurs in the document is in the signature with a probability of 3/4 at least,
-whatever the document's size, where a signature of fixed length would lose it.
-A document is a candidate for an item if its signature holds a shingle of the
-item, so an item with k shingles in the document is missed with a probability
-below 4^-k. Candidates are verified by the exact containment of the item's
-shingles.
-
-All of this is done in the row, so documents are not shuffled; only shingles
-shared with items are.
+"""Benchmark items inside documents, by exact containment of shingles.
+
+Documents and items are sets of their word 5-shingles, each with one hash. All
+shingles of a document are joined with those of the items, so every item's
+containment is exact and no item is missed, however short: a MinHash signature
+could prune nothing that this join has not read, and would lose items of few
+shingles. Shingles are made in the row, so documents are not shuffled; only
+shingles shared with items are.
 """
 
 from __future__ import annotations
@@ -25,7 +17,6 @@ from ._common import without_ids
 
 SHINGLE_WORDS = 5
 MIN_CONTAINMENT = 0.8
-SIGNATURE = 0.75
 #: Item shingles up to which they are broadcast (about 100 MB); beyond it the join shuffles.
 BROADCAST_SHINGLES = 2_000_000
 
@@ -48,11 +39,6 @@ def shingle_hashes(text: Column, k: int = SHINGLE_WORDS) -> Column:
     return F.transform(F.array(hashed), shingles)[0]
 
 
-def signature_size(n: Column) -> Column:
-    """Hashes in the signature of a document of ``n`` shingles: a share of its size partition's upper bound."""
-    return F.ceil(F.lit(SIGNATURE) * F.pow(F.lit(2.0), F.ceil(F.log2(F.greatest(n, F.lit(1)).cast("double")))))
-
-
 def find_items(
     docs: DataFrame,
     items: DataFrame,
@@ -83,17 +69,13 @@ def find_items(
     hint = F.broadcast if small else (lambda frame: frame)
     # A one-element explode pins the array: filters and projections above it do not compute it again.
     pinned = docs.where(F.col(id_col).isNotNull()).select(
-        F.col(id_col).alias("id"), F.explode(F.array(F.sort_array(shingle_hashes(F.col(text_col), shingle_words)))).alias("hashes")
+        F.col(id_col).alias("id"), F.explode(F.array(shingle_hashes(F.col(text_col), shingle_words))).alias("hashes")
     )
-    marked = pinned.select("id", signature_size(F.size("hashes")).alias("k"), F.posexplode("hashes").alias("rank", "h"))
-    hits = marked.select("id", "h", (F.col("rank") < F.col("k")).alias("least")).join(hint(known), "h")
+    hits = pinned.select("id", F.explode("hashes").alias("h")).join(hint(known), "h")
     # A document id in several rows can show a shingle more than once, hence the distinct hashes.
-    found = hits.groupBy("id", "item", "h").agg(F.max("least").alias("least")).groupBy("id", "item").agg(
-        F.count(F.lit(1)).alias("shared"), F.max("least").alias("candidate")
-    )
+    found = hits.select("id", "item", "h").distinct().groupBy("id", "item").agg(F.count(F.lit(1)).alias("shared"))
     return (
-        found.where("candidate")
-        .join(hint(sizes), "item")
+        found.join(hint(sizes), "item")
         .withColumn("containment", F.col("shared") / F.col("item_shingles"))
         .where(F.col("containment") >= min_containment)
         .select(F.col("id").alias(id_col), F.col("item").alias(item_id_col), "shared", "item_shingles", "containment")

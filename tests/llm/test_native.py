@@ -108,3 +108,10 @@ def test_licences_across_lines(spark):
     short = spark.createDataFrame([(k, f"{filler}\n{' '.join(text.split()[: -(-len(text.split()) * 3 // 4)])}\n{filler}") for k, (_, text) in enumerate(WHOLE_TEXTS[:18])], "doc_id long, text string")
     by_line = {(r.doc_id, r.license) for r in scan_licenses(short).collect()}
     assert len(by_line) > 8 and {(r.doc_id, r.license) for r in scan_license_texts(short).collect()} >= by_line
+
+
+def test_short_items_in_documents_below_a_power_of_two(spark):
+    docs = spark.createDataFrame([(n, " ".join(WORDS[: n + 4])) for n in (63, 127)], "doc_id long, text string")
+    items = [(k, " ".join(WORDS[k : k + 5 + k % 2])) for k in range(62)]
+    got = {(r.doc_id, r.item_id) for r in find_items(docs, spark.createDataFrame(items, "item_id long, text string")).collect()}
+    assert got == {(n, k) for n in (63, 127) for k, _ in items}
