@@ -19,7 +19,6 @@ class ChatConfig:
     similarity_top_k: int = 5
     memory_token_limit: int = 3000
     system_prompt: str = "Answer from the context only."
-    condense: bool = False
 
 
 def trim_memory(messages: DataFrame, token_limit: int = 3000) -> DataFrame:
