@@ -6,6 +6,8 @@ import ctypes
 import sys
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -16,25 +18,28 @@ from pyspark.sql import types as T
 def shared_dir(spark: SparkSession) -> str:
     """A new path under the cluster's shared folder.
 
-    The folder is ``spark.checkpoint.dir`` of the session; only where that is
-    unset (local tests) a temporary folder takes its place.
+    The folder is ``spark.checkpoint.dir`` of the session. Only a local session
+    without it gets a temporary folder; on a cluster every executor would have
+    a folder of its own there, so that is an error.
     """
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = tempfile.gettempdir() + "/brindle-shared"
-    return f"{base.rstrip('/')}/brindle-{uuid.uuid4().hex}"
+    return f"{_shared_base(spark).rstrip('/')}/brindle-{uuid.uuid4().hex}"
 
 
-def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Point ``checkpoint()`` at the shared folder if nothing else did so."""
-    if not spark.sparkContext.getCheckpointDir():
-        base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir() + "/brindle-shared"
-        spark.sparkContext.setCheckpointDir(base)
+def _shared_base(spark: SparkSession) -> str:
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if base:
+        return base
+    master = spark.sparkContext.master
+    if master == "local" or master.startswith("local["):
+        return tempfile.gettempdir() + "/brindle-shared"
+    raise RuntimeError(f"spark.checkpoint.dir must name a folder that all of {master} shares")
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that a lost executor costs no recomputation."""
-    ensure_checkpoint_dir(df.sparkSession)
+    spark = df.sparkSession
+    if not spark.sparkContext.getCheckpointDir():
+        spark.sparkContext.setCheckpointDir(_shared_base(spark))
     return df.checkpoint(eager=True)
 
 
@@ -49,6 +54,30 @@ def written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Intermediate tables of one operator in the shared folder, removed together once nothing reads them."""
+
+    def __init__(self, spark: SparkSession):
+        self._spark, self._dir, self._tables = spark, shared_dir(spark), 0
+
+    def table(self, df: DataFrame) -> DataFrame:
+        """``df``, written as Parquet and read again: no lineage, and the planner knows its size."""
+        self._tables += 1
+        path = f"{self._dir}/{self._tables}"
+        df.write.parquet(path)
+        return self._spark.read.schema(df.schema).parquet(path)
+
+    def drop(self) -> None:
+        remove(self._spark, self._dir)
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that this library wrote."""
+    jvm = spark.sparkContext._jvm
+    target = jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
 def trim_memory() -> None:
     """Gives freed memory of a Python worker back to the system, as workers are reused by later stages."""
     pa.default_memory_pool().release_unused()
@@ -57,15 +86,25 @@ def trim_memory() -> None:
         trim(0)
 
 
-#: Bytes of rows that Spark hands to a Python worker at once, about, and the default in its place.
-BATCH_BYTES, DEFAULT_BATCH_BYTES = 4 << 20, "67108864b"
-
-
-def bound_batches(spark: SparkSession) -> None:
-    """Makes this session's Arrow batches small where it has Spark's default of 64 MB, which JVM and worker hold several times over."""
-    name = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(name) == DEFAULT_BATCH_BYTES:
-        spark.conf.set(name, BATCH_BYTES)
+#: Bytes of rows that Spark hands to a Python worker at once, about; its default is 64 MB, which JVM and worker hold several times over.
+BATCH_BYTES = 4 << 20
+BYTES_CONF, ROWS_CONF = "spark.sql.execution.arrow.maxBytesPerBatch", "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextmanager
+def conf_for(spark: SparkSession, values: dict[str, object]) -> Iterator[None]:
+    """The session's settings are ``values`` while the block runs, and then what they were."""
+    before = {name: spark.conf.get(name, None) for name in values}
+    try:
+        for name, value in values.items():
+            spark.conf.set(name, value)
+        yield
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
 
 
 def drop_encoders() -> None:

@@ -21,7 +21,6 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-from ._common import bound_batches
 from .token_bytes import END_ID, GROUP_BYTES, MAX_CHUNKS, encoder
 
 TIERS = (256, 512, 1024)
@@ -129,6 +128,7 @@ def pack_documents(
     tokenizer_path: str | None = None,
     max_chunks: int = MAX_CHUNKS,
     group_bytes: int = GROUP_BYTES,
+    specials_as_text: bool = False,
 ) -> DataFrame:
     """Packs all documents of ``df``; one row for each piece of a document.
 
@@ -142,10 +142,10 @@ def pack_documents(
     null ids are packed row by row. An empty table gives no rows. Other columns
     of ``df`` are not read, whatever their names. ``max_chunks`` and
     ``group_bytes`` trade a worker's memory for time; the result is the same.
+    Strings of special tokens become those tokens unless ``specials_as_text``.
     """
     if sorted(tiers) != sorted({1 << (t.bit_length() - 1) for t in tiers if t > 0}):
         raise ValueError("tiers must be distinct powers of two")
-    bound_batches(df.sparkSession)
     source = df.select(df[id_col], df[text_col])
     id_field = T.StructField(id_col, source.schema[0].dataType, True)
     long = lambda name: T.StructField(name, T.LongType())
@@ -156,7 +156,7 @@ def pack_documents(
     top = max(tiers)
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode = encoder(tokenizer_path, max_chunks, group_bytes).encode_all
+        encode = encoder(tokenizer_path, max_chunks, group_bytes, specials_as_text).encode_all
         task = TaskContext.get().partitionId() << 36
         packer = TierPacker(tiers)
         docs: dict[int, list] = {}  # number: id, tokens, tokens still to place

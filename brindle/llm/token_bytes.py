@@ -5,7 +5,8 @@ so a word's ids do not depend on its neighbours. A text is therefore cut at
 single spaces, which that pattern never crosses, and before closing
 punctuation; each chunk's ids come from a bounded cache, and the tokenizers
 library only sees what is new. New words go to its BPE model many at a time. A text in which a space touches other white
-space goes to the whole tokenizer as it is.
+space, or that holds the string of an added token, goes to the whole tokenizer as it is; so do all texts if the
+file is of another kind of tokenizer.
 """
 
 from __future__ import annotations
@@ -33,19 +34,24 @@ KINDS = np.zeros(256, np.uint8)
 KINDS[[*range(0x41, 0x5B), *range(0x61, 0x7B)]] = LETTER
 KINDS[[b for b in range(0x21, 0x7F) if not chr(b).isalnum() and chr(b) != "'"]] = MARK
 
-_encoders: dict[str, "TokenBytes"] = {}
+_encoders: dict[tuple[str, bool], "TokenBytes"] = {}
 
 
-def encoder(path: str | None = None, max_chunks: int = MAX_CHUNKS, group_bytes: int = GROUP_BYTES) -> "TokenBytes":
-    """The worker process's encoder for the tokenizer file at ``path``, with bounds of its cache and of the texts at hand at once."""
+def encoder(path: str | None = None, max_chunks: int = MAX_CHUNKS, group_bytes: int = GROUP_BYTES, specials_as_text: bool = False) -> "TokenBytes":
+    """The worker process's encoder for the tokenizer file at ``path``, with bounds of its cache and of the texts at hand at once.
+
+    Strings of special tokens in a text become those tokens, as the library has
+    it; with ``specials_as_text`` they are text like any other.
+    """
     if path is None:
         import public_tokenizers
 
         path = public_tokenizers.path("byte_bpe_50k.json")
-    if path not in _encoders:
-        _encoders[path] = TokenBytes(path)
-    _encoders[path].max_chunks, _encoders[path].group_bytes = max_chunks, group_bytes
-    return _encoders[path]
+    key = (path, specials_as_text)
+    if key not in _encoders:
+        _encoders[key] = TokenBytes(path, specials_as_text)
+    _encoders[key].max_chunks, _encoders[key].group_bytes = max_chunks, group_bytes
+    return _encoders[key]
 
 
 def forget() -> bool:
@@ -62,23 +68,41 @@ def byte_letters() -> dict[int, str]:
     return {b: chr(b) for b in shown} | {b: chr(0x100 + k) for k, b in enumerate(hidden)}
 
 
+def cuts_at_spaces(spec: dict) -> bool:
+    """Whether a tokenizer file is what the shortcut assumes: byte-level BPE that cuts by the public pattern and changes no text before."""
+    model, cut = spec["model"], spec.get("pre_tokenizer") or {}
+    odd = ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "byte_fallback", "ignore_merges")
+    return (
+        not any(spec.get(k) for k in ("normalizer", "truncation", "padding"))
+        and (cut.get("type"), cut.get("add_prefix_space"), cut.get("use_regex", True)) == ("ByteLevel", False, True)
+        and model["type"] == "BPE"
+        and not any(model.get(k) for k in odd)
+        and set(byte_letters().values()) <= set(model["vocab"])
+    )
+
+
 class TokenBytes:
     """Encodes texts to little-endian unsigned 32-bit ids."""
 
     max_chunks = MAX_CHUNKS
     group_bytes = GROUP_BYTES
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, specials_as_text: bool = False):
         import public_tokenizers
         import regex
         from tokenizers import Tokenizer, models, pre_tokenizers
 
         self._tokenizer = Tokenizer.from_file(path)
-        self._tokenizer.encode_special_tokens = True
+        self._tokenizer.encode_special_tokens = specials_as_text
+        with open(path, encoding="utf-8") as file:
+            spec = json.load(file)
+        self._added = [t["content"] for t in spec.get("added_tokens", ()) if not (specials_as_text and t["special"])]
+        self._shortcut = cuts_at_spaces(spec)
+        if not self._shortcut:
+            return
         self._cut = regex.compile(public_tokenizers.PATTERN).findall
         #: The same merges for words that are cut already and written as byte letters.
-        with open(path, encoding="utf-8") as file:
-            model = json.load(file)["model"]
+        model = spec["model"]
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in model["merges"]]
         self._letters = byte_letters()
         self._line = self._letters[10]
@@ -101,6 +125,10 @@ class TokenBytes:
 
     def _encode_group(self, texts: pa.Array):
         """Arrow cuts the texts, numbers their distinct chunks and lines up the ids; only distinct chunks become Python strings."""
+        if not self._shortcut:
+            for text in texts:
+                yield self._ids(text.as_py())
+            return
         parts = pc.split_pattern(texts, " ")
         chunks, bounds, glued = cut_tails(parts.flatten(), parts.offsets.to_numpy())
         if len(self._spaced) + len(self._glued) > self.max_chunks:
@@ -125,6 +153,8 @@ class TokenBytes:
         whole = np.zeros(len(texts), bool)
         if unknown:
             whole = np.add.reduceat(np.isin(number, unknown), bounds[:-1], dtype=np.int64) > 0
+        for token in self._added:
+            whole |= pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         for k, alone in enumerate(whole.tolist()):
             yield self._ids(texts[k].as_py()) if alone else bytes(data[at[k] : at[k + 1]])
 
@@ -147,6 +177,8 @@ class TokenBytes:
                 continue
             if not chunk and not space:
                 known[chunk] = b""
+            elif chunk == "\n" and not space:
+                known[chunk] = pack("<I", self._line_id)
             elif chunk and not chunk[-1].isspace() and not (space and chunk[0].isspace()) and not SEPARATORS(chunk):
                 cuts[chunk] = self._cut(space + chunk)
         pieces = list(set(chain.from_iterable(cuts.values())))
@@ -172,12 +204,13 @@ class TokenBytes:
 
 
 def cut_tails(chunks: pa.StringArray, bounds: np.ndarray) -> tuple[pa.StringArray, np.ndarray, np.ndarray]:
-    """Cuts closing punctuation off chunks: ``word,`` becomes ``word`` and ``,``.
+    """Cuts chunks at single line ends and closing punctuation off what is left: ``a.\\nb,`` becomes ``a``, ``.``, ``\\n``, ``b`` and ``,``.
 
     ``bounds`` are the texts' first chunks and the end. Gives the chunks, their
-    bounds, and which of them have no space before them: tails and the first
-    ones of texts. The pattern always cuts between a letter and punctuation
-    other than an apostrophe.
+    bounds, and which of them have no space before them: all but the first part
+    of a chunk, and the first chunks of texts. The pattern always cuts between a
+    letter and punctuation other than an apostrophe, and a line end between two
+    characters that are no white space is always alone.
     """
     bounds = bounds.astype(np.int64)
     buffers = chunks.buffers()
@@ -185,15 +218,28 @@ def cut_tails(chunks: pa.StringArray, bounds: np.ndarray) -> tuple[pa.StringArra
     data = np.frombuffer(buffers[2] or b"", np.uint8)[: ends[-1]]
     kind = KINDS[data]
     # U+00C0 to U+00FF are letters but for the signs of multiplication and division.
-    kind[1:][(data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)] = LETTER
+    latin = (data[:-1] == 0xC3) & (data[1:] != 0x97) & (data[1:] != 0xB7)
+    kind[1:][latin] = LETTER
+    ahead = np.append(KINDS[data[1:]] > 0, False)  # what follows is surely no white space
+    ahead[:-2] |= latin[1:]
+    lines = np.flatnonzero(data == 10)
+    lines = lines[(lines > 0) & (lines + 1 < len(data))]
+    lines = lines[(kind[lines - 1] > 0) & ahead[lines]]
+    chunk = np.searchsorted(ends, lines, "right") - 1
+    lines = lines[(lines > ends[chunk]) & (lines + 1 < ends[chunk + 1])]
+    places = np.insert(lines + 1, np.arange(len(lines)), lines)
+    chunk = np.searchsorted(ends, places, "right") - 1
+    stops = np.insert(ends, chunk + 1, places)
     tails = np.flatnonzero((kind[:-1] == LETTER) & (kind[1:] == MARK)) + 1
-    chunk = np.searchsorted(ends, tails, "right") - 1
+    part = np.searchsorted(stops, tails, "right") - 1
     others = np.append(np.flatnonzero(kind != MARK), len(data))
-    good = (tails > ends[chunk]) & (others[np.searchsorted(others, tails)] >= ends[chunk + 1])
-    tails, chunk = tails[good], chunk[good]
-    cut = pa.StringArray.from_buffers(len(chunks) + len(tails), pa.py_buffer(np.insert(ends, chunk + 1, tails.astype(np.int32))), buffers[2])
+    tails = tails[(tails > stops[part]) & (others[np.searchsorted(others, tails)] >= stops[part + 1])]
+    # Parts never start where a chunk does, and empty chunks stay as they are.
+    places = np.sort(np.concatenate([places, tails]))
+    chunk = np.searchsorted(ends, places, "right") - 1
+    cut = pa.StringArray.from_buffers(len(chunks) + len(places), pa.py_buffer(np.insert(ends, chunk + 1, places.astype(np.int32))), buffers[2])
     bounds = bounds + np.searchsorted(chunk, bounds)
     glued = np.zeros(len(cut), bool)
-    glued[chunk + 1 + np.arange(len(tails))] = True
+    glued[chunk + 1 + np.arange(len(places))] = True
     glued[bounds[:-1]] = True
     return cut, bounds, glued

@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import partitions
+from ._common import BATCH_BYTES, BYTES_CONF, conf_for, partitions
 from .token_bytes import END_ID, encoder
 
 EMIT_BYTES = 4_000_000
@@ -36,23 +36,27 @@ def write_tokens(
     row_index_stride: int = 1000,
     bloom_fpp: float = 0.01,
     codec: str = "zstd",
+    shards: int | None = None,
+    specials_as_text: bool = False,
 ) -> None:
     """Writes all documents of ``df`` to ORC files in ascending id order.
 
     A row: ``doc_id``, ``shard`` (number of its range of ids), ``shard_start``
-    (ids in the shard before it), ``ids`` (with end id 0). A null or empty text
-    is its end id alone; null ids come first; rows with one id stay side by
-    side, in any order. An empty table gives files without rows. Other columns
-    are not read.
+    (ids in the shard before it), ``n_tokens``, ``ids`` (with end id 0). A null
+    or empty text is its end id alone; null ids come first; rows with one id
+    stay side by side, in any order, and are split over shards if they are many.
+    There are ``shards`` shards (by default as many as shuffle partitions). An
+    empty table gives files without rows. Other columns are not read. Strings
+    of special tokens become those tokens unless ``specials_as_text``.
     """
     source = df.select(df[id_col].alias("doc_id"), df[text_col].alias("text"))
     schema = T.StructType(
         [T.StructField("doc_id", source.schema[0].dataType), T.StructField("shard", T.IntegerType())]
-        + [T.StructField("shard_start", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
+        + [T.StructField("shard_start", T.LongType()), T.StructField("n_tokens", T.LongType()), T.StructField("ids", T.ArrayType(T.IntegerType(), False))]
     )
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode_all, shard, at = encoder(tokenizer_path).encode_all, TaskContext.get().partitionId(), 0
+        encode_all, shard, at = encoder(tokenizer_path, specials_as_text=specials_as_text).encode_all, TaskContext.get().partitionId(), 0
         for batch in batches:
             first, coded, size = 0, [], 0
             for row, ids in enumerate(encode_all(batch.column(1)), 1):
@@ -66,24 +70,27 @@ def write_tokens(
                 lists = pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), values)
                 keys = batch.column(0).slice(first, row - first)
                 yield pa.RecordBatch.from_arrays(
-                    [keys, pa.array(np.full(len(coded), shard), pa.int32()), pa.array(at + offsets[:-1], pa.int64()), lists],
+                    [keys, pa.array(np.full(len(coded), shard), pa.int32()), pa.array(at + offsets[:-1], pa.int64()), pa.array(np.diff(offsets), pa.int64()), lists],
                     names=schema.names,
                 )
                 at += int(ends[-1])
                 first, coded, size = row, [], 0
 
-    (
-        source.repartitionByRange(partitions(df), "doc_id")
-        .sortWithinPartitions("doc_id")
-        .mapInArrow(encode, schema)
-        .write.option("orc.compress", codec)
-        .option("orc.stripe.size", stripe_bytes)
-        .option("orc.row.index.stride", row_index_stride)
-        .option("orc.create.index", "true")
-        .option("orc.bloom.filter.columns", "doc_id")
-        .option("orc.bloom.filter.fpp", bloom_fpp)
-        .orc(path)
-    )
+    # The row's number splits the rows of one id; it is the same whenever a task is run again.
+    ranges = source.withColumn("row", F.monotonically_increasing_id()).repartitionByRange(shards or partitions(df), "doc_id", "row")
+    with conf_for(df.sparkSession, {BYTES_CONF: BATCH_BYTES}):
+        (
+            ranges.sortWithinPartitions("doc_id", "row")
+            .drop("row")
+            .mapInArrow(encode, schema)
+            .write.option("orc.compress", codec)
+            .option("orc.stripe.size", stripe_bytes)
+            .option("orc.row.index.stride", row_index_stride)
+            .option("orc.create.index", "true")
+            .option("orc.bloom.filter.columns", "doc_id")
+            .option("orc.bloom.filter.fpp", bloom_fpp)
+            .orc(path)
+        )
 
 
 def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None) -> DataFrame:
@@ -93,19 +100,19 @@ def read_tokens(spark: SparkSession, path: str, doc_ids: list[int] | None = None
 
 
 def document_starts(rows: DataFrame) -> DataFrame:
-    """Adds ``start`` (ids of all documents before a row's) and ``n_tokens``.
+    """Adds ``start``: the ids of all documents before a row's.
 
-    Only one row a shard, its total, is summed up; there are as many shards as
-    the writer had partitions, so that table is small enough to broadcast.
+    Only the column ``n_tokens`` is read for it, and one row a shard, its total,
+    is summed up; there are as many shards as the writer had partitions, so that
+    table is small enough to broadcast.
     """
     from pyspark.sql import Window
 
-    sized = rows.withColumn("n_tokens", F.size("ids").cast("long"))
-    totals = sized.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
     before = totals.select(
         "shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("shard_offset")
     )
-    return sized.join(F.broadcast(before), "shard").withColumn("start", F.col("shard_offset") + F.col("shard_start")).drop("shard_offset")
+    return rows.join(F.broadcast(before), "shard").withColumn("start", F.col("shard_offset") + F.col("shard_start")).drop("shard_offset")
 
 
 def with_checksum(rows: DataFrame, *keep: str) -> DataFrame:
