@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ._common import partitions
+from ._common import cut_lineage, partitions
 
 RANGE_ROWS = 1024
 MAX_RANGES = 1 << 16
@@ -26,9 +26,13 @@ MAX_RANGES = 1 << 16
 MAX_SOURCES = 500_000
 
 
-def shuffle_key(seed: int, id_col: str) -> F.Column:
-    """A seeded, uniform text key for a row, from its id."""
-    return F.md5(F.concat(F.lit(f"{seed}|"), F.coalesce(F.col(id_col).cast("string"), F.lit(""))))
+#: Repeated rows' hashes up to which they are broadcast (about 16 MB).
+MAX_REPEATED = 500_000
+
+
+def shuffle_key(seed: int, *columns: str) -> F.Column:
+    """A seeded, uniform text key for a row, from its columns."""
+    return F.md5(F.concat_ws("|", F.lit(str(seed)), *[F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns]))
 
 
 def interleave_shards(
@@ -46,29 +50,40 @@ def interleave_shards(
     plus 8), ``text_crc32`` (of the text, the empty one if null), ``shard``,
     ``slot`` (position in the shard, gapless from 0) and ``fraction``.
 
-    A null source is a source of its own. Rows with one id have one key; ties
-    are broken by size and checksum, and rows equal in all of that are
-    interchangeable. Fewer rows than shards leave shards empty; an empty table
-    gives no rows. Other columns are not read.
+    A null source is a source of its own. A row's key comes from its id and
+    text; rows equal in both are interchangeable and get keys of their own from
+    their places, so that no key has many rows. Fewer rows than shards leave
+    shards empty; an empty table gives no rows. Other columns are not read.
     """
     source = F.coalesce(F.concat(F.lit("="), F.col(source_col).cast("string")), F.lit(""))
-    rows = df.select(
-        F.col(id_col).alias("id"),
-        source.alias("stratum"),
-        shuffle_key(seed, id_col).alias("key"),
-        (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"),
-        F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("crc"),
+    base = cut_lineage(
+        df.select(
+            F.col(id_col).alias("id"),
+            source.alias("stratum"),
+            F.xxhash64(text_col).alias("text"),
+            F.monotonically_increasing_id().alias("row"),
+            (F.coalesce(F.octet_length(text_col), F.lit(0)) + 8).cast("long").alias("size"),
+            F.crc32(F.coalesce(F.col(text_col), F.lit(""))).alias("crc"),
+        )
     )
-    total = df.count()
+    total = base.count()
+    same = F.xxhash64(F.lit(seed), "id", "text")
+    repeated = cut_lineage(base.groupBy(same.alias("same")).agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("same"))
+    rows = base.withColumn("key", shuffle_key(seed, "id", "text"))
+    if not repeated.isEmpty():
+        known = F.broadcast(repeated) if repeated.count() <= MAX_REPEATED else repeated
+        marked = base.withColumn("same", same).join(known.withColumn("again", F.lit(True)), "same", "left")
+        rows = marked.withColumn("key", F.when(F.col("again"), shuffle_key(seed, "id", "text", "row")).otherwise(shuffle_key(seed, "id", "text")))
+    rows = rows.select("id", "stratum", "key", "size", "crc")
     per_range = max(RANGE_ROWS, -(-total // MAX_RANGES))
 
     # Ranges of the shuffled key within each source: how many, and what comes before each.
-    counts = df.groupBy(source.alias("stratum")).agg(F.count(F.lit(1)).alias("n")).select("stratum", "n", F.ceil(F.col("n") / per_range).cast("long").alias("ranges"))
+    counts = base.groupBy("stratum").agg(F.count(F.lit(1)).alias("n")).select("stratum", "n", F.ceil(F.col("n") / per_range).cast("long").alias("ranges"))
     # Without a join by source no task gets a hot source's rows together.
     hint = F.broadcast if counts.count() <= MAX_SOURCES else (lambda frame: frame)
     place = F.conv(F.substring("key", 1, 8), 16, 10).cast("double") / F.lit(float(1 << 32))
     keyed = lambda frame: frame.join(hint(counts), "stratum").withColumn("range", F.floor(place * F.col("ranges")).cast("long"))
-    slim = keyed(df.select(source.alias("stratum"), shuffle_key(seed, id_col).alias("key")))
+    slim = keyed(rows.select("stratum", "key"))
     in_source = Window.partitionBy("stratum").orderBy("range")
     firsts = slim.groupBy("stratum", "range").agg(F.count(F.lit(1)).alias("k")).select(
         "stratum", "range", (F.sum("k").over(in_source) - F.col("k")).alias("first")
