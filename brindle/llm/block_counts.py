@@ -4,9 +4,9 @@ Items (words, n-grams, shingles) are too many for a table that every task could
 hold, and joining every occurrence with its count would move the corpus many
 times over. So documents are dealt to blocks of a bounded size, and
 
-1. each block sends its distinct items once, as packed hashes with their counts
-   in the block, to the owner of their hash range: a hot item is one entry a
-   block, however often it occurs;
+1. each block sends its distinct items once, as packed steps between ascending
+   hashes with their counts in the block, to the owner of their hash range: a hot
+   item is one entry a block, however often it occurs;
 2. each owner adds up the counts of its items and answers every block with the
    totals alone, in the order of the question;
 3. each block, which knows its own items, puts the totals beside them.
@@ -30,22 +30,27 @@ from ._common import drop_encoders, partitions, trim_memory
 
 #: UTF-8 bytes of text in a block, about.
 BLOCK_BYTES = 6_000_000
-#: Low-order bytes of a hash that are sent; the range says the rest of what is needed.
-HASH_BYTES = 6
+#: Bytes of text for each hash range, about, so that ranges grow in number with the corpus and not in size.
+RANGE_BYTES = 32 << 20
+#: Bits of a hash that are sent beyond those that tell the ranges apart.
+HASH_BITS = 42
 
 #: A block's distinct items: ascending hashes, and for each its count in the block.
 Items = tuple[np.ndarray, np.ndarray]
 
 
-def blocked(df: DataFrame, text_col: str, salt: Column) -> DataFrame:
-    """``df`` with a column ``block``, dealt to the blocks by a hash of ``salt``; rows of a block are in one partition."""
+def blocked(df: DataFrame, text_col: str, salt: Column) -> tuple[DataFrame, int]:
+    """``df`` with a column ``block``, dealt to the blocks by a hash of ``salt``, and the number of hash ranges for so much text.
+
+    Rows of a block are in one partition.
+    """
     total = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     parts = partitions(df)
     blocks = max(1, -(-total // BLOCK_BYTES))
     if blocks > 1:
         blocks = -(-blocks // parts) * parts if blocks > parts else blocks
     out = df.withColumn("block", F.pmod(salt, F.lit(blocks)).cast("int"))
-    return out.repartition(int(max(parts, min(blocks, 4 * parts))), "block")
+    return out.repartition(int(max(parts, min(blocks, 4 * parts))), "block"), int(max(parts, -(-total // RANGE_BYTES)))
 
 
 def pack_hashes(hashes: np.ndarray, width: int) -> bytes:
@@ -58,6 +63,19 @@ def unpack_hashes(data: bytes, width: int) -> np.ndarray:
     return out.view(np.uint64).ravel()
 
 
+def pack_steps(values: np.ndarray) -> bytes:
+    """Ascending integers by their steps: bytes of one weight side by side, so that the high ones, nearly all alike, compress."""
+    steps = np.diff(values, prepend=np.uint64(0))
+    width = 4 if not len(steps) or int(steps[1:].max(initial=0)) < 1 << 32 and int(steps[0]) < 1 << 32 else 8
+    planes = np.ascontiguousarray(steps.astype(f"<u{width}").view(np.uint8).reshape(-1, width).T)
+    return bytes([width]) + zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
+
+
+def unpack_steps(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    return np.cumsum(np.ascontiguousarray(planes.T).view(f"<u{data[0]}").ravel(), dtype=np.uint64)
+
+
 def pack_counts(counts: np.ndarray) -> bytes:
     """Counts in the narrowest unsigned type that holds them, compressed."""
     width = next(w for w in (1, 2, 4, 8) if not len(counts) or int(counts.max()) < 1 << (8 * w))
@@ -79,20 +97,21 @@ class BlockCounts:
     """``make(columns)`` turns a block's rows into items, ``use`` turns items and their totals into result rows.
 
     ``columns`` are Arrow arrays of the block's rows (without ``block``). ``make``
-    returns the kinds of items, an ``Items`` pair each, and whatever ``use``
-    needs of that work; ``widths`` has for each kind the bytes of a hash to
-    send. ``use(work, kinds, totals, corpus)`` gets for each kind the totals of
+    returns the ``kinds`` kinds of items, an ``Items`` pair each, and whatever
+    ``use`` needs of that work. ``use(work, kinds, totals, corpus)`` gets for each kind the totals of
     its hashes and, for the corpus, the sum of all counts and the number of
     distinct hashes whose total is not zero.
     """
 
     make: Callable[[list[pa.Array]], tuple[list[Items], object]]
     use: Callable[[object, list[Items], list[np.ndarray], list[tuple[int, int]]], pa.RecordBatch]
-    widths: tuple[int, ...]
+    kinds: int
 
-    def run(self, blocks: DataFrame, schema) -> DataFrame:
-        """``blocks`` comes from ``blocked``; the result has the columns of ``schema``."""
-        ranges, make, use, widths = partitions(blocks), self.make, self.use, self.widths
+    def run(self, blocks: DataFrame, ranges: int, schema) -> DataFrame:
+        """``blocks`` and ``ranges`` come from ``blocked``; the result has the columns of ``schema``."""
+        make, use, n_kinds = self.make, self.use, self.kinds
+        # What is left of a hash tells items apart as well in a range of a large corpus as in one of a small.
+        shift = np.uint64(max(0, 64 - HASH_BITS - (ranges - 1).bit_length()))
         columns = [c for c in blocks.columns if c != "block"]
 
         def of(table: pa.Table) -> list[pa.Array]:
@@ -106,7 +125,8 @@ class BlockCounts:
             out = []
             for k in range(ranges):
                 part = [(h[c[k] : c[k + 1]], n[c[k] : c[k + 1]]) for (h, n), c in zip(kinds, cut, strict=True)]
-                out.append((k, block, [pack_hashes(h, w) for (h, _), w in zip(part, widths, strict=True)], [pack_counts(n) for _, n in part]))
+                low = np.uint64((k << 64) // ranges) >> shift
+                out.append((k, block, [pack_steps((h >> shift) - low) for h, _ in part], [pack_counts(n) for _, n in part]))
             del kinds
             trim_memory()
             rows = list(zip(*out, strict=True))
@@ -116,8 +136,8 @@ class BlockCounts:
         def answer(table: pa.Table) -> pa.Table:
             block, hashes, counts = (table.column(c).to_pylist() for c in ("block", "hashes", "counts"))
             replies: list[list[bytes]] = [[] for _ in block]
-            for kind, width in enumerate(widths):
-                asked = [unpack_hashes(h[kind], width) for h in hashes]
+            for kind in range(n_kinds):
+                asked = [unpack_steps(h[kind]) for h in hashes]
                 values, where = np.unique(np.concatenate(asked), return_inverse=True)
                 own = np.concatenate([unpack_counts(c[kind]) for c in counts])
                 sums = np.bincount(where, weights=own, minlength=len(values)).astype(np.int64)
@@ -134,8 +154,8 @@ class BlockCounts:
             kinds, work = make(of(rows))
             order = np.argsort(replies.column("hash_range").to_numpy())  # every range answers every block
             got = replies.column("totals").to_pylist()
-            totals = [np.concatenate([unpack_counts(got[i][2 * k]) for i in order]) for k in range(len(widths))]
-            corpus = [tuple(sum(np.frombuffer(g[2 * k + 1], np.int64) for g in got).tolist()) for k in range(len(widths))]
+            totals = [np.concatenate([unpack_counts(got[i][2 * k]) for i in order]) for k in range(n_kinds)]
+            corpus = [tuple(sum(np.frombuffer(g[2 * k + 1], np.int64) for g in got).tolist()) for k in range(n_kinds)]
             out = pa.Table.from_batches([use(work, kinds, totals, corpus)])
             del kinds, work, totals
             trim_memory()

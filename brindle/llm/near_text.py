@@ -40,8 +40,8 @@ SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
 IDF_STRENGTH = 0.1
-#: Low-order bytes of a shingle's hash; its range adds the bits that a larger corpus needs.
-SENT_BYTES, KEPT_BYTES = 5, 7
+#: Low-order bytes of a shingle's hash that a set keeps.
+KEPT_BYTES = 7
 SAMPLE_ROWS = 1 << 13
 #: Bytes of packed sets that a block of queries may have: the first is small, as it often unites classes. They are collected and broadcast.
 FIRST_BLOCK_BYTES, BLOCK_BYTES = 2 << 20, 24 << 20
@@ -163,8 +163,8 @@ def _candidates(docs: DataFrame, total: int, min_similarity: float) -> DataFrame
             names=["id", "weight", "hashes", "weights", "bands"],
         )
 
-    blocks = blocked(docs, "text", F.xxhash64("id"))
-    return BlockCounts(make, use, (SENT_BYTES,)).run(blocks, "id long, weight double, hashes binary, weights binary, bands array<bigint>")
+    blocks, ranges = blocked(docs, "text", F.xxhash64("id"))
+    return BlockCounts(make, use, 1).run(blocks, ranges, "id long, weight double, hashes binary, weights binary, bands array<bigint>")
 
 
 def _shared_weights(hashes: np.ndarray, weights: np.ndarray, others: np.ndarray, other_weights: np.ndarray, starts: np.ndarray) -> np.ndarray:

@@ -6,7 +6,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm import block_counts
+from brindle.llm import backoff_lm, block_counts
 from brindle.llm.backoff_lm import STRENGTH, score_texts
 
 SF = "/root/testdata/sf0.001"
@@ -18,31 +18,37 @@ def tokens(text):
 
 
 class Automaton:
-    """The automaton state by state: arcs, failure arcs, one traversal."""
+    """The automaton state by state: arcs, failure arcs, one traversal. A state is a tuple of at most two words; the start is one."""
 
     def __init__(self, texts):
         self.words, self.arcs, self.left = Counter(), Counter(), Counter()
         for text in texts:
-            state = ""
+            state = ("",)
             for t in tokens(text):
                 self.words[t] += 1
-                self.arcs[state, t] += 1
-                self.left[state] += 1
-                state = t
+                for k in range(len(state)):
+                    self.arcs[state[k:], t] += 1
+                    self.left[state[k:]] += 1
+                state = (*state, t)[-2:]
         self.n, self.v = sum(self.words.values()), len(self.words)
 
     def word(self, t):
         return math.log10((self.words[t] + 1) / (self.n + self.v + 1))
 
+    def arc(self, state, t):
+        """The weight of an arc, or of the failure arc and what comes after it."""
+        if not state:
+            return self.word(t)
+        left, shorter = self.left[state], self.arc(state[1:], t)
+        if self.arcs[state, t]:
+            return math.log10((self.arcs[state, t] + STRENGTH * 10**shorter) / (left + STRENGTH))
+        return math.log10(STRENGTH / (left + STRENGTH)) + shorter
+
     def score(self, text):
-        state, total = "", 0.0
+        state, total = ("",), 0.0
         for t in tokens(text):
-            left = self.left[state]
-            if self.arcs[state, t]:
-                total += math.log10((self.arcs[state, t] + STRENGTH * 10 ** self.word(t)) / (left + STRENGTH))
-            else:
-                total += math.log10(STRENGTH / (left + STRENGTH)) + self.word(t)
-            state = t
+            total += self.arc(state, t)
+            state = (*state, t)[-2:]
         return total
 
 
@@ -66,12 +72,18 @@ def test_like_brute_force(spark, monkeypatch, block_bytes):
 
 def test_weights_sum_to_one():
     model = Automaton(["a b a", "a c", "b"])
-    for state in ["", "a", "b", "never"]:
-        total = 0
-        for t in [*model.words, "unknown"]:
-            left, arc = model.left[state], model.arcs[state, t]
-            total += (arc + STRENGTH * 10 ** model.word(t)) / (left + STRENGTH)
-        assert total == pytest.approx(1)
+    for state in [("",), ("a",), ("b",), ("never",), ("", "a"), ("a", "b"), ("never", "a"), ()]:
+        assert sum(10 ** model.arc(state, t) for t in [*model.words, "unknown"]) == pytest.approx(1)
+
+
+def test_many_equal_rows_go_as_one(spark, monkeypatch):
+    monkeypatch.setattr(backoff_lm, "MANY_EQUAL", 4)
+    rows = [(1, "a b c a b")] * 9 + [(1, "a b")] * 3 + [(2, None)] * 5 + [(None, "c a")] * 6 + [(4, "b c d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = Automaton([text for _, text in rows])
+    got = score_texts(docs, F.lit(True)).collect()
+    mine = Counter((r.doc_id, r.n_tokens, round(r.score, 6), r.train_tokens) for r in got)
+    assert mine == Counter((k, len(tokens(t)), round(model.score(t), 6), model.n) for k, t in rows)
 
 
 def test_edges(spark):
