@@ -43,19 +43,12 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """``df`` as a Parquet table in the shared folder.
+class Scratch:
+    """Intermediate tables of one operator in the shared folder, removed together once nothing reads them.
 
     Checkpoints keep the planner's estimate of their size. Where each round joins the result of the round before, the
     estimates multiply to numbers of millions of digits, and planning never ends; a table has the size of its files.
     """
-    path = f"{shared_dir(df.sparkSession)}/rows"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-class Scratch:
-    """Intermediate tables of one operator in the shared folder, removed together once nothing reads them."""
 
     def __init__(self, spark: SparkSession):
         self._spark, self._dir, self._tables = spark, shared_dir(spark), 0

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import written
+from ._common import Scratch
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -23,19 +23,20 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame, scratch: Scratch, max_rounds: int = 60) -> DataFrame:
     """``node`` and ``label``, the least node of its component, for every node of an edge other than such least nodes.
 
     ``edges`` has the columns ``a`` and ``b``, of one orderable type; direction,
     repetition and self-loops do not matter. Alternating large and small stars
     halve distances each round, so rounds grow with the logarithm of the longest
-    path. Least neighbours are pre-aggregated, so a node of very many edges is
-    no burden; each round is written to the shared folder.
+    path. Edges are never gathered by node: the least neighbours are
+    pre-aggregated, and a node of very many edges is a skewed key of a join, which
+    adaptive execution splits. Each round is a table of ``scratch``.
     """
-    now = written(edges.select("a", "b").where("a <> b").distinct())
+    now = scratch.table(edges.select("a", "b").where("a <> b").distinct())
     before = None
     for _ in range(max_rounds):
-        now = written(_star(_star(now, True), False))
+        now = scratch.table(_star(_star(now, True), False))
         state = now.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == before:
             return now.select(F.col("a").alias("node"), F.col("b").alias("label"))

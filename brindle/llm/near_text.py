@@ -1,11 +1,12 @@
 """Near-duplicate texts: consistent weighted sampling over TF-IDF shingles.
 
 A text is the weighted set of its word 5-shingles, weighted tf * idf with
-idf = 1 + ``IDF_STRENGTH`` * log((N+1)/(df+1)) / log(N+1). Document frequencies
-cover all documents (see ``block_counts``). The idf part is kept mild on
-purpose: with the usual one, the few shingles that an edit makes unique weigh
-several times what the shingles of a large group of copies weigh, and true
-copies at 0.9 fall below the threshold.
+idf = log(1 + N / (df + SMOOTHING * N)) for N documents. Document frequencies
+cover all documents, equal texts once (see ``block_counts``). The smoothing is
+a share of the corpus: a passage that all texts have weighs less than half of
+a unique shingle, yet copies that are alike by 0.85 without weights stay above
+0.8 even in a group of a third of all rows, where the unsmoothed idf makes the
+few shingles of an edit outweigh all that the copies share.
 
 1. Equal texts are one class from the start.
 2. A shingle no other text has cannot be shared, so a text in which such
@@ -17,37 +18,38 @@ copies at 0.9 fall below the threshold.
    are united to classes. A bucket is not expanded into all pairs: every text is
    compared with the least member of one of its buckets, then with those of its
    other buckets that are of another class. What a bucket's largest class leaves
-   outside is a query set: in blocks of bounded size it is sent to all tasks,
-   which compare it with their texts of the same buckets. Members of one class
-   need no comparison, so no link between classes is lost.
+   outside is compared with the bucket's texts of other classes by jobs: buckets
+   whose largest class is the same go together, both sides are cut into slices
+   of bounded size, and each pair of slices is a job, which returns one link for
+   each two classes that it finds linked. Members of one class need no
+   comparison, so no link between classes is lost, and nothing passes the driver.
 """
 
 from __future__ import annotations
 
-import gc
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ._common import cut_lineage, without_ids, written
+from ._common import ROWS_CONF, Scratch, conf_for, without_ids
 from .block_counts import BlockCounts, blocked, mix, pack_hashes, span_hashes, text_bytes, unpack_hashes
 from .components import components
 
 SHINGLE_WORDS = 5
 MIN_SIMILARITY = 0.8
 BANDS, ROWS = 16, 3
-IDF_STRENGTH = 0.1
+SMOOTHING = 0.5
 #: Low-order bytes of a shingle's hash that a set keeps.
 KEPT_BYTES = 7
 SAMPLE_ROWS = 1 << 13
-#: Bytes of packed sets that a block of queries may have: the first is small, as it often unites classes. They are collected and broadcast.
-FIRST_BLOCK_BYTES, BLOCK_BYTES = 2 << 20, 24 << 20
-#: Sums of bytes that are collected for a block, at most.
-MAX_SLOTS = 1 << 16
-BATCH_CONF = "spark.sql.execution.arrow.maxRecordsPerBatch"
+#: Bytes of packed sets in a slice of what is outside and of the texts it is compared with.
+ASKING_BYTES, ASKED_BYTES = 8 << 20, 16 << 20
+#: Groups of buckets up to which their numbers of slices are broadcast.
+MAX_GROUPS = 500_000
+#: Rows here hold whole shingle sets, so few go to a Python worker at once; shuffle files go when the table they made is written.
+SETTINGS = {ROWS_CONF: "256", "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true"}
 
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
@@ -75,7 +77,8 @@ def shingle_sets(texts: pa.Array, k: int = SHINGLE_WORDS) -> tuple[np.ndarray, n
         # Word j of the shingle that starts here, nothing beyond the text's end.
         shingle *= np.uint64(0x9DDFEA08EB382D69)
         shingle ^= shingle >> np.uint64(32)
-        shingle[: len(words) - j] += np.where(rank[: len(words) - j] + j < n[text[: len(words) - j]], words[j:], np.uint64(0))
+        m = max(0, len(words) - j)
+        shingle[:m] += np.where(rank[:m] + j < n[text[:m]], words[j:], np.uint64(0))
     begins = (rank + k <= n[text]) | (rank == 0)
     shingle, text = mix(shingle[begins]), text[begins]
     order = np.lexsort((shingle, text))
@@ -143,7 +146,7 @@ def _candidates(docs: DataFrame, total: int, min_similarity: float) -> DataFrame
     def use(work, kinds, totals, corpus) -> pa.RecordBatch:
         ids, text, hashes, tf, where = work
         df = totals[0][where]
-        weight = tf * (1 + IDF_STRENGTH * np.log((total + 1) / (np.minimum(df, total) + 1)) / np.log(total + 2))
+        weight = tf * np.log(1 + total / (np.minimum(df, total) + SMOOTHING * total))
         whole = np.bincount(text, weights=weight, minlength=len(ids))
         common = np.bincount(text, weights=weight * (df > 1), minlength=len(ids))
         chosen = np.flatnonzero((whole > 0) & (common >= min_similarity * whole * (1 - 1e-9)))
@@ -201,176 +204,178 @@ def _linked(pairs: DataFrame, sets: DataFrame, min_similarity: float) -> DataFra
     return both.select(*columns).mapInArrow(verify, "a long, b long")
 
 
-def _linked_to(queries: list, sets: DataFrame, min_similarity: float) -> DataFrame:
-    """Links (``a``, ``b``) of the queries (rows of ``sets`` with the ``buckets`` in which they ask) with all texts of those buckets."""
-    sent = sets.sparkSession.sparkContext.broadcast([tuple(q) for q in queries])
-
-    def verify(batches):
-        rows = sent.value
-        where = {q[0]: set(q[4]) for q in rows}
-        weight = np.array([q[1] for q in rows])
-        hashes = [unpack_hashes(q[2], KEPT_BYTES) for q in rows]
-        weights = [np.frombuffer(q[3], np.float32) for q in rows]
-        asks: dict[int, list[int]] = {}
-        for k, q in enumerate(rows):
-            for bucket in q[4]:
-                asks.setdefault(bucket, []).append(k)
-        for batch in batches:
-            a, b = [], []
-            ids, whole, bands = (batch.column(k).to_pylist() for k in (0, 1, 4))
-            for i, x in enumerate(ids):
-                mine = where.get(x, ())
-                # A pair that both ask for in a bucket is compared once.
-                hit = {k for bucket in bands[i] if bucket in asks for k in asks[bucket] if rows[k][0] < x or (rows[k][0] > x and bucket not in mine)}
-                if not hit:
-                    continue
-                hit = np.fromiter(hit, np.int64)
-                hit = hit[np.minimum(weight[hit], whole[i]) >= min_similarity * (1 - 1e-9) * np.maximum(weight[hit], whole[i])]
-                if not len(hit):
-                    continue
-                own, own_weights = unpack_hashes(batch.column(2)[i].as_py(), KEPT_BYTES), np.frombuffer(batch.column(3)[i].as_py(), np.float32)
-                # A few sets at a time, so that a text of very many queries needs little memory.
-                for at in range(0, len(hit), 256):
-                    some = hit[at : at + 256]
-                    sizes = np.array([len(hashes[k]) for k in some])
-                    shared = _shared_weights(own, own_weights, np.concatenate([hashes[k] for k in some]), np.concatenate([weights[k] for k in some]), np.cumsum(sizes) - sizes)
-                    for k in some[_similar(weight[some], whole[i], shared, min_similarity)]:
-                        a.append(rows[k][0])
-                        b.append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    return sets.select("id", "weight", "hashes", "weights", "bands").mapInArrow(verify, "a long, b long")
-
-
-def _merged(labels: DataFrame | None, edges: DataFrame) -> DataFrame:
+def _job(table: pa.Table, min_similarity: float) -> pa.Table:
+    """Links (``a``, ``b``) between the classes of the texts that ask and of those that are asked, where they share a bucket: one for each two classes."""
+    ask = table.column("asks").to_pylist()
+    label, weight = table.column("label").to_numpy(), table.column("weight").to_numpy()
+    hashes, weights, buckets = (table.column(c) for c in ("hashes", "weights", "buckets"))
+    sets: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+
+    def set_of(i: int) -> tuple[np.ndarray, np.ndarray]:
+        if i not in sets:
+            sets[i] = unpack_hashes(hashes[i].as_py(), KEPT_BYTES), np.frombuffer(weights[i].as_py(), np.float32)
+        return sets[i]
+
+    where: dict[int, list[int]] = {}
+    for i, asks in enumerate(ask):
+        if not asks:
+            for bucket in buckets[i].as_py():
+                where.setdefault(bucket, []).append(i)
+    linked: set[tuple[int, int]] = set()
+    for q in np.flatnonzero(ask).tolist():
+        hit = np.unique(np.concatenate([np.array(where.get(bucket, ()), np.int64) for bucket in buckets[q].as_py()]))
+        hit = hit[label[hit] != label[q]]
+        hit = hit[np.minimum(weight[hit], weight[q]) >= min_similarity * (1 - 1e-9) * np.maximum(weight[hit], weight[q])]
+        if not len(hit):
+            continue
+        own, own_weights = set_of(q)
+        for other in np.unique(label[hit]).tolist():
+            pair = (min(other, int(label[q])), max(other, int(label[q])))
+            rest = hit[label[hit] == other]
+            # A few sets at a time, so that a text of very many partners needs little memory.
+            while len(rest) and pair not in linked:
+                some, rest = rest[:64], rest[64:]
+                found = [set_of(i) for i in some.tolist()]
+                sizes = np.array([len(h) for h, _ in found])
+                shared = _shared_weights(own, own_weights, np.concatenate([h for h, _ in found]), np.concatenate([w for _, w in found]), np.cumsum(sizes) - sizes)
+                if _similar(weight[some], weight[q], shared, min_similarity).any():
+                    linked.add(pair)
+    pairs = sorted(linked)
+    return pa.table([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
+
+
+def _linked_outside(buckets: DataFrame, labels: DataFrame, sets: DataFrame, scratch: Scratch, min_similarity: float) -> DataFrame:
+    """Links (``a``, ``b``) between classes that texts outside the largest class of one of their buckets have there."""
+    now = scratch.table(
+        buckets.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
+    )
+    per_label = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
+    mixed = per_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
+    mixed = scratch.table(mixed.select("bucket", F.col("top.label").alias("group")))
+    rows = now.join(mixed, "bucket")
+    # Every text of a mixed bucket is asked; those outside the largest class ask as well.
+    sides = rows.withColumn("asks", F.lit(False)).unionAll(rows.where("label <> group").withColumn("asks", F.lit(True)))
+    sides = sides.groupBy("group", "asks", "id", "label").agg(F.collect_set("bucket").alias("buckets"))
+    sides = scratch.table(sides.join(sets.select("id", (F.length("hashes") + F.length("weights")).alias("bytes")), "id"))
+    bytes_of = lambda asks: F.sum(F.when(F.col("asks") == F.lit(asks), F.col("bytes")))
+    slices = scratch.table(
+        sides.groupBy("group").agg(
+            F.ceil(bytes_of(True) / ASKING_BYTES).cast("int").alias("asking"), F.ceil(bytes_of(False) / ASKED_BYTES).cast("int").alias("asked")
+        )
+    )
+    sliced = sides.join(F.broadcast(slices) if slices.count() <= MAX_GROUPS else slices, "group")
+    slice_of = lambda n: F.pmod(F.xxhash64(F.lit(4), "id"), F.greatest(n, F.lit(1))).cast("int")
+    own = F.when(F.col("asks"), slice_of(F.col("asking"))).otherwise(slice_of(F.col("asked")))
+    other = F.explode(F.sequence(F.lit(0), F.greatest(F.when(F.col("asks"), F.col("asked")).otherwise(F.col("asking")), F.lit(1)) - 1))
+    dealt = sliced.withColumn("own", own).withColumn("other", other)
+    jobs = dealt.select(
+        "id", "label", "asks", "buckets", "group",
+        F.when(F.col("asks"), F.col("own")).otherwise(F.col("other")).alias("low"),
+        F.when(F.col("asks"), F.col("other")).otherwise(F.col("own")).alias("high"),
+    )
+    whole = jobs.join(sets.select("id", "weight", "hashes", "weights"), "id")
+    return whole.groupBy("group", "low", "high").applyInArrow(lambda t: _job(t, min_similarity), "a long, b long")
+
+
+def _merged(labels: DataFrame | None, edges: DataFrame, scratch: Scratch) -> DataFrame:
     """``labels`` (``node``, ``label``; least nodes have none) after the ``edges`` have united more; they are written."""
     if labels is None:
-        return components(edges)
+        return components(edges, scratch)
     if edges.isEmpty():
         return labels
     of = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
     united = edges.join(of("a"), "a", "left").join(of("b"), "b", "left").select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b"))
-    new = components(united)
+    new = components(united, scratch)
     moved = labels.join(new.select(F.col("node").alias("label"), F.col("label").alias("now")), "label", "left").select("node", F.coalesce("now", "label").alias("label"))
-    return written(moved.unionAll(new.select("node", "label")))
-
-
-def _first_bytes(rest: DataFrame, left: int, limit: int) -> DataFrame:
-    """Of ``rest`` (``id``, ``bytes``; ``left`` bytes in all) the first in the order of a hash of the id: up to about ``limit`` bytes, and one row at least."""
-    if left <= limit:
-        return rest
-    # Ranges of the hash that hold a small part of a block each, so that only their sums are collected.
-    slots = min(MAX_SLOTS, -(-16 * left // limit))
-    slot = F.pmod(F.xxhash64("id"), F.lit(slots))
-    end, taken = None, 0
-    for row in sorted(rest.groupBy(slot.alias("slot")).agg(F.sum("bytes").alias("bytes")).collect()):
-        taken += row.bytes
-        if end is not None and taken > limit:
-            break
-        end = row.slot
-    return rest.where(slot <= F.lit(end))
-
-
-def _release(spark) -> None:
-    """Shuffle files of plans that are done go when the driver's JVM collects its garbage."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+    return scratch.table(moved.unionAll(new.select("node", "label")))
 
 
 def near_classes(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", min_similarity: float = MIN_SIMILARITY) -> DataFrame:
     """The class of near duplicates of every document.
 
-    Columns: the id column and ``class_id``, the least id of the class; one row
-    for each distinct id that is not null. Links are weighted Jaccard
-    similarities of ``min_similarity`` or more, and classes are what links
-    connect. Equal texts, the empty text too, are one class; null texts resemble
-    nothing; texts without words only equal ones. Rows with one id are one
-    document: each of its texts counts for equality, the least one for links.
-    An empty table gives no rows. Other columns are not read.
+    Columns: the id column (as long) and ``class_id``, the least id of the
+    class; one row for each distinct id that is not null. Ids must be integers;
+    others raise ``TypeError``. Links are weighted Jaccard similarities of
+    ``min_similarity`` or more, and classes are what links connect. Equal texts,
+    the empty text too, are one class; null texts resemble nothing; texts
+    without words only equal ones. Rows with one id are one document: each of
+    its texts counts for equality, the least one for links. An empty table gives
+    no rows. Other columns are not read. The result is computed at once and
+    written to the shared folder; what was written on the way is removed.
     """
-    spark = df.sparkSession
-    before = spark.conf.get(BATCH_CONF)
-    spark.conf.set(BATCH_CONF, "256")  # rows here hold whole shingle sets
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer column")
+    scratch, result = Scratch(df.sparkSession), Scratch(df.sparkSession)
     try:
-        return _near_classes(df, id_col, text_col, min_similarity)
+        with conf_for(df.sparkSession, SETTINGS):
+            return result.table(_near_classes(df, id_col, text_col, min_similarity, scratch))
     finally:
-        spark.conf.set(BATCH_CONF, before)
+        scratch.drop()
 
 
-def _near_classes(df: DataFrame, id_col: str, text_col: str, min_similarity: float) -> DataFrame:
-    spark = df.sparkSession
+def _near_classes(df: DataFrame, id_col: str, text_col: str, min_similarity: float, scratch: Scratch) -> DataFrame:
     rows = df.where(F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("text"))
     total = rows.count()
     key_of = F.struct(F.xxhash64("text").alias("x"), F.xxhash64(F.lit(1), "text").alias("y"), F.length("text").alias("n"))
-    key = cut_lineage(rows.select("id", F.when(F.col("text").isNotNull(), key_of).alias("key")))
-    own = key.where("key is not null").withColumn("own", F.lit(True))
-    several = cut_lineage(own.groupBy("id").agg(*[f(f"key.{c}").alias(f"{c}{k}") for k, f in enumerate((F.min, F.max)) for c in "xyn"]).where("x0 <> x1 or y0 <> y1 or n0 <> n1").select("id"))
+    key = scratch.table(rows.select("id", F.when(F.col("text").isNotNull(), key_of).alias("key")))
+    # An id and a text count once together, however many rows have them.
+    own = key.where("key is not null").groupBy("id", "key").agg(F.count(F.lit(1)).alias("rows")).withColumn("own", F.lit(True))
+    several = scratch.table(own.groupBy("id").agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).alias("texts")).where("rows > 1"))
+    first = None
     if not several.isEmpty():
         # Of an id's texts the least one is its own.
-        first = rows.join(several, "id").groupBy("id").agg(F.min("text").alias("text")).select("id", key_of.alias("first"))
-        own = own.drop("own").join(cut_lineage(first), "id", "left").select("id", "key", F.coalesce(F.col("key") == F.col("first"), F.lit(True)).alias("own"))
+        first = scratch.table(rows.where("text is not null").join(several.select("id"), "id").groupBy("id").agg(F.min("text").alias("text")))
+        firsts = first.select("id", key_of.alias("first"))
+        own = own.drop("own").join(firsts, "id", "left").select("id", "key", F.coalesce(F.col("key") == F.col("first"), F.lit(True)).alias("own"))
     # A text's representative is the least id whose own text it is, so no id stands for two texts that are compared.
+    own = scratch.table(own.select("id", "key", "own"))
     least = own.groupBy("key").agg(F.coalesce(F.min(F.when(F.col("own"), F.col("id"))), F.min("id")).alias("rep"))
-    known = cut_lineage(own.join(least, "key").select("id", "rep", "own").distinct())
-    member = cut_lineage(known.select("id", "rep").unionAll(key.where("key is null").select("id", F.col("id").alias("rep"))).distinct())
+    known = scratch.table(own.join(least, "key").select("id", "rep", "own").distinct())
+    member = scratch.table(known.select("id", "rep").unionAll(key.where("key is null").select("id", F.col("id").alias("rep"))).distinct())
 
-    # Only representatives are counted, each distinct text once in the corpus.
-    others = known.where("own and id <> rep").select("id").withColumnRenamed("id", "other").distinct()
-    found = _candidates(without_ids(rows.where("text is not null"), "id", others), total, min_similarity)
-    sets = cut_lineage(found)
-    del found
-    _release(spark)
+    # Only representatives are counted, each distinct text once in the corpus, from one row.
+    standing = rows.where("text is not null")
+    if first is not None:
+        standing = without_ids(standing, "id", several.select(F.col("id").alias("other"))).unionAll(first)
+    others = known.where("own and id <> rep").select(F.col("id").alias("other")).distinct()
+    sets = scratch.table(_candidates(without_ids(standing, "id", others), total, min_similarity))
 
     buckets = sets.select("id", "weight", F.explode("bands").alias("bucket"))
     shared = buckets.groupBy("bucket").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("id", "weight")).alias("least")).where("n > 1")
-    buckets = cut_lineage(buckets.join(shared.select("bucket", "least"), "bucket"))
+    buckets = scratch.table(buckets.join(shared.select("bucket", "least"), "bucket"))
     # The ratio of two weights bounds their similarity.
     close = F.least("weight", "least.weight") >= F.lit(min_similarity * (1 - 1e-9)) * F.greatest("weight", "least.weight")
     pairs = buckets.where("id <> least.id").where(close).select(F.col("least.id").alias("a"), F.col("id").alias("b"))
-    first = pairs.groupBy("b").agg(F.min("a").alias("a"))
-    labels = _merged(None, _linked(first, sets, min_similarity))
+    first = scratch.table(pairs.groupBy("b").agg(F.min("a").alias("a")))
+    labels = _merged(None, scratch.table(_linked(first, sets, min_similarity)), scratch)
     label = lambda x: labels.select(F.col("node").alias(x), F.col("label").alias(f"l{x}"))
     apart = pairs.distinct().join(label("a"), "a", "left").join(label("b"), "b", "left").where(F.coalesce("la", "a") != F.coalesce("lb", "b"))
-    labels = _merged(labels, cut_lineage(_linked(apart.join(first, ["a", "b"], "left_anti"), sets, min_similarity)))
-    _release(spark)
-
-    asked = None
-    limit = FIRST_BLOCK_BYTES
-    while True:
-        now = buckets.select("bucket", "id").join(labels.withColumnRenamed("node", "id"), "id", "left").select("bucket", "id", F.coalesce("label", "id").alias("label"))
-        per_label = now.groupBy("bucket", "label").agg(F.count(F.lit(1)).alias("k"))
-        mixed = per_label.groupBy("bucket").agg(F.max(F.struct("k", "label")).alias("top"), F.count(F.lit(1)).alias("labels")).where("labels > 1")
-        outside = now.join(mixed.select("bucket", F.col("top.label").alias("top")), "bucket").where("label <> top").select("id", "bucket")
-        if asked is not None:
-            outside = outside.join(asked, ["id", "bucket"], "left_anti")
-        outside = outside.groupBy("id").agg(F.collect_set("bucket").alias("buckets"))
-        outside = cut_lineage(outside.join(sets.select("id", (F.length("hashes") + F.length("weights")).alias("bytes")), "id"))
-        left = outside.agg(F.sum("bytes")).first()[0]
-        if left is None:
-            break
-        part = _first_bytes(outside, left, limit)
-        block = part.select("id", "buckets").join(sets, "id").select("id", "weight", "hashes", "weights", "buckets").collect()
-        if not block:
-            raise RuntimeError(f"no text of the {left} bytes that are left came into the block")
-        labels = _merged(labels, cut_lineage(_linked_to(block, sets, min_similarity)))
-        ids = part.select("id", F.explode("buckets").alias("bucket"))
-        asked = cut_lineage(ids if asked is None else asked.unionAll(ids))
-        if left <= limit:
-            break
-        limit = BLOCK_BYTES
-        _release(spark)
+    apart = scratch.table(apart.select("a", "b").join(first, ["a", "b"], "left_anti"))
+    labels = _merged(labels, scratch.table(_linked(apart, sets, min_similarity)), scratch)
+    labels = _merged(labels, scratch.table(_linked_outside(buckets, labels, sets, scratch, min_similarity)), scratch)
     # An id with several texts ties their classes together; that is rare.
-    ties = member.join(member.groupBy("id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "id").select("a", F.col("rep").alias("b")).where("a <> b")
-    if not ties.isEmpty():
-        labels = _merged(labels, ties)
+    ties = scratch.table(
+        member.join(member.groupBy("id").agg(F.min("rep").alias("a"), F.count(F.lit(1)).alias("n")).where("n > 1"), "id").select("a", F.col("rep").alias("b")).where("a <> b")
+    )
+    labels = _merged(labels, ties, scratch)
     found = member.join(labels.withColumnRenamed("node", "rep"), "rep", "left").groupBy("id").agg(F.min(F.coalesce("label", "rep")).alias("class_id"))
     return found.select(F.col("id").alias(id_col), "class_id")
 
 
-def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """The rows of ``df``, with all their columns, that stand for their class: the least id of each, once; rows with a null id stay."""
-    classes = near_classes(df, id_col=id_col, **options)
+def drop_near_duplicates(df: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of ``df``, with all their columns, that stand for their class: the least id of each, once; rows with a null id stay.
+
+    Of the rows of one id that one stands whose text, and then whose other
+    columns, come first as a JSON text in Spark's order; null texts come last.
+    An empty table stays empty.
+    """
+    classes = near_classes(df, id_col=id_col, text_col=text_col, **options)
     gone = classes.where(F.col(id_col) != F.col("class_id")).select(F.col(id_col).alias("__gone"))
     left = without_ids(df, id_col, gone)
-    again = df.where(F.col(id_col).isNotNull()).groupBy(id_col).count().where("count > 1").limit(1).count()
-    return left.where(F.col(id_col).isNotNull()).dropDuplicates([id_col]).unionAll(left.where(F.col(id_col).isNull())) if again else left
+    again = df.where(F.col(id_col).isNotNull()).groupBy(id_col).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select(F.col(id_col).alias("__id"))
+    if again.isEmpty():
+        return left
+    rest, twice = without_ids(left, id_col, again), left.join(again, left[id_col] == again["__id"], "left_semi")
+    order = F.struct(F.col(text_col).isNull().alias("a"), F.col(text_col).alias("b"), F.to_json(F.struct(*[df[c] for c in df.columns])).alias("c"))
+    chosen = twice.groupBy(id_col).agg(F.min_by(F.struct(*df.columns), order).alias("__row")).select("__row.*")
+    return rest.unionAll(chosen)

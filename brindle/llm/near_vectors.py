@@ -6,7 +6,10 @@ the vectors into cells (the nearest pivot is home). By the triangle inequality
 a vector within r of x can only be at home in cells j with
 d(x, p_j) <= d(x, p_home) + 2r, so x is copied to those of them that come after
 its home, and each cell joins its own vectors with each other and with those
-copied to it: every pair meets in exactly one cell. Cells of more than
+copied to it: every pair meets in exactly one cell. Between points of a
+Euclidean space the triangle inequality holds in a stronger form, which sets the
+replication: x is not nearer than (d(x, p_j)^2 - d(x, p_home)^2) / (2 d(p_home, p_j))
+to the plane beyond which p_j is the nearer pivot. Cells of more than
 ``BLOCK_ROWS`` rows are dealt to blocks by a hash, and each pair of blocks is a
 job of its own, so no task holds more than two blocks.
 
@@ -23,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ._common import cut_lineage
+from ._common import Scratch
 from .components import components
 
 MIN_COSINE = 0.93
@@ -58,7 +61,9 @@ def _cells(batches, pivots: dict, radius: float):
             x = _unit(batch.column(2).take(pa.array(at)))
             d = np.sqrt(np.maximum(0, 2 - 2 * (x @ centres.T)))
             own = d.argmin(axis=1)
-            reach = d <= d[np.arange(len(at)), own][:, None] + 2 * radius + 1e-9
+            nearest = d[np.arange(len(at)), own][:, None]
+            apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[own]
+            reach = d * d - nearest * nearest <= 2 * radius * apart + 1e-9
             reach &= np.arange(len(centres))[None, :] > own[:, None]
             reach[np.arange(len(at)), own] = True
             i, j = np.nonzero(reach)
@@ -87,11 +92,11 @@ def _join_job(table: pa.Table, min_cosine: float) -> pa.Table:
     if low[0] != high[0]:
         linked &= block[:, None] != block[None, :]
     linked |= linked.T
-    links = linked @ copies
+    links = _by_rows(linked, lambda rows: rows @ copies)
     some = np.flatnonzero(links)
     linked, root = linked[np.ix_(some, some)], np.arange(len(some))
     while len(some):
-        least = np.minimum(root, np.where(linked, root[None, :], len(some)).min(axis=1))
+        least = np.minimum(root, _by_rows(linked, lambda rows, root=root: np.where(rows, root[None, :], len(some)).min(axis=1)))
         least = least[least]
         if (least == root).all():
             break
@@ -99,6 +104,11 @@ def _join_job(table: pa.Table, min_cosine: float) -> pa.Table:
     return pa.table([pa.array(rep[some]), pa.array(links[some]), pa.array(rep[some][root])], names=["rep", "links", "root"])
 
 
+def _by_rows(matrix: np.ndarray, function) -> np.ndarray:
+    """``function`` of the rows, some at a time: it may need eight bytes for each bit."""
+    return np.concatenate([np.zeros(0, np.int64), *(function(matrix[a : a + 256]) for a in range(0, len(matrix), 256))])
+
+
 def near_vectors(
     df: DataFrame,
     *,
@@ -117,8 +127,20 @@ def near_vectors(
     zero, or hold null or non-finite components, and rows with a null id, link
     with nothing: no links, their own component, kept. Repeated rows are
     vectors of their own that link with each other. An empty table gives no
-    rows. Other columns are not read.
+    rows. Other columns are not read. The result is computed at once and written
+    to the shared folder; what was written on the way is removed. Ids must be
+    integers; others raise ``TypeError``.
     """
+    if df.schema[id_col].dataType.typeName() not in ("byte", "short", "integer", "long"):
+        raise TypeError(f"{id_col} must be an integer column")
+    scratch, result = Scratch(df.sparkSession), Scratch(df.sparkSession)
+    try:
+        return result.table(_near_vectors(df, id_col, vector_col, label_col, min_cosine, scratch))
+    finally:
+        scratch.drop()
+
+
+def _near_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, min_cosine: float, scratch: Scratch) -> DataFrame:
     radius = math.sqrt(2 - 2 * min_cosine)
     vector = F.col(vector_col)
     finite = F.forall(vector, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v.cast("double")) < float("inf")))
@@ -130,7 +152,7 @@ def near_vectors(
     )
     good = rows.where("group is not null")
     key = F.struct("group", F.xxhash64("vector").alias("x"), F.xxhash64(F.lit(1), "vector").alias("y"))
-    classes = cut_lineage(good.groupBy(key.alias("key")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")).withColumn("group", F.col("key.group")))
+    classes = scratch.table(good.groupBy(key.alias("key")).agg(F.min("id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("vector").alias("vector")).withColumn("group", F.col("key.group")))
 
     # Pivots: a share of the classes of each large group, by a hash of their ids; few in all, whatever the input.
     sizes = classes.groupBy("group").agg(F.count(F.lit(1)).alias("n"))
@@ -148,7 +170,7 @@ def near_vectors(
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     slim = classes.select("group", "rep", "vector", "copies")
-    dealt = cut_lineage(
+    dealt = scratch.table(
         slim.mapInArrow(
             lambda batches: _cells(batches, shared.value, radius),
             f"group string, cell int, home boolean, rep long, vector {slim.schema['vector'].dataType.simpleString()}, copies long",
@@ -159,8 +181,8 @@ def near_vectors(
     jobs = split.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "group", "cell", "home", "rep", "vector", "copies", "block", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high")
     )
-    links = cut_lineage(jobs.groupBy("group", "cell", "low", "high").applyInArrow(lambda t: _join_job(t, min_cosine), "rep long, links long, root long"))
-    labels = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")))
+    links = scratch.table(jobs.groupBy("group", "cell", "low", "high").applyInArrow(lambda t: _join_job(t, min_cosine), "rep long, links long, root long"))
+    labels = components(links.select(F.col("rep").alias("a"), F.col("root").alias("b")), scratch)
     per_class = (
         classes.join(links.groupBy("rep").agg(F.sum("links").alias("links")), "rep", "left")
         .join(labels.withColumnRenamed("node", "rep"), "rep", "left")

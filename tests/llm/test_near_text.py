@@ -9,8 +9,9 @@ import pyarrow as pa
 import pytest
 
 from brindle.llm import block_counts, near_text
+from brindle.llm._common import Scratch
 from brindle.llm.components import components
-from brindle.llm.near_text import BANDS, IDF_STRENGTH, band_keys, drop_near_duplicates, near_classes, shingle_sets
+from brindle.llm.near_text import BANDS, SMOOTHING, band_keys, drop_near_duplicates, near_classes, shingle_sets
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,7 +29,7 @@ def brute(rows):
     sets = {t: sets_of(t) for t in distinct}
     total = sum(k is not None for k, _ in rows)
     df = Counter(s for x in sets.values() for s in x)
-    weight = {t: {s: n * (1 + IDF_STRENGTH * log((total + 1) / (df[s] + 1)) / log(total + 2)) for s, n in x.items()} for t, x in sets.items()}
+    weight = {t: {s: n * log(1 + total / (df[s] + SMOOTHING * total)) for s, n in x.items()} for t, x in sets.items()}
     having = defaultdict(set)
     for t, x in sets.items():
         for s in x:
@@ -91,30 +92,24 @@ def test_like_brute_force(spark):
     assert left.where("doc_id is null").count() == 1
 
 
-def test_many_blocks_of_queries(spark, monkeypatch):
+def test_many_slices_of_what_is_outside(spark, monkeypatch):
     rng = random.Random(5)
     part = [[f"p{k}w{rng.randrange(500)}" for _ in range(30)] for k in range(9)]
     # Each has six of nine passages: they share buckets, but five shared passages make 0.7 only.
     rows = [(k, " ".join(w for p in some for w in part[p])) for k, some in enumerate(rng.sample(list(combinations(range(9), 6)), 60))]
     rows += [(100 + k, rows[k][1].rsplit(" ", 5)[0] + f" end{k // 2}") for k in range(0, 60, 3)]
-    monkeypatch.setattr(near_text, "FIRST_BLOCK_BYTES", 2000)
-    monkeypatch.setattr(near_text, "BLOCK_BYTES", 10_000)
-    blocks, rounds, linked, release = [], [], near_text._linked_to, near_text._release
+    monkeypatch.setattr(near_text, "ASKING_BYTES", 10_000)
+    monkeypatch.setattr(near_text, "ASKED_BYTES", 10_000)
+    outside, linked = [], near_text._linked_outside
 
-    def counted(block, *args):
-        blocks.append(sum(len(q.hashes) + len(q.weights) for q in block))
-        return linked(block, *args)
+    def counted(buckets, labels, sets, scratch, least):
+        outside.append((buckets.select("id").distinct().count(), labels.count()))
+        return linked(buckets, labels, sets, scratch, least)
 
-    def round_ends(session):
-        rounds.append(1)
-        assert len(rounds) < 100, "no end"
-        release(session)
-
-    monkeypatch.setattr(near_text, "_linked_to", counted)
-    monkeypatch.setattr(near_text, "_release", round_ends)
+    monkeypatch.setattr(near_text, "_linked_outside", counted)
     got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows)
-    assert len(blocks) >= 8 and max(blocks) <= 20_000
+    assert outside[0][0] > 50 and outside[0][1] < 50
 
 
 def test_frequencies_do_not_depend_on_blocks(spark, monkeypatch):
@@ -133,6 +128,20 @@ def test_links_of_a_text_that_a_repeated_id_has_too(spark):
     assert got == brute(rows) == {5: 5, 7: 5, 100: 5, 200: 5, 300: 5, 400: 400}
 
 
+def test_one_row_of_a_repeated_id_stands(spark):
+    rows = [(5, "b text", 1), (5, "a text", 2), (5, "a text", 1), (None, "a text", 3), (None, "a text", 3), (6, None, 1), (6, None, 0), (7, None, 1), (7, "c", 1)]
+    left = drop_near_duplicates(spark.createDataFrame(rows, "doc_id long, text string, rows int"))
+    assert sorted(map(tuple, left.collect()), key=str) == sorted([(5, "a text", 1), (6, None, 0), (7, "c", 1), (None, "a text", 3), (None, "a text", 3)], key=str)
+    with pytest.raises(TypeError):
+        near_classes(spark.createDataFrame([("x", "y")], "doc_id string, text string"))
+
+
+def test_very_many_rows_of_one_id(spark):
+    rows = [(5, "the same text again")] * 3000 + [(5, "another text of it")] * 3000 + [(9, "another text of it")]
+    got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == {5: 5, 9: 5}
+
+
 def test_empty(spark):
     assert near_classes(spark.createDataFrame([], "doc_id long, text string")).count() == 0
 
@@ -161,5 +170,5 @@ def test_shingle_sets():
 
 def test_components(spark):
     edges = [(k, k + 1) for k in range(0, 60)] + [(100, k) for k in range(101, 160)] + [(5, 5), (200, 201), (201, 200), (160, 130)]
-    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.label for r in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark)).collect()}
     assert got == {k: 0 for k in range(1, 61)} | {k: 100 for k in range(101, 161)} | {201: 200}
