@@ -26,6 +26,8 @@ MAX_TRAIN_ROWS = 6000
 MAX_CELLS = 1 << 24
 UNKNOWN = "und"
 CHUNK_CHARS = 1 << 20
+#: Numbers that a text's n-grams may gather from the matrix at once (16 MB).
+GATHER_CELLS = 1 << 22
 
 _fold: np.ndarray | None = None
 
@@ -72,7 +74,7 @@ class LanguageModel:
     prior: np.ndarray
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
-        """The most probable language of each text and its posterior probability; ``und`` and 0 for null texts and texts without a letter."""
+        """The most probable language of each text (on a tie the first by name) and its posterior probability; ``und`` and 0 for null texts and texts without a letter."""
         langs = [UNKNOWN] * len(texts)
         scores = [0.0] * len(texts)
         if not self.langs:
@@ -87,8 +89,10 @@ class LanguageModel:
                 seen = seen or bool((codes != 32).any())
                 if at == 0:
                     codes = np.concatenate([np.full(2, 32, np.uint32), codes])
-                found = ngram_features(codes)
-                total += self.weights[found.ravel()].sum(axis=0, dtype=np.float64)
+                found = ngram_features(codes).ravel()
+                step = max(1, GATHER_CELLS // len(self.langs))
+                for k0 in range(0, len(found), step):
+                    total += self.weights[found[k0 : k0 + step]].sum(axis=0, dtype=np.float64)
             if seen:
                 best = int(total.argmax())
                 langs[k] = self.langs[best]
@@ -106,16 +110,21 @@ def fit(
 ) -> LanguageModel:
     """Fits a model on the rows of ``df`` with a text and a language.
 
-    At most about ``max_train_rows`` rows are used, those whose text has the
-    least hash values, so that the sample is the same for every run. No usable
-    row gives a model without languages, which predicts ``und`` for all.
+    A sample of about ``max_train_rows`` rows at most is used, those whose text
+    has the least hash values, so that it is the same for every run; rows equal
+    in text and language count once in it, so one that recurs brings no more. No
+    usable row gives a model without languages, which predicts ``und`` for all.
+    More than ``MAX_CELLS / FEATURES`` languages (511) raise ``ValueError``.
     """
     usable = df.where(F.col(text_col).isNotNull() & F.col(lang_col).isNotNull())
     n = usable.count()
     sample = usable.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"))
     if n > max_train_rows:
         limit = int(-(1 << 63) + (1 << 64) * (max_train_rows / n))
-        sample = sample.where(F.xxhash64(F.lit(5), "text") < limit)
+        sample = sample.where(F.xxhash64(F.lit(5), "text") < limit).dropDuplicates(["lang", "text"])
+    most = MAX_CELLS // (FEATURES + 1)
+    if len(sample.select("lang").distinct().limit(most + 1).collect()) > most:
+        raise ValueError(f"more than {most} languages do not fit the model's bound")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         drop_encoders()
@@ -141,8 +150,6 @@ def fit(
     counts = counts.groupBy("lang", "feature").agg(F.sum("k").alias("k"), F.sum("docs").alias("docs")).toArrow()
     names = counts["lang"].to_pylist()
     langs = tuple(sorted(set(names)))
-    if len(langs) * (FEATURES + 1) > MAX_CELLS:
-        raise ValueError(f"{len(langs)} languages do not fit the model's bound")
     where = {lang: k for k, lang in enumerate(langs)}
     table, docs = np.zeros((FEATURES + 1, max(1, len(langs)))), np.zeros(max(1, len(langs)))
     if langs:

@@ -1,9 +1,13 @@
 import hashlib
+import math
 import re
+from collections import Counter, defaultdict
 
+import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
-from brindle.llm.language_id import fit, identify
+from brindle.llm.language_id import FEATURES, fit, identify, letters, ngram_features
 from brindle.llm.secret_scan import RULES, SecretScanner, redact_secrets, scan_secrets, trigram_query
 
 SF = "/root/testdata/sf0.01"
@@ -56,6 +60,39 @@ def test_held_out_accuracy(spark):
     assert got.where("score < 0 or score > 1 or score is null").count() == 0
 
 
+def test_language_like_brute_force(spark):
+    """Multinomial naive Bayes by dictionaries: the same n-grams, hashed by the module, counted one by one."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    rows = docs.select("doc_id", "text", "lang").collect()
+    space = np.full(2, 32, np.uint32)
+    grams = lambda text: [f for f in ngram_features(np.concatenate([space, letters(text)])).ravel().tolist() if f < FEATURES]
+    counts, docs_of = defaultdict(Counter), Counter()
+    for r in rows:
+        if r.text is not None and r.lang is not None:
+            counts[r.lang].update(grams(r.text))
+            docs_of[r.lang] += 1
+    whole = {x: sum(c.values()) + 0.5 * FEATURES for x, c in counts.items()}
+    n = sum(docs_of.values())
+    got = {r.doc_id: (r.lang_pred, r.score) for r in identify(docs, fit(docs)).collect()}
+    for r in rows[:60]:
+        if not any(c.isalpha() for c in r.text or ""):
+            assert got[r.doc_id] == ("und", 0.0)
+            continue
+        found = grams(r.text)
+        total = {x: math.log(docs_of[x] / n) + sum(math.log((counts[x][f] + 0.5) / whole[x]) for f in found) for x in counts}
+        best = max(sorted(total), key=total.get)
+        score = 1 / sum(math.exp(min(700, t - total[best])) for t in total.values())
+        assert got[r.doc_id][0] == best and abs(got[r.doc_id][1] - score) < 1e-3
+
+
+def test_frequent_text_and_many_labels(spark):
+    docs = spark.createDataFrame([("the same", "en")] * 500 + [(f"text {k}", "de") for k in range(500)], "text string, lang string")
+    assert fit(docs, max_train_rows=100).langs in (("de",), ("de", "en"))
+    many = spark.createDataFrame([(f"text {k}", f"l{k}") for k in range(600)], "text string, lang string")
+    with pytest.raises(ValueError):
+        fit(many)
+
+
 def test_language_edges(spark):
     rows = [(1, "the end of the day", "en"), (2, "der tag und das ende", "de"), (3, None, "en"), (4, "no label", None), (5, "", "de"), (6, "123 !?", "en"), (6, "123 !?", "en"), (None, "the day " * 40_000, "en")]
     docs = spark.createDataFrame([(*r, "old") for r in rows], "doc_id long, text string, lang string, score string")
