@@ -1,4 +1,9 @@
-"""Licence notices in texts, found by Dice coefficient over word bigrams."""
+"""Licences in texts, found by Dice coefficient over word bigrams.
+
+Windows of a whole text, across line ends and inside lines, are compared with
+licence templates that an inverted list of their bigrams selects; bounds of
+size leave most templates and windows out.
+"""
 
 from __future__ import annotations
 
@@ -7,8 +12,8 @@ import re
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-#: The usual short notices of public licences and the opening
-#: sentences of their texts or file headers.
+#: The usual short notices and titles of public licences, their
+#: permission texts, and the headers that they ask files to carry.
 TEMPLATES = (
     ("MIT", "Released under the MIT License."),
     ("MIT", "This project is licensed under the terms of the MIT license."),
@@ -28,13 +33,28 @@ TEMPLATES = (
     ("CC-BY-SA-4.0", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
     ("CC0-1.0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
     ("Unlicense", "This is free and unencumbered software released into the public domain."),
-)
-#: For whole texts also what the notices and opening sentences go on with.
-WHOLE_TEXTS = (
-    *TEMPLATES,
     ("MIT", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."),
     ("Apache-2.0", "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License."),
     ("GPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details."),
+    ("MIT", "MIT License"),
+    ("ISC", "ISC License"),
+    ("ISC", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies. THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."),
+    ("BSD-2-Clause", "BSD 2-Clause License"),
+    ("BSD-3-Clause", "BSD 3-Clause License"),
+    ("BSD-2-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."),
+    ("BSD-3-Clause", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."),
+    ("Apache-2.0", "Apache License Version 2.0, January 2004"),
+    ("GPL-2.0", "GNU GENERAL PUBLIC LICENSE Version 2, June 1991"),
+    ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE Version 3, 29 June 2007"),
+    ("GPL-2.0", "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2 of the License, or (at your option) any later version."),
+    ("LGPL-2.1", "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation; either version 2.1 of the License, or (at your option) any later version."),
+    ("LGPL-3.0", "This library is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("AGPL-3.0", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version."),
+    ("MPL-2.0", "Mozilla Public License Version 2.0"),
+    ("MPL-2.0", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/."),
+    ("CC-BY-4.0", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
+    ("CC-BY-NC-4.0", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    ("Unlicense", "This is free and unencumbered software released into the public domain. Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."),
 )
 MIN_DICE = 0.8
 
@@ -57,61 +77,6 @@ def scan_licenses(
     text_col: str = "text",
     templates: tuple[tuple[str, str], ...] = TEMPLATES,
     min_dice: float = MIN_DICE,
-) -> DataFrame:
-    """Every line of every text that resembles a licence template.
-
-    A line is normalised (lower case; anything but a-z and 0-9 is one space)
-    and becomes the set of its word bigrams. Two sets of sizes a and b can only
-    reach a Dice coefficient of t if t/(2-t) <= a/b <= (2-t)/t, so a line is
-    compared to the templates within those bounds alone. Templates are a fixed
-    list, written into the plan; no join and no shuffle is needed.
-
-    Columns: the id column, ``line_no`` (from 0), ``license``, ``template_no``
-    and ``dice`` of the best template (on a tie the first), ``line`` (normalised). Null and
-    empty texts and lines of fewer than two words match nothing. Repeated rows
-    are scanned row by row; other columns are not read.
-    """
-    known = template_bigrams(templates)
-    ratio = min_dice / (2 - min_dice)
-    low = min((len(b) for _, _, b in known), default=1) * ratio
-    high = max((len(b) for _, _, b in known), default=0) / ratio
-    # One-element explodes pin values: filters above them do not compute them again.
-    plain = F.regexp_replace(F.lower(text_col), "[^a-z0-9\n]+", " ")
-    lines = df.select(F.col(id_col).alias("id"), F.posexplode(F.split(plain, "\n")).alias("line_no", "raw"))
-    lines = lines.select("id", "line_no", F.explode(F.array(F.trim("raw"))).alias("line"))
-    # A distinct bigram needs two words, so lines of fewer words than that are left out before they are split.
-    spaces = F.length("line") - F.length(F.replace("line", F.lit(" "), F.lit("")))
-    lines = lines.where((spaces >= max(1, int(low))))
-    lines = lines.select("id", "line_no", "line", F.explode(F.array(F.split("line", " "))).alias("words"))
-    follow = F.slice("words", F.lit(2), F.size("words") - 1)
-    pairs = F.array_distinct(F.zip_with(F.slice("words", F.lit(1), F.size("words") - 1), follow, lambda a, b: F.concat(a, F.lit(" "), b)))
-    lines = lines.select("id", "line_no", "line", F.explode(F.array(pairs)).alias("pairs"))
-    lines = lines.where((F.size("pairs") >= low) & (F.size("pairs") <= high))
-    best = None
-    for k, name, bigrams in known:
-        n = len(bigrams)
-        size = F.size("pairs")
-        dice = 2.0 * F.size(F.array_intersect("pairs", F.array(*map(F.lit, bigrams)))) / (size + n)
-        # The smaller of two sizes bounds the shared bigrams, so out of bounds means below min_dice.
-        within = (size >= n * ratio) & (size <= n / ratio)
-        one = F.when(within, F.struct(dice.alias("dice"), F.lit(-k).alias("order"), F.lit(name).alias("license")))
-        best = one if best is None else F.greatest(best, one)
-    if best is None:
-        best = F.lit(None).cast("struct<dice:double,order:int,license:string>")
-    return (
-        lines.select("id", "line_no", "line", F.explode(F.array(best)).alias("best"))
-        .where(F.col("best.dice") >= min_dice)
-        .select(F.col("id").alias(id_col), "line_no", F.col("best.license").alias("license"), (-F.col("best.order")).alias("template_no"), F.col("best.dice").alias("dice"), "line")
-    )
-
-
-def scan_license_texts(
-    df: DataFrame,
-    *,
-    id_col: str = "doc_id",
-    text_col: str = "text",
-    templates: tuple[tuple[str, str], ...] = WHOLE_TEXTS,
-    min_dice: float = MIN_DICE,
 ) -> DataFrame:
     """Every passage of every text that resembles a licence template, across line ends and inside lines.
 
@@ -123,9 +88,13 @@ def scan_license_texts(
     coefficient and s stands, then the best ``dice``, the first template and the
     first place.
 
-    Only bigrams of templates are shuffled. Columns: the id column,
-    ``word_no`` (from 0) and ``words`` of the passage, ``license``,
-    ``template_no`` and ``dice``. Repeated rows are scanned row by row.
+    A window of w bigrams can only reach the bound t for t/(2-t) * n <= w <=
+    n (2-t)/t, and shares no fewer than t/(2-t) * n with its template: texts
+    with fewer hits of a template are not compared with it. Only bigrams of
+    templates are shuffled. Columns: the id column, ``word_no`` (from 0) and
+    ``words`` of the passage, ``license``, ``template_no`` and ``dice``. Null
+    and empty texts match nothing; repeated rows are scanned row by row; an
+    empty table gives no rows; other columns are not read.
     """
     spark = df.sparkSession
     known, long = [], []

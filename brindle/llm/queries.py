@@ -12,7 +12,7 @@ from .backoff_lm import score_texts
 from .decontaminate import find_items
 from .interleave import interleave_shards
 from .language_id import fit, identify
-from .licenses import MIN_DICE, scan_license_texts, scan_licenses, template_bigrams
+from .licenses import MIN_DICE, scan_licenses, template_bigrams
 from .near_text import near_classes
 from .near_vectors import near_vectors
 from .packing import pack_documents
@@ -80,11 +80,6 @@ def op9_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op10_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = scan_licenses(_table(spark, sf_dir, "documents"))
-    return found.select("doc_id", "line_no", "license", "template_no", F.round("dice", 6).alias("dice"))
-
-
-def op10_license_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = scan_license_texts(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "word_no", "words", "license", "template_no", F.round("dice", 6).alias("dice"))
 
 
@@ -99,7 +94,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_near_text": op8_near_text,
     "op9_near_vectors": op9_near_vectors,
     "op10_licenses": op10_licenses,
-    "op10_license_texts": op10_license_texts,
 }
 
 
@@ -126,16 +120,36 @@ def _license_sql() -> str:
     )
     return f"""
 WITH t(template_no, license, grams) AS (VALUES {rows}),
-l AS (
-  SELECT doc_id, unnest(range(0, len(x))) AS line_no, unnest(x) AS line
-  FROM (SELECT doc_id, string_split(regexp_replace(lower(text), '[^a-z0-9\n]+', ' ', 'g'), chr(10)) AS x FROM documents)),
-w AS (SELECT doc_id, line_no, string_split(trim(line), ' ') AS w FROM l),
-p AS (SELECT doc_id, line_no, list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS p FROM w WHERE len(w) > 1),
-s AS (
-  SELECT doc_id, line_no, license, template_no, 2.0 * len(list_intersect(p, grams)) / (len(p) + len(grams)) AS dice
-  FROM p CROSS JOIN t)
-SELECT doc_id, CAST(line_no AS INTEGER) AS line_no, license, template_no, round(dice, 6) AS dice FROM s WHERE dice >= {MIN_DICE}
-QUALIFY row_number() OVER (PARTITION BY doc_id, line_no ORDER BY dice DESC, template_no) = 1"""
+g AS (SELECT template_no, license, len(grams) AS n, unnest(grams) AS gram FROM t),
+x AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS w FROM documents),
+p AS (SELECT doc_id, unnest(range(0, len(w) - 1)) AS pos, unnest(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i+1])) AS gram FROM x WHERE len(w) > 1),
+h AS (
+  SELECT doc_id, template_no, license, n, pos, count(*) OVER (PARTITION BY doc_id, template_no) AS hits,
+    lag(pos, 1, -1) OVER (PARTITION BY doc_id, template_no, gram ORDER BY pos) AS prev
+  FROM p JOIN g USING (gram)),
+c AS (SELECT * FROM h WHERE hits >= n * ({MIN_DICE} / (2 - {MIN_DICE})) * (1 - 1e-9)),
+-- a window from one hit to another; s: distinct bigrams of the template in it
+v AS (
+  SELECT a.doc_id, a.template_no, a.license, a.n, a.pos AS start, b.pos - a.pos + 1 AS w,
+    sum(CASE WHEN b.prev < a.pos THEN 1 ELSE 0 END) OVER (PARTITION BY a.doc_id, a.template_no, a.pos ORDER BY b.pos) AS s
+  FROM c a JOIN c b ON a.doc_id = b.doc_id AND a.template_no = b.template_no AND b.pos >= a.pos
+    AND b.pos < a.pos + ceil(a.n / (CAST({MIN_DICE} AS DOUBLE) / (2 - {MIN_DICE})))),
+d AS (SELECT *, CAST(2.0 AS DOUBLE) * s / (w + n) AS dice FROM v),
+o AS (
+  SELECT doc_id, dice * s AS score, dice, template_no, start, w, license FROM d WHERE dice >= {MIN_DICE}
+  QUALIFY row_number() OVER (PARTITION BY doc_id, template_no, start ORDER BY dice * s DESC, w) = 1),
+-- of windows that overlap the best one stands
+r AS (
+  SELECT doc_id, list([{{'start': start, 'w': w, 'license': license, 'template_no': template_no, 'dice': dice}}]
+    ORDER BY score DESC, dice DESC, template_no, start, w) AS ranked FROM o GROUP BY doc_id),
+k AS (
+  SELECT doc_id, unnest(list_reduce(ranked, lambda kept, x: CASE
+    WHEN len(list_filter(kept, lambda y: x[1].start <= y.start + y.w AND y.start <= x[1].start + x[1].w)) > 0 THEN kept
+    ELSE list_concat(kept, x) END)) AS f
+  FROM r)
+SELECT doc_id, CAST(f.start AS INTEGER) AS word_no, CAST(f.w + 1 AS INTEGER) AS words, f.license AS license,
+  CAST(f.template_no AS INTEGER) AS template_no, round(f.dice, 6) AS dice
+FROM k"""
 
 
 #: Links and components of vectors: the closure of links by a recursive query.

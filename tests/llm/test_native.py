@@ -1,14 +1,16 @@
 import hashlib
+import math
 import re
 import textwrap
 import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from brindle.llm.decontaminate import drop_contaminated, find_items
-from brindle.llm.interleave import interleave_shards
-from brindle.llm.licenses import WHOLE_TEXTS, scan_license_texts, scan_licenses, template_bigrams
+from brindle.llm.interleave import interleave_shards, shuffle_key
+from brindle.llm.licenses import TEMPLATES, scan_licenses, template_bigrams
 
 WORDS = [hashlib.md5(str(k).encode()).hexdigest()[:6] for k in range(4000)]
 
@@ -61,6 +63,31 @@ def test_interleave_laws(spark, n):
     assert max(sizes) - min(sizes) <= 1
 
 
+def test_interleave_like_brute_force(spark):
+    docs = spark.createDataFrame([(k, f"t{k % 5}", None if k % 9 == 0 else f"s{k % 3 * (k % 2)}") for k in range(700)], "doc_id long, text string, source string")
+    keyed = docs.select("doc_id", "text", "source", F.xxhash64("text").alias("h")).select("doc_id", "source", shuffle_key(17, "doc_id", "h").alias("key")).collect()
+    by_source = defaultdict(list)
+    for r in keyed:
+        by_source["" if r.source is None else f"={r.source}"].append((r.key, r.doc_id))
+    order = sorted(((2 * k + 1) / (2 * len(rows)), source, key, doc) for source, rows in by_source.items() for k, (key, doc) in enumerate(sorted(rows)))
+    expect, used = {}, Counter()
+    for at, (_, _, _, doc) in enumerate(order):
+        shard = at * 24 // 700
+        expect[doc] = (shard, used[shard])
+        used[shard] += 1
+    assert {r.doc_id: (r.shard, r.slot) for r in interleave_shards(docs, 24).collect()} == expect
+
+
+def test_many_rows_of_one_id(spark):
+    docs = spark.range(6000).select(F.lit(7).alias("doc_id"), F.when(F.col("id") % 2 == 0, "same").otherwise(F.col("id").cast("string")).alias("text"), F.lit("s").alias("source"))
+    got = interleave_shards(docs, 24).collect()
+    assert len(got) == 6000 and Counter(r.shard for r in got) == {s: 250 for s in range(24)}
+    for s in range(24):
+        assert sorted(r.slot for r in got if r.shard == s) == list(range(250))
+    same = Counter(r.shard for r in got if r.size == 12)
+    assert min(same.values()) > 80
+
+
 def test_every_shard_has_the_mixture(spark):
     docs = spark.createDataFrame([(k, "t", "a" if k % 3 == 0 else "b" if k % 3 == 1 or k < 600 else "c") for k in range(2400)], "doc_id long, text string, source string")
     whole = Counter(r.source for r in docs.collect())
@@ -71,43 +98,44 @@ def test_every_shard_has_the_mixture(spark):
             assert abs(part[source] - n / 24) <= 2
 
 
-def test_licences_like_brute_force(spark):
-    texts = [None, "", "x", "Intro.\nReleased under the MIT License.\nmore", "released  under THE mit license -- today!", "Licensed under CC BY-NC 4.0.", "Licensed under CC BY 4.0", "This work is licensed under the GNU General Public License, version 3.\n\nThis work is licensed under the GNU General Public License version 4", "released under the license of nobody at all", "\n".join(["lorem ipsum dolor"] * 2000)]
-    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)] + [(3, texts[3], 1), (None, texts[5], 1)], "doc_id long, text string, line long")
-    expect = Counter()
-    for row in docs.collect():
-        for n, line in enumerate((row.text or "").split("\n")):
-            w = re.sub("[^a-z0-9]+", " ", line.lower()).split()
-            pairs = {f"{a} {b}" for a, b in zip(w, w[1:], strict=False)}
-            scored = [(2 * len(pairs & set(g)) / (len(pairs) + len(g)), -k, name) for k, name, g in template_bigrams()]
-            best = max(scored)
-            if best[0] >= 0.8:
-                expect[(row.doc_id, n, best[2], round(best[0], 9))] += 1
-    got = Counter((r.doc_id, r.line_no, r.license, round(r.dice, 9)) for r in scan_licenses(docs).collect())
-    assert got == expect and len(got) >= 6
-    assert scan_licenses(docs.limit(0)).count() == 0
+def best_windows(text):
+    """All windows of all lengths, templates one by one."""
+    w = re.sub("[^a-z0-9]+", " ", (text or "").lower()).split()
+    pairs = [f"{a} {b}" for a, b in zip(w, w[1:], strict=False)]
+    found = []
+    for k, name, grams in template_bigrams():
+        n, grams = len(grams), set(grams)
+        for start in range(len(pairs)):
+            if pairs[start] not in grams:
+                continue
+            seen, best = set(), None
+            for end in range(start, min(len(pairs), start + math.ceil(n * 1.5))):
+                if pairs[end] in grams:
+                    seen.add(pairs[end])
+                    dice = 2.0 * len(seen) / (end - start + 1 + n)
+                    if dice >= 0.8 and (best is None or dice * len(seen) > -best[0]):
+                        best = (-dice * len(seen), -dice, k, start, end - start + 1, name)
+            if best:
+                found.append(best)
+    kept = []
+    for x in sorted(found):
+        if all(x[3] > y[3] + y[4] or y[3] > x[3] + x[4] for y in kept):
+            kept.append(x)
+    return [(start, size + 1, name, k, round(-dice, 9)) for _, dice, k, start, size, name in kept]
 
 
-def test_licences_across_lines(spark):
-    filler = " ".join(WORDS[:300])
-    whole = {k: WHOLE_TEXTS[k][1] for k in range(len(WHOLE_TEXTS))}
-    texts = [textwrap.fill(filler + " " + whole[k] + " " + filler, 78) for k in whole]  # wrapped
-    texts += [f"{filler} {whole[k]} {filler}" for k in (2, 6, 10, 18)]  # inside a line
-    texts += ["// " + textwrap.fill(whole[20], 60).replace("\n", "\n// "), f"{whole[0]}\n{filler}\n{whole[0]} {whole[8]}", filler, "", None, "free software of the public license version " * 30]
-    docs = spark.createDataFrame([(k, t) for k, t in enumerate(texts)] + [(None, texts[0]), (0, texts[0])], "doc_id long, text string")
-    expect = Counter((k, WHOLE_TEXTS[k][0]) for k in whole) + Counter({(len(whole) + j, WHOLE_TEXTS[k][0]): 1 for j, k in enumerate((2, 6, 10, 18))})
-    at = len(whole) + 4
-    expect += Counter({(at, "GPL-3.0"): 1, (at + 1, "MIT"): 2, (at + 1, "LGPL-3.0"): 1, (None, "MIT"): 1, (0, "MIT"): 1})
-    got = scan_license_texts(docs).collect()
-    assert Counter((r.doc_id, r.license) for r in got) == expect
-    assert all(r.dice >= 0.8 and (r.doc_id is None or r.doc_id >= len(whole) or r.template_no == r.doc_id) for r in got)
-    assert {r.word_no for r in got if r.doc_id == 0} == {300}
-    assert scan_licenses(docs.where(f"doc_id in (2, {len(whole)})")).count() == 0  # by lines these are lost
-    assert scan_license_texts(docs.limit(0)).count() == 0
-    # What is short of its template's end is found as it is by lines, whatever follows.
-    short = spark.createDataFrame([(k, f"{filler}\n{' '.join(text.split()[: -(-len(text.split()) * 3 // 4)])}\n{filler}") for k, (_, text) in enumerate(WHOLE_TEXTS[:18])], "doc_id long, text string")
-    by_line = {(r.doc_id, r.license) for r in scan_licenses(short).collect()}
-    assert len(by_line) > 8 and {(r.doc_id, r.license) for r in scan_license_texts(short).collect()} >= by_line
+def test_licences_like_brute_force(spark):
+    filler = " ".join(WORDS[:60])
+    texts = [None, "", "x", "Intro.\nReleased under the MIT License.\nmore", "released  under THE mit license -- today!", "Licensed under CC BY 4.0", "This work is licensed under the GNU General Public License, version 3.\n\nThis work is licensed under the GNU General Public License version 4", "lorem ipsum dolor\n" * 2000]
+    texts += [textwrap.fill(f"{filler} {text} {filler}", 70) for _, text in TEMPLATES] + ["// " + textwrap.fill(TEMPLATES[6][1], 60).replace("\n", "\n// ")]
+    texts += [f"{filler} {' '.join(text.split()[: len(text.split()) * 3 // 4])} {filler} {text}" for _, text in TEMPLATES] + ["free software of the public license version " * 30]
+    docs = spark.createDataFrame([(k, t, 0) for k, t in enumerate(texts)] + [(3, texts[3], 1), (None, texts[5], 1)], "doc_id long, text string, w long")
+    expect = Counter((r.doc_id, *x) for r in docs.collect() for x in best_windows(r.text))
+    got = Counter((r.doc_id, r.word_no, r.words, r.license, r.template_no, round(r.dice, 9)) for r in scan_licenses(docs).collect())
+    assert got == expect
+    whole = {(d, name) for d, _, _, name, _, _ in got if d is not None and 8 <= d < 8 + len(TEMPLATES)}
+    assert whole >= {(8 + k, name) for k, (name, _) in enumerate(TEMPLATES)}  # wrapped, none is lost
+    assert scan_licenses(docs.limit(0)).count() == 0
 
 
 def test_short_items_in_documents_below_a_power_of_two(spark):
