@@ -39,14 +39,14 @@ HASH_BITS = 42
 Items = tuple[np.ndarray, np.ndarray]
 
 
-def blocked(df: DataFrame, text_col: str, salt: Column) -> tuple[DataFrame, int]:
+def blocked(df: DataFrame, text_col: str, salt: Column, block_bytes: int | None = None) -> tuple[DataFrame, int]:
     """``df`` with a column ``block``, dealt to the blocks by a hash of ``salt``, and the number of hash ranges for so much text.
 
     Rows of a block are in one partition.
     """
     total = df.agg(F.sum(F.octet_length(text_col).cast("long"))).first()[0] or 0
     parts = partitions(df)
-    blocks = max(1, -(-total // BLOCK_BYTES))
+    blocks = max(1, -(-total // (block_bytes or BLOCK_BYTES)))
     if blocks > 1:
         blocks = -(-blocks // parts) * parts if blocks > parts else blocks
     out = df.withColumn("block", F.pmod(salt, F.lit(blocks)).cast("int"))

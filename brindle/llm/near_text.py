@@ -44,8 +44,10 @@ SMOOTHING = 0.5
 #: Low-order bytes of a shingle's hash that a set keeps.
 KEPT_BYTES = 7
 SAMPLE_ROWS = 1 << 13
+#: UTF-8 bytes of text in a block, about: a worker needs some 30 times as much.
+BLOCK_BYTES = 4_000_000
 #: Bytes of packed sets in a slice of what is outside and of the texts it is compared with.
-ASKING_BYTES, ASKED_BYTES = 8 << 20, 16 << 20
+ASKING_BYTES, ASKED_BYTES = 1 << 20, 4 << 20
 #: Groups of buckets up to which their numbers of slices are broadcast.
 MAX_GROUPS = 500_000
 #: Rows here hold whole shingle sets, so few go to a Python worker at once; shuffle files go when the table they made is written.
@@ -166,7 +168,7 @@ def _candidates(docs: DataFrame, total: int, min_similarity: float) -> DataFrame
             names=["id", "weight", "hashes", "weights", "bands"],
         )
 
-    blocks, ranges = blocked(docs, "text", F.xxhash64("id"))
+    blocks, ranges = blocked(docs, "text", F.xxhash64("id"), BLOCK_BYTES)
     return BlockCounts(make, use, 1).run(blocks, ranges, "id long, weight double, hashes binary, weights binary, bands array<bigint>")
 
 
@@ -221,26 +223,28 @@ def _job(table: pa.Table, min_similarity: float) -> pa.Table:
         if not asks:
             for bucket in buckets[i].as_py():
                 where.setdefault(bucket, []).append(i)
-    linked: set[tuple[int, int]] = set()
+    linked: dict[int, set[int]] = {}
     for q in np.flatnonzero(ask).tolist():
-        hit = np.unique(np.concatenate([np.array(where.get(bucket, ()), np.int64) for bucket in buckets[q].as_py()]))
+        hit = np.unique(np.concatenate([np.zeros(0, np.int64), *[np.array(where.get(bucket, ()), np.int64) for bucket in buckets[q].as_py()]]))
         hit = hit[label[hit] != label[q]]
         hit = hit[np.minimum(weight[hit], weight[q]) >= min_similarity * (1 - 1e-9) * np.maximum(weight[hit], weight[q])]
         if not len(hit):
             continue
         own, own_weights = set_of(q)
-        for other in np.unique(label[hit]).tolist():
-            pair = (min(other, int(label[q])), max(other, int(label[q])))
-            rest = hit[label[hit] == other]
-            # A few sets at a time, so that a text of very many partners needs little memory.
-            while len(rest) and pair not in linked:
-                some, rest = rest[:64], rest[64:]
-                found = [set_of(i) for i in some.tolist()]
-                sizes = np.array([len(h) for h, _ in found])
-                shared = _shared_weights(own, own_weights, np.concatenate([h for h, _ in found]), np.concatenate([w for _, w in found]), np.cumsum(sizes) - sizes)
-                if _similar(weight[some], weight[q], shared, min_similarity).any():
-                    linked.add(pair)
-    pairs = sorted(linked)
+        # A few sets at a time, so that a text of very many partners needs little memory; what is of a class that is linked by now is left out.
+        mine = int(label[q])
+        done = np.array(sorted(linked.get(mine, ())), np.int64)
+        while len(hit := hit[~np.isin(label[hit], done)]):
+            some, hit = hit[:128], hit[128:]
+            found = [set_of(i) for i in some.tolist()]
+            sizes = np.array([len(h) for h, _ in found])
+            shared = _shared_weights(own, own_weights, np.concatenate([h for h, _ in found]), np.concatenate([w for _, w in found]), np.cumsum(sizes) - sizes)
+            others = np.unique(label[some[_similar(weight[some], weight[q], shared, min_similarity)]])
+            for x in others.tolist():
+                linked.setdefault(mine, set()).add(x)
+                linked.setdefault(x, set()).add(mine)
+            done = np.concatenate([done, others])
+    pairs = sorted((x, y) for x, others in linked.items() for y in others if x < y)
     return pa.table([pa.array([x[k] for x in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 

@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from brindle.llm import block_counts, near_text
+from brindle.llm import near_text
 from brindle.llm._common import Scratch
 from brindle.llm.components import components
 from brindle.llm.near_text import BANDS, SMOOTHING, band_keys, drop_near_duplicates, near_classes, shingle_sets
@@ -116,7 +116,7 @@ def test_frequencies_do_not_depend_on_blocks(spark, monkeypatch):
     base = [f"w{k}" for k in range(209)]
     rows = [(k, " ".join(base)) for k in range(400)] + [(1000, " ".join(base + [f"v{k}" for k in range(50)]))]
     rows += [(2000 + k, " ".join(f"u{k}x{j // 2}y{j}" for j in range(40))) for k in range(100)]
-    monkeypatch.setattr(block_counts, "BLOCK_BYTES", 8000)
+    monkeypatch.setattr(near_text, "BLOCK_BYTES", 8000)
     got = {r.doc_id: r.class_id for r in near_classes(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == brute(rows) and got[1000] == 0
 
