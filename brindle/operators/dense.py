@@ -18,17 +18,28 @@ def l2_normalize(vector: Column) -> Column:
     return F.transform(F.array(F.sqrt(dot(vector, vector)) + EPSILON), lambda n: F.transform(vector, lambda x: x.cast("double") / n))[0]
 
 
+#: Components of query vectors in a block that is broadcast, at most (64 MB).
+BLOCK_COMPONENTS = 8 << 20
+
+
 def dense_hits(nodes: DataFrame, queries: DataFrame, k: int = 10, *, digits: int = 6) -> DataFrame:
     """Exact inner-product search of a stated query set against all vectors (``node_id``, ``vector``; ``query_id``, ``q``).
 
-    The query set is broadcast in blocks of one row each, with all its vectors in
-    one array: the vectors stay where they are, and each task keeps the best
-    ``k`` of its rows for every query before anything is shuffled.
+    The query set is counted and cut into blocks of a bounded size. A block is
+    broadcast as one row with all its vectors in one array: the vectors stay
+    where they are, and each task keeps the best ``k`` of its rows for every
+    query before anything is shuffled.
     """
-    block = F.broadcast(queries.agg(F.collect_list(F.struct("query_id", "q")).alias("block")))
-    pairs = nodes.crossJoin(block).select("node_id", "vector", F.explode("block").alias("x"))
-    scored = pairs.select("node_id", F.col("x.query_id").alias("query_id"), F.round(dot(F.col("vector"), F.col("x.q")), digits).alias("score"))
-    return top_k(scored, k).select("query_id", "node_id", "score", "rank")
+    size = queries.agg(F.sum(F.size("q"))).first()[0] or 0
+    blocks = max(1, -(-size // BLOCK_COMPONENTS))
+    found = None
+    for i in range(blocks):
+        part = queries if blocks == 1 else queries.where(F.pmod(F.xxhash64("query_id"), F.lit(blocks)) == i)
+        block = F.broadcast(part.agg(F.collect_list(F.struct("query_id", "q")).alias("block")))
+        pairs = nodes.crossJoin(block).select("node_id", "vector", F.explode("block").alias("x"))
+        scored = pairs.select("node_id", F.col("x.query_id").alias("query_id"), F.round(dot(F.col("vector"), F.col("x.q")), digits).alias("score"))
+        found = scored if found is None else found.unionAll(scored)
+    return top_k(found, k).select("query_id", "node_id", "score", "rank")
 
 
 def adjacent_similarity(rows: DataFrame, group_col: str, order_col: str, vector_col: str) -> DataFrame:

@@ -2,34 +2,89 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from brindle.functions.text import tokens
 
 VARIANTS = ("okapi", "plus", "l")
+#: Queries up to which their terms are broadcast (some 100 terms each are some 100 MB); beyond it joins shuffle.
+MAX_QUERIES = 20_000
+#: Partitions of a written index by the hash of a term.
+TERM_BUCKETS = 256
 
 
 @dataclass(frozen=True)
 class Index:
-    """``postings(term, node_id, tf)``, ``lengths(node_id, dl)``, ``terms(term, df)``, and one row of ``stats(n, avgdl)``."""
+    """``tokens(node_id, tokens)`` and what follows from it; a written index has its ``stored`` tables instead.
 
-    postings: DataFrame
-    lengths: DataFrame
-    terms: DataFrame
-    stats: DataFrame
+    The tables are lazy, so a search pays for those it reads: ``postings(term,
+    node_id, tf, dl)``, ``lengths(node_id, dl)``, ``terms(term, df)``, and one
+    row of ``stats(n, avgdl)``.
+    """
+
+    tokens: DataFrame | None
+    stored: dict[str, DataFrame] | None = None
+
+    def _table(self, name: str, made: Callable[[], DataFrame]) -> DataFrame:
+        return self.stored[name] if self.stored else made()
+
+    @property
+    def postings(self) -> DataFrame:
+        return self._table("postings", lambda: _counted(self.tokens.select("node_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term"))))
+
+    @property
+    def lengths(self) -> DataFrame:
+        return self._table("lengths", lambda: self.tokens.select("node_id", F.size("tokens").cast("long").alias("dl")))
+
+    @property
+    def terms(self) -> DataFrame:
+        """Each node's distinct terms are counted by the tasks first, so no posting is shuffled."""
+        return self._table("terms", lambda: self.tokens.select(F.explode(F.array_distinct("tokens")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("df")))
+
+    @property
+    def stats(self) -> DataFrame:
+        dl = F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0))
+        return self._table("stats", lambda: self.lengths.agg(F.count(F.lit(1)).alias("n"), dl.alias("avgdl")))
+
+    def postings_of(self, wanted: DataFrame) -> DataFrame:
+        """The postings of the terms in ``wanted``; others are left out before anything is counted or shuffled."""
+        if self.stored:
+            return self.stored["postings"].join(wanted.withColumn("bucket", _bucket()), ["bucket", "term"]).drop("bucket")
+        return _counted(self.tokens.select("node_id", F.size("tokens").cast("long").alias("dl"), F.explode("tokens").alias("term")).join(wanted, "term"))
+
+
+def _bucket() -> Column:
+    return F.pmod(F.xxhash64("term"), F.lit(TERM_BUCKETS)).cast("int")
+
+
+def _counted(words: DataFrame) -> DataFrame:
+    return words.groupBy("term", "node_id").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
 
 
 def build_index(nodes: DataFrame, *, id_col: str = "node_id", text_col: str = "text", remove_stop_words: bool = True) -> Index:
-    """Term frequencies, document frequencies and lengths. Counts are pre-aggregated by the tasks before they are shuffled."""
-    cut = nodes.select(F.col(id_col).alias("node_id"), tokens(text_col, remove_stop_words).alias("tokens"))
-    postings = cut.select("node_id", F.explode("tokens").alias("term")).groupBy("term", "node_id").agg(F.count(F.lit(1)).alias("tf"))
-    lengths = cut.select("node_id", F.size("tokens").cast("long").alias("dl"))
-    terms = postings.groupBy("term").agg(F.count(F.lit(1)).alias("df"))
-    stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    return Index(postings, lengths, terms, stats)
+    """An index over nodes; each text is cut into tokens once in each scan (a one-element explode pins them)."""
+    return Index(nodes.select(F.col(id_col).alias("node_id"), F.explode(F.array(tokens(text_col, remove_stop_words))).alias("tokens")))
+
+
+def write_index(index: Index, path: str) -> None:
+    """Writes an index: postings in folders by the hash of their term, so that a search reads those of its terms."""
+    index.postings.withColumn("bucket", _bucket()).repartition("bucket").sortWithinPartitions("bucket", "term").write.partitionBy("bucket").parquet(f"{path}/postings")
+    for name in ("lengths", "terms", "stats"):
+        getattr(index, name).write.parquet(f"{path}/{name}")
+
+
+def load_index(spark: SparkSession, path: str) -> Index:
+    """Attaches to a written index; nothing is read before a search."""
+    return Index(None, {name: spark.read.parquet(f"{path}/{name}") for name in ("postings", "lengths", "terms", "stats")})
+
+
+def few(queries: DataFrame, frame: DataFrame) -> DataFrame:
+    """``frame``, which has some rows for each query, with a broadcast hint if the queries are few."""
+    return F.broadcast(frame) if queries.count() <= MAX_QUERIES else frame
 
 
 def query_terms(queries: DataFrame, remove_stop_words: bool = True) -> DataFrame:
@@ -44,8 +99,19 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
 
 
 def _matches(index: Index, queries: DataFrame) -> DataFrame:
-    wanted = query_terms(queries).join(index.terms, "term")
-    return wanted.join(index.postings, "term").join(index.lengths, "node_id").crossJoin(F.broadcast(index.stats))
+    terms = query_terms(queries)
+    found = index.postings_of(few(queries, terms.select("term").distinct()))
+    # It reads both columns, so that both uses of the postings are one exchange; it is the number of rows.
+    dfs = found.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.col("dl"))).alias("df"))
+    wanted = few(queries, terms).join(few(queries, dfs), "term")
+    return found.join(few(queries, wanted), "term").crossJoin(F.broadcast(index.stats))
+
+
+def _idle(index: Index, queries: DataFrame, idle: Column) -> DataFrame:
+    """The part of a query's scores that all documents have."""
+    terms = query_terms(queries)
+    dfs = index.postings_of(few(queries, terms.select("term").distinct())).groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.col("dl"))).alias("df"))
+    return few(queries, terms).join(few(queries, dfs), "term").crossJoin(F.broadcast(index.stats)).groupBy("query_id").agg(F.sum(F.col("m") * idle).alias("idle"))
 
 
 def bm25(
@@ -62,7 +128,7 @@ def bm25(
 ) -> DataFrame:
     """BM25 hits (``query_id``, ``node_id``, ``score`` > 0, ``rank``).
 
-    Only postings of query terms are read. In the variants in which documents
+    Only tokens that are query terms are counted and shuffled. In the variants in which documents
     without a term score as well, that part is the same for all documents: a
     query's constant, added to every document at the end.
     """
@@ -87,17 +153,17 @@ def bm25(
         part = lambda c: idf * (k1 + 1) * (c + delta) / (k1 + c + delta)
         idle = part(F.lit(0.0))
         gain = part(tf / norm) - idle
-    constants = query_terms(queries).join(index.terms, "term").crossJoin(F.broadcast(index.stats)).groupBy("query_id").agg(F.sum(F.col("m") * idle).alias("idle"))
+    constants = _idle(index, queries, idle)
     own = _matches(index, queries).groupBy("query_id", "node_id").agg(F.sum(F.col("m") * gain).alias("gain"))
     scored = own.join(constants, "query_id").select("query_id", "node_id", F.round(F.col("gain") + F.col("idle"), digits).alias("score"))
-    few = top_k(scored, k).drop("rank")
+    best = top_k(scored, k).drop("rank")
     # Documents without any term of a query all score its constant. A query that matches fewer than k documents
     # is completed by the first such ids; of the first 2k ids at most k - 1 are matched.
     more = constants.join(own.groupBy("query_id").agg(F.count(F.lit(1)).alias("matched")), "query_id", "left").where(F.coalesce("matched", F.lit(0)) < k)
     offered = index.lengths.select("node_id").orderBy("node_id").limit(2 * k)
     rest = more.crossJoin(F.broadcast(offered)).join(own.select("query_id", "node_id"), ["query_id", "node_id"], "left_anti")
     rest = rest.select("query_id", "node_id", F.round("idle", digits).alias("score"))
-    return top_k(few.unionByName(rest).where("score > 0"), k)
+    return top_k(best.unionByName(rest).where("score > 0"), k)
 
 
 def tfidf(index: Index, queries: DataFrame, k: int = 10, *, digits: int = 6) -> DataFrame:
@@ -113,7 +179,7 @@ def keyword_hits(nodes: DataFrame, queries: DataFrame, k: int = 10, *, id_col: s
     words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(c, F.lit(""))), F.lit("[a-z0-9_]+"), F.lit(0)))
     have = nodes.select(F.col(id_col).alias("node_id"), F.explode(words(F.col(text_col))).alias("word"))
     want = queries.select("query_id", F.explode(words(F.col("query"))).alias("word"))
-    hits = want.join(have, "word").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
+    hits = have.join(few(queries, want), "word").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).cast("double").alias("score"))
     return top_k(hits, k)
 
 
@@ -121,7 +187,7 @@ def sparse_hits(nodes: DataFrame, queries: DataFrame, k: int = 10, *, digits: in
     """Dot products of sparse vectors, given as maps from token to weight in ``sparse``."""
     have = nodes.select("node_id", F.explode("sparse").alias("token", "w"))
     want = queries.select("query_id", F.explode("sparse").alias("token", "q"))
-    hits = want.join(have, "token").groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("w").cast("double") * F.col("q")), digits).alias("score"))
+    hits = have.join(few(queries, want), "token").groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("w").cast("double") * F.col("q")), digits).alias("score"))
     return top_k(hits, k)
 
 
@@ -139,9 +205,20 @@ def _stops() -> tuple[str, ...]:
 
 
 def append_nodes(old: Index, nodes: DataFrame, **columns) -> Index:
-    """The index with more nodes: postings and lengths are appended, frequencies are added up anew from the counts."""
+    """The index with more nodes; frequencies are those of all of them."""
     new = build_index(nodes, **columns)
-    postings, lengths = old.postings.unionByName(new.postings), old.lengths.unionByName(new.lengths)
+    if not old.stored:
+        return Index(old.tokens.unionByName(new.tokens))
+    lengths = old.lengths.unionByName(new.lengths)
     terms = old.terms.unionByName(new.terms).groupBy("term").agg(F.sum("df").alias("df"))
     stats = lengths.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0)).alias("avgdl"))
-    return Index(postings, lengths, terms, stats)
+    postings = old.postings.unionByName(new.postings.withColumn("bucket", _bucket()))
+    return Index(None, {"postings": postings, "lengths": lengths, "terms": terms, "stats": stats})
+
+
+def rake_hits(nodes: DataFrame, queries: DataFrame, k: int = 10, *, id_col: str = "node_id", text_col: str = "text") -> DataFrame:
+    """Retrieval by key phrases: the number of distinct words of a query's phrases that are key words of a node."""
+    words = lambda c: F.array_distinct(F.flatten(F.transform(rake_phrases(c), lambda p: F.split(p, " "))))
+    have = nodes.select(F.col(id_col).alias("node_id"), F.explode(words(F.col(text_col))).alias("word"))
+    want = queries.select("query_id", F.explode(words(F.col("query"))).alias("word"))
+    return top_k(have.join(few(queries, want), "word").groupBy("query_id", "node_id").agg(F.count(F.lit(1)).cast("double").alias("score")), k)

@@ -37,7 +37,7 @@ def _queries(spark, sf_dir):
 
 @query(INDEX_SQL + "SELECT term, node_id, tf FROM post")
 def postings_tf(spark, sf_dir):
-    return _index(spark, sf_dir).postings
+    return _index(spark, sf_dir).postings.drop("dl")
 
 
 @query(INDEX_SQL + "SELECT term, df FROM terms")
@@ -195,16 +195,15 @@ def island_groups(spark, sf_dir):
 
 
 SPARSE_SQL = """
-WITH d AS (SELECT doc_id AS node_id, unnest(list_distinct(string_split(text, ' ')[1:5])) AS token FROM documents),
-q AS (SELECT item_id AS query_id, unnest(list_distinct(string_split(text, ' ')[1:5])) AS token FROM benchmark),
+WITH d AS (SELECT doc_id AS node_id, unnest(list_distinct(string_split(text, ' '))) AS token FROM documents),
+q AS (SELECT item_id AS query_id, unnest(list_distinct(string_split(text, ' '))) AS token FROM benchmark),
 s AS (SELECT query_id, node_id, round(CAST(count(*) AS DOUBLE), 6) AS score FROM q JOIN d USING (token) GROUP BY ALL)
 """
 
 
-def _sparse(spark, sf_dir, first=None):
-    """Hits by the distinct space-separated words of whole texts, or of the ``first`` words only."""
-    words = lambda c: F.split(c, " ") if first is None else F.slice(F.split(c, " "), 1, first)
-    sparse = lambda c: F.map_from_entries(F.transform(F.array_distinct(words(c)), lambda t: F.struct(t, F.lit(1.0).cast("float"))))
+def _sparse(spark, sf_dir):
+    """Hits by the distinct space-separated words of whole texts."""
+    sparse = lambda c: F.map_from_entries(F.transform(F.array_distinct(F.split(c, " ")), lambda t: F.struct(t, F.lit(1.0).cast("float"))))
     nodes = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("node_id"), sparse("text").alias("sparse"))
     asked = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), sparse("text").alias("sparse"))
     return index.sparse_hits(nodes, asked).withColumn("rank", F.col("rank").cast("long"))
@@ -212,7 +211,20 @@ def _sparse(spark, sf_dir, first=None):
 
 @query(SPARSE_SQL + TOP_SQL)
 def sparse_dot_topk(spark, sf_dir):
-    return _sparse(spark, sf_dir, first=5)  # as in its SQL
+    return _sparse(spark, sf_dir)
+
+
+RAKE_WORDS = f"list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda w: NOT list_contains({_LIST(STOP_WORDS)}, w))"
+
+
+@query(f"""
+WITH n AS (SELECT DISTINCT doc_id AS node_id, unnest({RAKE_WORDS}) AS w FROM documents),
+q AS (SELECT DISTINCT item_id AS query_id, unnest({RAKE_WORDS}) AS w FROM benchmark),
+s AS (SELECT query_id, node_id, CAST(count(*) AS DOUBLE) AS score FROM q JOIN n USING (w) GROUP BY ALL)
+""" + TOP_SQL)
+def keyword_rake_topk(spark, sf_dir):
+    hits = index.rake_hits(table(spark, sf_dir, "documents"), _queries(spark, sf_dir), id_col="doc_id")
+    return hits.select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
 
 
 LISTS_SQL = TFIDF_SQL + """, a AS (SELECT query_id, node_id, score, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 10),
@@ -276,6 +288,12 @@ def hybrid_batch(spark, sf_dir):
     return fusion.hybrid([dense.dense_hits(vectors, asked), index.bm25(_index(spark, sf_dir), words)])
 
 
-@query()
+@query(SPARSE_SQL + f""", v AS (SELECT b.vec_id AS query_id, a.vec_id AS node_id, round({DOT}, 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE b.vec_id % 100 = 0),
+l AS (
+  SELECT query_id, 0 AS list_idx, CAST(node_id AS VARCHAR) AS node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM v QUALIFY rank <= 10
+  UNION ALL SELECT query_id, 1, CAST(node_id AS VARCHAR), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM s QUALIFY rank <= 10),
+f AS (SELECT query_id, node_id, round(sum(1.0 / (60 + rank)), 9) AS score, min((list_idx, rank)) AS seen FROM l GROUP BY ALL)
+""" + FUSED_SQL)
 def dense_sparse_rrf(spark, sf_dir):
-    return fusion.hybrid([_dense(spark, sf_dir), _sparse(spark, sf_dir)])
+    fused = fusion.hybrid([_dense(spark, sf_dir), _sparse(spark, sf_dir)])
+    return fused.select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
