@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import estimated_tokens, sentences
 
+from . import dense
+
 
 def greedy_groups(items: Column, size: Callable[[Column], Column], limit: int) -> Column:
     """Consecutive items in groups whose sizes add up to ``limit`` at most; a larger item stands alone.
@@ -28,11 +30,33 @@ def greedy_groups(items: Column, size: Callable[[Column], Column], limit: int) -
     return F.transform(F.array(cuts), bound)[0]
 
 
-def by_sentence(docs: DataFrame, chunk_size: int = 1024) -> DataFrame:
-    """Whole sentences packed greedily up to ``chunk_size`` estimated tokens."""
-    cut = docs.select("doc_id", F.explode(F.array(sentences("text"))).alias("items"))
-    groups = greedy_groups(F.col("items"), estimated_tokens, chunk_size)
-    return cut.select("doc_id", F.posexplode(groups).alias("pos", "group")).select("doc_id", "pos", F.array_join("group", " ").alias("text"))
+def by_sentence(docs: DataFrame, chunk_size: int = 1024, overlap: int = 0) -> DataFrame:
+    """Whole sentences packed greedily up to ``chunk_size`` estimated tokens.
+
+    A sentence above the size is first cut into pieces of as many characters. A
+    chunk begins with the last sentences of the one before that have ``overlap``
+    tokens at most together.
+    """
+    if not 0 <= overlap < chunk_size:
+        raise ValueError("overlap must be less than the size")
+    most = 4 * chunk_size
+    pieces = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(s) / most).cast("int") - 1, F.lit(0))), lambda k: F.substring(s, k * most + 1, F.lit(most)))
+    whole = F.flatten(F.transform(sentences("text"), lambda s: F.when(estimated_tokens(s) > chunk_size, pieces(s)).otherwise(F.array(s))))
+    cut = docs.select("doc_id", F.explode(F.array(whole)).alias("items"))
+    rows = cut.select("doc_id", F.explode(F.array(greedy_groups(F.col("items"), estimated_tokens, chunk_size))).alias("groups")).select("doc_id", "groups", F.posexplode("groups").alias("pos", "group"))
+    if not overlap:
+        return rows.select("doc_id", "pos", F.array_join("group", " ").alias("text"))
+    before = F.when(F.col("pos") > 0, F.element_at("groups", F.greatest(F.col("pos"), F.lit(1)))).otherwise(F.array().cast("array<string>"))
+    tail = F.aggregate(
+        F.reverse(before),
+        F.struct(F.lit(0).alias("used"), F.lit(0).alias("n"), F.lit(True).alias("open")),
+        lambda t, s: F.transform(
+            F.array(t["open"] & (t["used"] + estimated_tokens(s) <= overlap)),
+            lambda fits: F.struct(F.when(fits, t["used"] + estimated_tokens(s)).otherwise(t["used"]).alias("used"), (t["n"] + fits.cast("int")).alias("n"), fits.alias("open")),
+        )[0],
+    )["n"]
+    kept = rows.select("doc_id", "pos", "group", before.alias("before"), tail.alias("n"))
+    return kept.select("doc_id", "pos", F.array_join(F.concat(F.slice("before", F.size("before") - F.col("n") + 1, F.col("n")), "group"), " ").alias("text"))
 
 
 def _windows(n: Column, size: int, overlap: int) -> Column:
@@ -113,13 +137,13 @@ def code_lines(docs: DataFrame, lines: int = 40, overlap: int = 15, max_chars: i
     return whole.select("doc_id", "pos", "text", F.posexplode(pieces).alias("piece", "k")).select("doc_id", "pos", "piece", F.substring("text", F.col("k") * max_chars + 1, F.lit(max_chars)).alias("text"))
 
 
-def hierarchy(docs: DataFrame, sizes: tuple[int, ...] = (2048, 512, 128)) -> DataFrame:
-    """A tree of character windows, longest first: ``node_id``, ``parent_id``, ``level``, ``text``; all levels from one explode."""
+def hierarchy(docs: DataFrame, sizes: tuple[int, ...] = (2048, 512, 128), overlap: int = 0) -> DataFrame:
+    """A tree of character windows, longest first, that overlap by ``overlap``: ``node_id``, ``parent_id``, ``level``, ``text``."""
     sizes = tuple(sorted(sizes, reverse=True))
     level = docs.select("doc_id", F.lit(None).cast("string").alias("parent_id"), F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
     out = None
     for n, size in enumerate(sizes):
-        starts = level.select("doc_id", "path", "text", F.posexplode(_windows(F.length("text"), size, 0)).alias("k", "at"))
+        starts = level.select("doc_id", "path", "text", F.posexplode(_windows(F.length("text"), size, overlap)).alias("k", "at"))
         level = starts.select("doc_id", (F.col("path") if n else F.lit(None).cast("string")).alias("parent_id"), F.concat("path", F.lit("."), F.col("k").cast("string")).alias("path"), F.substring("text", F.col("at"), F.lit(size)).alias("text"))
         rows = level.select("doc_id", F.col("path").alias("node_id"), "parent_id", F.lit(n).alias("level"), "text")
         out = rows if out is None else out.unionByName(rows)
@@ -140,18 +164,118 @@ def auto_merge(hits: DataFrame, nodes: DataFrame, ratio: float = 0.4) -> DataFra
     return kept.select("query_id", "node_id", "score").unionByName(merged.select("query_id", F.col("parent_id").alias("node_id"), "score"))
 
 
+def merge_small(groups: Column, small: Callable[[Column], Column]) -> Column:
+    """Groups of which a small one, other than the first, joins the one before it."""
+    step = lambda done, g: F.when((F.size(done) > 0) & small(g), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), g)))).otherwise(F.concat(done, F.array(g)))
+    return F.aggregate(groups, F.array().cast("array<array<string>>"), step)
+
+
 def tidy_groups(groups: Column, min_chars: int, max_chars: int) -> Column:
     """Groups of sentences: a short one joins the one before it, then long ones are cut at sentence ends."""
     length = lambda g: F.length(F.array_join(g, ""))
 
-    def merge(done: Column, g: Column) -> Column:
-        return F.when((F.size(done) > 0) & (length(g) < min_chars), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), g)))).otherwise(F.concat(done, F.array(g)))
-
-    merged = F.aggregate(groups, F.array().cast("array<array<string>>"), merge)
+    merged = merge_small(groups, lambda g: length(g) < min_chars)
     return F.flatten(F.transform(merged, lambda g: greedy_groups(g, F.length, max_chars)))
 
 
 def json_leaves(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
-    """One line for each leaf of a flat JSON object: key and value."""
+    """One line for each member of a JSON object: key and value; a nested value stays JSON."""
     pairs = rows.select(id_col, F.explode(F.from_json(json_col, "map<string,string>")).alias("key", "value"))
     return pairs.select(id_col, "key", F.concat_ws(" ", "key", "value").alias("text"))
+
+
+def json_paths(rows: DataFrame, id_col: str, json_col: str, depth: int = 8) -> DataFrame:
+    """A line for each leaf of any JSON value, depth first: the keys and array places that lead to it, and the value.
+
+    Values below ``depth`` levels stay JSON. Invalid JSON and nulls give no line.
+    """
+    node = F.struct(F.lit("").alias("path"), F.array().cast("array<string>").alias("order"), F.col(json_col).alias("value"))
+    level = rows.select(F.col(id_col).alias("__id"), F.explode(F.array(node)).alias("x")).select("__id", "x.*")
+    out = None
+    for _ in range(depth):
+        kind = F.substring(F.ltrim(F.col("value")), 1, 1)
+        members = F.map_entries(F.from_json(F.when(kind == "{", F.col("value")), "map<string,string>"))
+        items = F.transform(F.from_json(F.when(kind == "[", F.col("value")), "array<string>"), lambda v, k: F.struct(k.cast("string").alias("key"), v.alias("value")))
+        inner = F.transform(F.coalesce(members, items), lambda e, k: F.struct(e["key"].alias("key"), e["value"].alias("value"), F.lpad(k.cast("string"), 6, "0").alias("at")))
+        opened = level.withColumn("inner", inner)
+        leaf = opened.where("inner is null").drop("inner")
+        out = leaf if out is None else out.unionByName(leaf)
+        step = opened.where("inner is not null").select("__id", "path", "order", F.explode("inner").alias("e"))
+        level = step.select("__id", F.concat_ws(" ", F.nullif("path", F.lit("")), "e.key").alias("path"), F.concat("order", F.array("e.at")).alias("order"), F.col("e.value").alias("value"))
+    lines = out.unionByName(level).where("value is not null and path <> ''")
+    return lines.select(F.col("__id").alias(id_col), "path", F.concat_ws(" ", "path", "value").alias("text"), F.array_join("order", ".").alias("order"))
+
+
+def code_blocks(docs: DataFrame, max_chars: int = 1500) -> DataFrame:
+    """Source code cut before top-level definitions (lines that begin with ``def``, ``async def``, ``class`` or a decorator above one), then at ``max_chars``."""
+    cut = docs.select("doc_id", F.explode(F.array(F.split(F.coalesce("text", F.lit("")), "\n"))).alias("l"))
+    starts = lambda x, k: x.rlike("^(def|class|async def|@)\\b|^@") & ((k == 0) | ~F.coalesce(F.element_at("l", F.greatest(k, F.lit(1))).startswith("@"), F.lit(False)))
+    flags = F.transform("l", lambda x, k: starts(x, k))
+    ends = F.filter(F.transform(flags, lambda f, k: F.when(f & (k > 0), k).otherwise(-1)), lambda e: e > 0)
+    bounds = cut.select("doc_id", "l", F.explode(F.array(F.concat(F.array(F.lit(0)), ends, F.array(F.size("l"))))).alias("c"))
+    blocks = F.transform(F.sequence(F.lit(1), F.size("c") - 1), lambda i: F.array_join(F.slice("l", F.element_at("c", i) + 1, F.element_at("c", i + 1) - F.element_at("c", i)), "\n"))
+    whole = bounds.select("doc_id", F.posexplode(blocks).alias("pos", "text")).where(F.trim("text") != "")
+    pieces = F.sequence(F.lit(0), F.greatest(F.lit(0), F.ceil(F.length("text") / max_chars).cast("int") - 1))
+    return whole.select("doc_id", "pos", "text", F.posexplode(pieces).alias("piece", "k")).select("doc_id", "pos", "piece", F.substring("text", F.col("k") * max_chars + 1, F.lit(max_chars)).alias("text"))
+
+
+def semantic(docs: DataFrame, embedding, *, buffer_size: int = 1, percentile: float = 95.0) -> DataFrame:
+    """Nodes between the sentences whose surroundings differ most.
+
+    A sentence is embedded together with ``buffer_size`` neighbours on each
+    side; a node ends where the distance to the next exceeds the document's
+    percentile of distances, so a larger percentile cuts less.
+    """
+    rows = sentence_window(docs, buffer_size).withColumn("vector", embedding.embed(F.col("window")))
+    parts = dense.percentile_breaks(dense.adjacent_similarity(rows, "doc_id", "pos", "vector"), "doc_id", "pos", percentile)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
+    return parts.groupBy("doc_id", F.col("part").cast("int").alias("pos")).agg(joined.alias("text"))
+
+
+def semantic_dual(docs: DataFrame, embedding, *, max_tokens: int = 512, min_tokens: int = 50, **options) -> DataFrame:
+    """Semantic nodes; short ones join the one before, and long ones are cut at sentence ends."""
+    nodes = semantic(docs, embedding, **options)
+    lists = nodes.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.array(x["text"])).alias("groups"))
+    merged = lists.select("doc_id", F.explode(F.array(merge_small(F.col("groups"), lambda g: estimated_tokens(F.array_join(g, " ")) < min_tokens))).alias("groups"))
+    texts = F.transform("groups", lambda g: F.array_join(g, " "))
+    pieces = merged.select("doc_id", F.posexplode(texts).alias("part", "text")).select("doc_id", "part", F.explode(F.array(sentences("text"))).alias("items"))
+    groups = pieces.select("doc_id", "part", F.posexplode(greedy_groups(F.col("items"), estimated_tokens, max_tokens)).alias("piece", "g"))
+    return groups.select("doc_id", F.col("part").alias("pos"), "piece", F.array_join("g", " ").alias("text"))
+
+
+def _plain(split: Callable[..., DataFrame]) -> Callable[[DataFrame], DataFrame]:
+    return lambda docs: split(docs).select("doc_id", F.col("pos").cast("long").alias("pos"), "text")
+
+
+def _leaf_windows(docs: DataFrame) -> DataFrame:
+    rows = leaves(hierarchy(docs))
+    at = F.transform(F.slice(F.split("node_id", "\\."), -3, 3), lambda x: x.cast("long"))
+    return rows.select("doc_id", (at[0] * 1_000_000 + at[1] * 1000 + at[2]).alias("pos"), "text")
+
+
+#: How each document type is split; a splitter takes documents and gives ``doc_id``, ``pos`` and ``text``. More may be registered.
+SPLITTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
+    "text": _plain(by_sentence),
+    "sentence": _plain(by_sentence),
+    "token": _plain(by_token),
+    "simple": _plain(fixed),
+    "sentence_window": _plain(sentence_window),
+    "markdown": _plain(markdown),
+    "html": lambda docs: html_nodes(docs.withColumnsRenamed({"doc_id": "page_id", "text": "html"})).select(F.col("page_id").alias("doc_id"), F.col("pos").cast("long").alias("pos"), "text"),
+    "json": lambda docs: json_paths(docs, "doc_id", "text").select("doc_id", (F.row_number().over(Window.partitionBy("doc_id").orderBy("order")) - 1).cast("long").alias("pos"), "text"),
+    "code": lambda docs: code_blocks(docs).select("doc_id", (F.col("pos") * 1000 + F.col("piece")).cast("long").alias("pos"), "text"),
+    "hierarchy": _leaf_windows,
+}
+
+
+def auto_split(docs: DataFrame, doc_type: str | None = "text") -> DataFrame:
+    """Splits documents as their type wants it; without a ``doc_type`` each row is split by its own in a column of that name."""
+    if doc_type is not None:
+        if doc_type not in SPLITTERS:
+            raise ValueError(f"doc_type must be one of {sorted(SPLITTERS)}")
+        return SPLITTERS[doc_type](docs)
+    out = None
+    for name, split in SPLITTERS.items():
+        part = split(docs.where(F.col("doc_type") == name).select("doc_id", "text"))
+        out = part if out is None else out.unionByName(part)
+    return out

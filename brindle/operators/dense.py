@@ -55,7 +55,7 @@ def adjacent_similarity(rows: DataFrame, group_col: str, order_col: str, vector_
 def percentile_breaks(rows: DataFrame, group_col: str, order_col: str, percentile: float = 95.0) -> DataFrame:
     """Breaks after rows whose distance to the next exceeds the group's percentile; ``part`` numbers what lies between."""
     limits = rows.groupBy(group_col).agg(F.expr(f"percentile(1 - sim, {percentile / 100})").alias("limit"))
-    marked = rows.join(limits, group_col).withColumn("breaks", F.coalesce(1 - F.col("sim") > F.col("limit"), F.lit(False)))
+    marked = rows.join(limits, group_col).withColumn("breaks", F.coalesce(F.round(1 - F.col("sim"), 9) > F.round("limit", 9), F.lit(False)))
     return islands(marked, group_col, order_col, "breaks").drop("limit")
 
 

@@ -36,3 +36,36 @@ class ExtractiveModel:
 
     def complete(self, prompt: Column) -> Column:
         return F.trim(F.regexp_extract(prompt, "(?s)Context:\\s*([^.!?]*[.!?]?)", 1))
+
+
+class LetterEmbedding:
+    """How often each letter from a to z occurs: an embedding that needs no model and that SQL can compute as well."""
+
+    def embed(self, text: Column) -> Column:
+        low = F.lower(F.coalesce(text, F.lit("")))
+        return F.transform(F.array(low), lambda t: F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"]))[0]
+
+
+class RuleModel:
+    """Answers the prompts of ``modeled`` by rules.
+
+    A topic ends after a sentence whose length is a multiple of ``modulus``;
+    statements are sentences; a change of topic is confirmed if the statement
+    before the mark is shorter than the one after it.
+    """
+
+    def __init__(self, modulus: int = 5):
+        self.modulus = modulus
+
+    def complete(self, prompt: Column) -> Column:
+        from brindle.functions.text import sentences
+
+        lines = F.regexp_extract_all(prompt, F.lit("(?m)^\\[\\d+\\] (.*)$"), F.lit(1))
+        flags = F.transform(F.slice(lines, F.lit(1), F.greatest(F.size(lines) - 1, F.lit(0))), lambda s: F.when(F.length(s) % self.modulus == 0, "true").otherwise("false"))
+        before = F.regexp_extract(prompt, "(?m)^(.*)\\n<<<mark>>>", 1)
+        after = F.regexp_extract(prompt, "<<<mark>>>\\n(.*)", 1)
+        return (
+            F.when(prompt.contains("\nText:\n"), F.to_json(sentences(F.regexp_extract(prompt, "(?s)\\nText:\\n(.*)", 1))))
+            .when(prompt.contains("\n<<<mark>>>\n"), F.when(F.length(before) < F.length(after), "true").otherwise("false"))
+            .otherwise(F.concat(F.lit("["), F.array_join(flags, ", "), F.lit("]")))
+        )

@@ -1,6 +1,6 @@
 """Registered queries and their SQL."""
 
-from . import chats, layouts, retrieval, texts  # noqa: F401
+from . import chats, layouts, models, retrieval, texts  # noqa: F401
 from .registry import ORACLE_SQL, QUERIES
 
 __all__ = ["ORACLE_SQL", "QUERIES"]

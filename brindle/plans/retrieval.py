@@ -174,7 +174,7 @@ PART = "CAST(coalesce(sum(CAST(b AS INT)) OVER (PARTITION BY label ORDER BY vec_
 
 
 @query(SIM_SQL + f""", l AS (SELECT label, quantile_cont(1 - sim, 0.95) AS lim FROM sim GROUP BY label),
-m AS (SELECT vec_id, label, coalesce(1 - sim > lim, false) AS b FROM sim JOIN l USING (label))
+m AS (SELECT vec_id, label, coalesce(round(1 - sim, 9) > round(lim, 9), false) AS b FROM sim JOIN l USING (label))
 SELECT vec_id, label, b AS breaks, {PART} FROM m""")
 def semantic_breaks(spark, sf_dir):
     return dense.percentile_breaks(_similar(spark, sf_dir), "label", "vec_id").select("vec_id", "label", "breaks", "part")

@@ -68,11 +68,6 @@ def parse_qa(spark, sf_dir):
     return rows.select("id", F.explode(tx.questions_reply("raw")).alias("x")).select("id", "x.question", "x.ground_truth")
 
 
-@query()
-def chunk_sentence(spark, sf_dir):
-    return chunks.by_sentence(_docs(spark, sf_dir), 256)
-
-
 @query(f"SELECT doc_id, CAST(k AS INT) AS pos, array_to_string(t[k * 462 + 1:k * 462 + 512], ' ') AS text FROM (SELECT doc_id, t, unnest({WIN.format(n='len(t)', size=512, step=462)}) AS k FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents))")
 def chunk_token(spark, sf_dir):
     return chunks.by_token(_docs(spark, sf_dir))
