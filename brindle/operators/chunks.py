@@ -39,7 +39,7 @@ def by_sentence(docs: DataFrame, chunk_size: int = 1024, overlap: int = 0) -> Da
     """
     if not 0 <= overlap < chunk_size:
         raise ValueError("overlap must be less than the size")
-    most = 4 * chunk_size
+    most = max(1, 4 * (chunk_size - 1))
     pieces = lambda s: F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.length(s) / most).cast("int") - 1, F.lit(0))), lambda k: F.substring(s, k * most + 1, F.lit(most)))
     whole = F.flatten(F.transform(sentences("text"), lambda s: F.when(estimated_tokens(s) > chunk_size, pieces(s)).otherwise(F.array(s))))
     cut = docs.select("doc_id", F.explode(F.array(whole)).alias("items"))

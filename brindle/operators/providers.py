@@ -51,7 +51,8 @@ class RuleModel:
 
     A topic ends after a sentence whose length is a multiple of ``modulus``;
     statements are sentences; a change of topic is confirmed if the statement
-    before the mark is shorter than the one after it.
+    before the mark is shorter than the one after it; a follow-up stands alone
+    behind the user's last message.
     """
 
     def __init__(self, modulus: int = 5):
@@ -67,5 +68,23 @@ class RuleModel:
         return (
             F.when(prompt.contains("\nText:\n"), F.to_json(sentences(F.regexp_extract(prompt, "(?s)\\nText:\\n(.*)", 1))))
             .when(prompt.contains("\n<<<mark>>>\n"), F.when(F.length(before) < F.length(after), "true").otherwise("false"))
+            .when(prompt.contains("\n\nFollow-up: "), F.concat_ws(" ", F.nullif(F.regexp_extract(prompt, "(?s).*\\nUser: ([^\\n]*)", 1), F.lit("")), F.regexp_extract(prompt, "(?s)\\n\\nFollow-up: (.*)", 1)))
             .otherwise(F.concat(F.lit("["), F.array_join(flags, ", "), F.lit("]")))
         )
+
+
+class JudgeProvider(Protocol):
+    def supports(self, claim: Column, context: Column) -> Column: ...
+
+
+class OverlapJudge:
+    """A claim is supported if the context has a share of its distinct words; one without words is not."""
+
+    def __init__(self, share: float = 0.5):
+        self.share = share
+
+    def supports(self, claim: Column, context: Column) -> Column:
+        from brindle.functions.text import tokens
+
+        words = F.array_distinct(tokens(claim))
+        return F.coalesce(F.size(F.array_intersect(words, tokens(context))) / F.nullif(F.size(words), F.lit(0)) >= self.share, F.lit(False))

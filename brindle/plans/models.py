@@ -126,7 +126,8 @@ def chunk_semantic_dual(spark, sf_dir):
 
 
 def _sentence_sql(size: int, overlap: int) -> str:
-    pieces = f"list_transform(range(0, greatest(CAST(ceil(length(x) / {4 * size}) AS INT) - 1, 0) + 1), lambda k: x[k * {4 * size} + 1:k * {4 * size} + {4 * size}])"
+    most = 4 * (size - 1)
+    pieces = f"list_transform(range(0, greatest(CAST(ceil(length(x) / {most}) AS INT) - 1, 0) + 1), lambda k: x[k * {most} + 1:k * {most} + {most}])"
     tail = f"list_max(list_filter(range(0, len(b) + 1), lambda k: coalesce(list_sum(list_transform(b[len(b) - k + 1:], lambda z: {est_sql('z')})), 0) <= {overlap}))"
     return f"""
 WITH c AS (SELECT doc_id, [flatten(list_transform(s, lambda x: CASE WHEN {est_sql("x")} > {size} THEN {pieces} ELSE [x] END))] AS groups FROM ({_ITEMS}) WHERE len(s) > 0),

@@ -57,10 +57,13 @@ def tokenize_counts(spark, sf_dir):
     return words.groupBy("doc_id", "term").agg(F.count(F.lit(1)).alias("tf"))
 
 
-@query(INDEX_SQL + f""",
-f AS (SELECT 0.25 * avg(ln(n - df + 0.5) - ln(df + 0.5)) AS floor FROM terms CROSS JOIN st),
-s AS (SELECT query_id, node_id, round(sum(m * CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) < 0 THEN floor ELSE ln(n - df + 0.5) - ln(df + 0.5) END * tf * {K1 + 1} / (tf + {K1} * {NORM})), 6) AS score FROM mat CROSS JOIN f GROUP BY ALL HAVING score > 0)
-""" + TOP_SQL)
+BM25_SQL = INDEX_SQL + f""",
+fl AS (SELECT 0.25 * avg(ln(n - df + 0.5) - ln(df + 0.5)) AS floor FROM terms CROSS JOIN st),
+s AS (SELECT query_id, node_id, round(sum(m * CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) < 0 THEN floor ELSE ln(n - df + 0.5) - ln(df + 0.5) END * tf * {K1 + 1} / (tf + {K1} * {NORM})), 6) AS score FROM mat CROSS JOIN fl GROUP BY ALL HAVING score > 0)
+"""
+
+
+@query(BM25_SQL + TOP_SQL)
 def bm25_okapi_topk(spark, sf_dir):
     return index.bm25(_index(spark, sf_dir), _queries(spark, sf_dir)).select("query_id", "node_id", "score", F.col("rank").cast("long").alias("rank"))
 

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import importlib
 import io
+import json
+import re
 import zipfile
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -50,12 +53,23 @@ def load_text(spark: SparkSession, path: str, encoding: str = "utf-8") -> DataFr
     return files.select("path", F.lit(0).alias("part"), F.decode("content", encoding).alias("text"))
 
 
-def load_json(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
-    """Each file, or with ``lines`` each line, is one document."""
+def load_json(spark: SparkSession, path: str, lines: bool = False, levels: int | None = None, longest: int | None = None) -> DataFrame:
+    """Each file, or with ``lines`` each line, is one document, flattened (see ``flat_json``); what is no JSON has an error."""
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = []
+            for file, text in zip(batch["path"], batch["text"], strict=True):
+                try:
+                    rows.append((file, 0, flat_json(text, levels, longest), None))
+                except ValueError as e:
+                    rows.append((file, 0, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "part", "text", "error"])
+
     if lines:
-        rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text"))
-        return rows.where(F.trim("text") != "").select("path", F.lit(0).alias("part"), "text")
-    return load_text(spark, path)
+        rows = spark.read.text(path).select(F.col("_metadata.file_path").alias("path"), F.col("value").alias("text")).where(F.trim("text") != "")
+    else:
+        rows = load_text(spark, path).select("path", "text")
+    return rows.mapInPandas(run, "path string, part int, text string, error string")
 
 
 def docx_text(content: bytes) -> str:
@@ -89,21 +103,113 @@ def xlsx_rows(content: bytes, sheet: int | None = None) -> list[str]:
     return out
 
 
-def _parsed(spark: SparkSession, path: str, parse) -> DataFrame:
-    """Runs a parser on the executors; a file that fails gives a row with its error, not a failed job."""
+def flat_json(text: str, levels: int | None = None, longest: int | None = None) -> str:
+    """JSON as lines of the keys that lead to a value, and the value.
+
+    ``levels`` keeps the last so many keys (None: JSON as it is, 0: all of
+    them); a container whose JSON is no longer than ``longest`` stays JSON.
+    """
+    if levels is None:
+        return "\n".join(line.strip() for line in json.dumps(json.loads(text), indent=0, ensure_ascii=False).split("\n") if re.search(r"\w", line))
+    lines, todo = [], [((), json.loads(text))]
+    while todo:
+        keys, value = todo.pop()
+        whole = json.dumps(value, ensure_ascii=False)
+        if isinstance(value, dict | list) and value and not (longest is not None and len(whole) <= longest and keys):
+            inner = value.items() if isinstance(value, dict) else enumerate(value)
+            todo += [((*keys, str(k)) if isinstance(value, dict) else keys, v) for k, v in reversed(list(inner))]
+        else:
+            lines.append(" ".join([*(keys[-levels:] if levels else keys), value if isinstance(value, str) else whole]))
+    return "\n".join(lines)
+
+
+def markdown_sections(text: str) -> list[str]:
+    """A part for each heading and what stands below it; marks in code fences are no headings."""
+    parts, fenced = [[]], False
+    for line in text.split("\n"):
+        fenced ^= line.lstrip().startswith("```")
+        if not fenced and re.match(r"#{1,6}\s+\S", line):
+            parts.append([])
+        parts[-1].append(line)
+    return [joined for p in parts if (joined := "\n".join(p).strip())]
+
+
+def page_text(html: str) -> str:
+    """The text of a page's body without scripts, styles and tags."""
+    body = re.search(r"(?is)<body[^>]*>(.*?)(?:</body>|\Z)", html)
+    bare = re.sub(r"(?is)<(script|style)[^>]*>.*?</\1>", " ", body[1] if body else html)
+    return " ".join(re.sub(r"(?s)<[^>]*>", " ", bare).split())
+
+
+def pdf_pages(content: bytes, backend: str) -> list[str]:
+    module = importlib.import_module(PDF_BACKENDS[backend])
+    if backend == "pymupdf":
+        return [page.get_text() for page in module.open(stream=content, filetype="pdf")]
+    if backend == "pypdf":
+        return [page.extract_text() or "" for page in module.PdfReader(io.BytesIO(content)).pages]
+    with module.open(io.BytesIO(content)) as file:
+        return [page.extract_text() or "" for page in file.pages]
+
+
+#: Parsers by loader: the content of a file to the texts of its documents. Another kind of file is an entry here and in ``LOADERS``.
+PARSERS: dict[str, Callable[[bytes], list[str]]] = {
+    "word": lambda content: [docx_text(content)],
+    "excel": lambda content: xlsx_rows(content),
+    "pdf": lambda content: pdf_pages(content, "pymupdf"),
+    "text": lambda content: [content.decode("utf-8-sig")],
+    "markdown": lambda content: [content.decode("utf-8-sig")],
+    "html": lambda content: [content.decode("utf-8-sig", "replace")],
+    "json": lambda content: [content.decode("utf-8-sig")],
+    "generic": lambda content: [content.decode("utf-8-sig")],
+}
+
+
+def parse_files(files: DataFrame, parsers: dict[str, Callable[[bytes], list[str]]] | None = None) -> DataFrame:
+    """Documents of any files (``path``, ``content``), each parsed by its extension: ``path``, ``part``, ``doc_type``, ``text``, ``error``.
+
+    A file that fails gives a row with its error, not a failed job.
+    """
+    own = PARSERS | (parsers or {})
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             rows = []
-            for p, content in zip(batch["path"], batch["content"], strict=True):
+            for path, loader, doc_type, content in zip(batch["path"], batch["loader"], batch["doc_type"], batch["content"], strict=True):
                 try:
-                    rows += [(p, k, text, None) for k, text in enumerate(parse(bytes(content)))]
+                    rows += [(path, k, doc_type, text, None) for k, text in enumerate(own[loader](bytes(content)))]
                 except Exception as e:  # noqa: BLE001  reported beside the path
-                    rows.append((p, 0, None, f"{type(e).__name__}: {e}"))
-            yield pd.DataFrame(rows, columns=["path", "part", "text", "error"])
+                    rows.append((path, 0, doc_type, None, f"{type(e).__name__}: {e}"))
+            yield pd.DataFrame(rows, columns=["path", "part", "doc_type", "text", "error"])
+
+    routed = files.select("path", loader_of("path").alias("loader"), doc_type_of("path").alias("doc_type"), "content")
+    return routed.mapInPandas(run, "path string, part int, doc_type string, text string, error string")
+
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "path string, part int, text string, error string")
+def auto_load(spark: SparkSession, path: str) -> DataFrame:
+    """The documents of the files at ``path``, which may be a pattern, by their extensions."""
+    return parse_files(spark.read.format("binaryFile").load(path).select("path", "content"))
+
+
+def load_directory(spark: SparkSession, directory: str, recursive: bool = True, extensions: tuple[str, ...] | None = None) -> DataFrame:
+    """The documents of all supported files of a directory."""
+    wanted = [e if e.startswith(".") else f".{e}" for e in map(str.lower, extensions or EXTENSIONS)]
+    found = spark.read.format("binaryFile").option("recursiveFileLookup", recursive).load(directory)
+    return parse_files(found.where(extension("path").isin(wanted)).select("path", "content"))
+
+
+def load_markdown(spark: SparkSession, path: str) -> DataFrame:
+    """A document for each section of Markdown files."""
+    return parse_files(spark.read.format("binaryFile").load(path), {x: lambda content: markdown_sections(content.decode("utf-8-sig")) for x in LOADERS.values()})
+
+
+def listing_size(listing: DataFrame) -> DataFrame:
+    """``files`` and ``bytes`` of a listing."""
+    return listing.agg(F.count(F.lit(1)).alias("files"), F.coalesce(F.sum("length"), F.lit(0)).cast("long").alias("bytes"))
+
+
+def _parsed(spark: SparkSession, path: str, parse) -> DataFrame:
+    files = spark.read.format("binaryFile").load(path)
+    return parse_files(files, {name: parse for name in PARSERS}).drop("doc_type")
 
 
 def load_word(spark: SparkSession, path: str) -> DataFrame:
@@ -116,23 +222,11 @@ def load_excel(spark: SparkSession, path: str, sheet: int | None = None) -> Data
 
 def load_pdf(spark: SparkSession, path: str, backend: str = "pymupdf", full_document: bool = False) -> DataFrame:
     """Pages of PDF files by an optional package; ImportError without it, ValueError for an unknown one."""
-    import importlib
-
     backend = backend.lower()
     if backend not in PDF_BACKENDS:
         raise ValueError(f"backend must be one of {sorted(PDF_BACKENDS)}")
     importlib.import_module(PDF_BACKENDS[backend])
-
-    def parse(content: bytes) -> list[str]:
-        module = importlib.import_module(PDF_BACKENDS[backend])
-        if backend == "pymupdf":
-            return [page.get_text() for page in module.open(stream=content, filetype="pdf")]
-        if backend == "pypdf":
-            return [page.extract_text() or "" for page in module.PdfReader(io.BytesIO(content)).pages]
-        with module.open(io.BytesIO(content)) as file:
-            return [page.extract_text() or "" for page in file.pages]
-
-    pages = _parsed(spark, path, parse)
+    pages = _parsed(spark, path, lambda content: pdf_pages(content, backend))
     if not full_document:
         return pages
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "text"))), lambda x: x["text"]), "\n")
