@@ -8,15 +8,31 @@ from pyspark.sql import functions as F
 #: Font size ratios of heading levels, with the tolerance added to a ratio.
 HEADING_RATIOS = ((1.6, 1), (1.35, 2), (1.18, 3), (1.08, 4))
 TOLERANCE = 0.02
+#: When lines are code: length, marks for each character, mean length of a paragraph's lines, share of
+#: lines with a code end, marks for each line, and how dense a line is that is cut.
+DENSE_CHARS, DENSE_MARKS, SHORT_LINES, TAIL_SHARE, LINE_MARKS, CUT_DENSITY = 60, 0.015, 90, 0.5, 1.5, 0.6
+#: Fixed value: the size of a page without text.
+DEFAULT_SIZE = 10.0
 #: Fixed value: what starts a list item or a quotation.
 BULLET = r"^\s*([-*+·•●○] |\d+[.)]\s|[a-zA-Z][.)]\s|>\s)"
 
 
 def body_size(spans: DataFrame) -> DataFrame:
-    """Each page's most frequent font size, weighted by characters; ties to the smaller size."""
-    shown = spans.where(F.trim("text") != "").select("page", F.round("size", 1).alias("size"), F.length("text").alias("chars"))
-    sums = shown.groupBy("page", "size").agg(F.sum("chars").alias("chars"))
-    return sums.groupBy("page").agg(F.max_by("size", F.struct("chars", -F.col("size"))).alias("body_size"))
+    """Each page's font size that most characters have, of equals the one seen first; blank spans count only on pages without others, without any size it is ``DEFAULT_SIZE``."""
+    shown = spans.select("page", "line", "span", F.round("size", 1).alias("size"), F.greatest(F.length("text"), F.lit(1)).alias("chars"), (F.trim("text") == "").alias("blank"))
+    sums = shown.groupBy("page", "blank", "size").agg(F.sum("chars").alias("chars"), F.count(F.lit(1)).alias("n"), F.min(F.struct("line", "span")).alias("seen"))
+    weight = F.when(F.col("blank"), F.col("n")).otherwise(F.col("chars"))
+    order = F.struct((~F.col("blank")).alias("a"), F.col("size").isNotNull().alias("b"), weight.alias("c"), (-F.col("seen.line")).alias("d"), (-F.col("seen.span")).alias("e"))
+    return sums.groupBy("page").agg(F.coalesce(F.max_by("size", order), F.lit(DEFAULT_SIZE)).alias("body_size"))
+
+
+def line_sums(spans: DataFrame) -> DataFrame:
+    """A row for each line: its text, mean and largest size, whether all of it is in a code font, and where it stands."""
+    rows = styled(spans)
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("x0", "span", "text"))), lambda x: x["text"])
+    return rows.groupBy("page", "line").agg(
+        F.array_join(ordered, "").alias("text"), F.round(F.avg("size"), 6).alias("avg_size"), F.max("size").alias("max_size"), F.bool_and("mono").alias("all_mono"), F.min("x0").alias("x0"), F.min("y0").alias("y0")
+    )
 
 
 def styled(spans: DataFrame, code_font: str = "(?i)mono|courier|consol|menlo|code") -> DataFrame:
@@ -71,9 +87,9 @@ def symbols(text: Column) -> Column:
 def dense_code_line(text: Column) -> Column:
     """A long line whose marks are many and that looks like code."""
     marks = F.length(text) - F.length(F.regexp_replace(text, "[;{}]", ""))
-    enough = (symbols(text) >= 2) & (symbols(text) / F.greatest(F.length(text), F.lit(1)) >= 0.015)
+    enough = (symbols(text) >= 2) & (symbols(text) / F.greatest(F.length(text), F.lit(1)) >= DENSE_MARKS)
     hint = text.rlike(r"->|::|[{}]|\w\(|\"[^\"]+\"")
-    return (F.length(text) >= 60) & enough & ~(text.contains(";") & (marks < 2)) & hint
+    return (F.length(text) >= DENSE_CHARS) & enough & ~(text.contains(";") & (marks < 2)) & hint
 
 
 def code_paragraphs(lines: DataFrame) -> DataFrame:
@@ -81,7 +97,7 @@ def code_paragraphs(lines: DataFrame) -> DataFrame:
     text = F.col("text")
     tail = F.rtrim(text).rlike("[;{}:,]$") | F.ltrim(text).rlike("^[})\\]]")
     sums = lines.where(F.trim("text") != "").groupBy("page", "par").agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("text")).alias("avg"), F.sum(tail.cast("int")).alias("tails"), F.sum(symbols(text)).alias("marks"))
-    looks = (F.col("n") >= 3) & (F.col("avg") <= 90) & ((F.col("tails") / F.col("n") >= 0.5) | (F.col("marks") >= F.col("n") * 1.5))
+    looks = (F.col("n") >= 3) & (F.col("avg") <= SHORT_LINES) & ((F.col("tails") / F.col("n") >= TAIL_SHARE) | (F.col("marks") >= F.col("n") * LINE_MARKS))
     return sums.select("page", "par", looks.alias("is_code"))
 
 
@@ -118,15 +134,58 @@ def with_inserts(pars: DataFrame, inserts: DataFrame) -> DataFrame:
     return both.withColumn("pos", F.row_number().over(order)).select("page", "pos", "md")
 
 
-def split_code_line(text: str) -> list[str]:
-    """Cuts a dense code line after a semicolon before an identifier and between braces; other lines stay."""
-    import re
+def split_code_line(text: Column) -> Column:
+    """The parts of a long line with many braces and semicolons: cut after a semicolon and blanks before a word, and between ``}`` and ``{``. Other lines are one part."""
+    weight = F.length(text) - F.length(F.regexp_replace(text, "[{};]", ""))
+    busy = (F.length(text) >= DENSE_CHARS) & (weight * 50 >= CUT_DENSITY * F.greatest(F.length(text), F.lit(50)))
+    cut = F.regexp_replace(F.regexp_replace(text, "(;[ \\t\u00a0]+)(?=\\w)", "$1\u0001"), "\\}\\{", "}\u0001{")
+    parts = F.filter(F.transform(F.split(cut, "\u0001"), lambda p: F.rtrim(p)), lambda p: F.trim(p) != "")
+    return F.when(busy & (F.size(parts) > 1), parts).otherwise(F.array(text))
+
+
+def squeezed(text: Column) -> Column:
+    """Text without blank lines at its start and without more than one in a row."""
+    return F.regexp_replace(F.regexp_replace(text, "(\\n[ \\t]*){3,}", "\n\n"), "^\\s*\\n", "")
 
-    if len(text) < 60 or sum(text.count(c) for c in "{};") / max(len(text) / 50, 1) < 0.6:
-        return [text]
-    cut = re.sub(r"(;[ \t\xa0]+)(?=[^\W]|_)|(\}\{)", lambda m: m[0] + "\0", text)
-    parts = [p.rstrip() for p in cut.split("\0") if p.strip()]
-    return parts if len(parts) > 1 else [text]
+
+def image_markdown(path: Column) -> Column:
+    """An image by its path, named by the path's last part."""
+    plain = F.replace(path, F.lit("\\"), F.lit("/"))
+    return F.concat(F.lit("!["), F.regexp_extract(plain, "([^/]*)$", 1), F.lit("]("), plain, F.lit(")"))
+
+
+def page_blocks(spans: DataFrame, links: DataFrame | None = None) -> DataFrame:
+    """The blocks of each page in order (``page``, ``block``, ``kind``, ``y``, ``md``).
+
+    Lines of a code font, dense lines and paragraphs that look like code are
+    code; neighbours share a fence, also across blank lines. Larger lines are
+    headings, list items stand alone, and what is left of a paragraph is joined
+    to one block.
+    """
+    sums = line_sums(spans).join(inline(spans, links), ["page", "line"]).join(body_size(spans), "page")
+    rows = paragraphs(sums)
+    rows = rows.join(code_paragraphs(rows), ["page", "par"])
+    mark, rest = bullet("md")
+    level = heading_level(F.col("max_size"), F.col("body_size"))
+    kind = F.when(F.col("all_mono") | F.col("is_code") | dense_code_line(F.col("text")), "code").when(level > 0, "heading").when(mark != "", "item").otherwise("prose")
+    item = F.when(mark.rlike("^[\\-*+·•●○] $"), F.concat(F.lit("- "), rest)).otherwise(F.trim(F.col("md")))
+    rows = rows.withColumn("kind", kind).withColumn("piece", F.when(F.col("kind") == "code", F.array_join(split_code_line(F.col("text")), "\n")).when(F.col("kind") == "heading", F.concat(F.repeat(F.lit("#"), level), F.lit(" "), F.col("md"))).when(F.col("kind") == "item", item).otherwise(F.trim("md")))
+    order = Window.partitionBy("page").orderBy("y0", "x0", "line")
+    before = F.lag(F.struct("kind", "par")).over(order)
+    joins = F.coalesce((F.col("kind") == before["kind"]) & ((F.col("kind") == "code") | ((F.col("kind") == "prose") & (F.col("par") == before["par"]))), F.lit(False))
+    rows = rows.withColumn("block", F.sum((~joins).cast("int")).over(order))
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("y0", "x0", "line", "piece"))), lambda x: x["piece"])
+    whole = F.when(F.first("kind") == "code", F.concat(F.lit("```\n"), F.array_join(ordered, "\n"), F.lit("\n```"))).otherwise(F.array_join(ordered, " "))
+    return rows.groupBy("page", "block").agg(F.first("kind").alias("kind"), F.min("y0").alias("y"), whole.alias("md"))
+
+
+def page_markdown(spans: DataFrame, links: DataFrame | None = None, inserts: DataFrame | None = None) -> DataFrame:
+    """The Markdown of each page: its blocks, with tables and images (``page``, ``y``, ``md``) among them."""
+    blocks = page_blocks(spans, links).withColumnRenamed("block", "par")
+    empty = blocks.select("page", "y", "md").limit(0)
+    placed = with_inserts(blocks, empty if inserts is None else inserts)
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "md"))), lambda x: x["md"]), "\n\n")
+    return placed.groupBy("page").agg(squeezed(text).alias("md"))
 
 
 def image_name(stem: Column | str, page: Column | str, suffix: str = "png") -> Column:

@@ -117,9 +117,9 @@ def test_precision(spark):
 
 
 def test_layout(spark):
-    line = "int total = 0; for (;;) { total += 1; count(total); } return total; {}{ end; }"
-    assert "".join(layout.split_code_line(line)).replace(" ", "") == line.replace(" ", "") and len(layout.split_code_line(line)) > 3
-    assert layout.split_code_line("short; x") == ["short; x"]
+    lines = ["int total = 0; for (;;) { total += 1; count(total); } return total; }{ end; }", "short; x", "word " * 30]
+    parts = [list(r.p) for r in spark.createDataFrame(list(enumerate(lines)), "n int, text string").orderBy("n").select(layout.split_code_line(F.col("text")).alias("p")).collect()]
+    assert "".join(parts[0]).replace(" ", "") == lines[0].replace(" ", "") and len(parts[0]) > 3 and parts[1:] == [[lines[1]], [lines[2]]]
     pages = spark.createDataFrame([(1,), (2,)], "page long")
     with pytest.raises(IndexError):
         layout.page_range(pages, 1, 3)
