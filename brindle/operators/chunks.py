@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from brindle.functions.text import estimated_tokens, sentences
+from brindle.functions.text import estimated_tokens, node_id, sentences
 
 from . import dense
 
@@ -138,16 +138,25 @@ def code_lines(docs: DataFrame, lines: int = 40, overlap: int = 15, max_chars: i
 
 
 def hierarchy(docs: DataFrame, sizes: tuple[int, ...] = (2048, 512, 128), overlap: int = 0) -> DataFrame:
-    """A tree of character windows, longest first, that overlap by ``overlap``: ``node_id``, ``parent_id``, ``level``, ``text``."""
-    sizes = tuple(sorted(sizes, reverse=True))
-    level = docs.select("doc_id", F.lit(None).cast("string").alias("parent_id"), F.col("doc_id").cast("string").alias("path"), F.coalesce("text", F.lit("")).alias("text"))
-    out = None
-    for n, size in enumerate(sizes):
-        starts = level.select("doc_id", "path", "text", F.posexplode(_windows(F.length("text"), size, overlap)).alias("k", "at"))
-        level = starts.select("doc_id", (F.col("path") if n else F.lit(None).cast("string")).alias("parent_id"), F.concat("path", F.lit("."), F.col("k").cast("string")).alias("path"), F.substring("text", F.col("at"), F.lit(size)).alias("text"))
-        rows = level.select("doc_id", F.col("path").alias("node_id"), "parent_id", F.lit(n).alias("level"), "text")
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """A tree of character windows, longest first, that overlap by ``overlap``: ``node_id``, ``parent_id``, ``level``, ``text``.
+
+    Places of all levels are worked out in the row, so that texts are read and exploded once.
+    """
+    none = F.lit(None).cast("string")
+    whole = F.struct(F.col("doc_id").cast("string").alias("node_id"), none.alias("parent_id"), F.lit(-1).alias("level"), F.lit(1).alias("at"), F.length("text").alias("n"))
+    level, levels = F.array(whole), []
+    for depth, size in enumerate(sorted(sizes, reverse=True)):
+
+        def below(w: Column, depth: int = depth, size: int = size) -> Column:
+            name = lambda k: F.concat(w["node_id"], F.lit("."), k.cast("string")).alias("node_id")
+            parent = (w["node_id"] if depth else none).alias("parent_id")
+            length = lambda start: F.least(F.lit(size), w["n"] - start + 1).alias("n")
+            return F.transform(_windows(w["n"], size, overlap), lambda start, k: F.struct(name(k), parent, F.lit(depth).alias("level"), (w["at"] + start - 1).alias("at"), length(start)))
+
+        level = F.flatten(F.transform(level, below))
+        levels.append(level)
+    rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.explode(F.concat(*levels)).alias("w"))
+    return rows.select("doc_id", "w.node_id", "w.parent_id", "w.level", F.substring("text", F.col("w.at"), F.col("w.n")).alias("text"))
 
 
 def leaves(nodes: DataFrame) -> DataFrame:
@@ -178,6 +187,24 @@ def tidy_groups(groups: Column, min_chars: int, max_chars: int) -> Column:
     return F.flatten(F.transform(merged, lambda g: greedy_groups(g, F.length, max_chars)))
 
 
+def numbered(rows: DataFrame, id_col: str, order_col: str, width: int = 4096) -> DataFrame:
+    """``number``: the place of each row in the order of ``id_col`` (an integer) and ``order_col``, from 0.
+
+    Rows are numbered within ranges of ``width`` ids; only one count for each range is summed up in order.
+    """
+    ranged = rows.withColumn("__range", F.floor(F.col(id_col) / width))
+    counts = ranged.groupBy("__range").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__range", (F.sum("__n").over(Window.orderBy("__range")) - F.col("__n")).alias("__first"))
+    own = F.row_number().over(Window.partitionBy("__range").orderBy(id_col, order_col)) - 1
+    return ranged.withColumn("__own", own).join(before, "__range").withColumn("number", F.col("__first") + F.col("__own")).drop("__range", "__own", "__first")
+
+
+def proposition_nodes(statements: DataFrame, id_col: str, order_col: str) -> DataFrame:
+    """Nodes of statements, with ids from a counter over all of them."""
+    rows = numbered(statements, id_col, order_col)
+    return rows.select(node_id("prop", F.col("number"), "text").alias("node_id"), id_col, "text")
+
+
 def json_leaves(rows: DataFrame, id_col: str, json_col: str) -> DataFrame:
     """One line for each member of a JSON object: key and value; a nested value stays JSON."""
     pairs = rows.select(id_col, F.explode(F.from_json(json_col, "map<string,string>")).alias("key", "value"))

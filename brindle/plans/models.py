@@ -170,3 +170,14 @@ SELECT doc_id, CAST(pos AS INT) AS pos, 0 AS piece, text FROM (SELECT doc_id, un
 def chunk_code(spark, sf_dir):
     code = F.format_string("import %s\n\n@once\ndef f_%d(x):\n    return x\n\nclass C_%d:\n    def size(self):\n        return %d", "lang", "doc_id", "doc_id", F.col("n_chars").cast("long"))
     return chunks.code_blocks(_docs(spark, sf_dir).select("doc_id", code.alias("text")))
+
+
+@query(f"""
+WITH g AS (SELECT doc_id, list_transform(s, lambda x: [x]) AS groups FROM ({_ITEMS}) WHERE len(s) > 0),
+m AS (SELECT doc_id, {MERGED.format(small="length(array_to_string(x[1], '')) < 100")} AS groups FROM g),
+p AS (SELECT doc_id, {PIECES.format(used="length(array_to_string(acc[len(acc)], ''))", size="length(y[1][1])", limit=300)} AS p FROM m)
+SELECT doc_id, CAST(i - 1 AS INT) AS pos, array_to_string(p[i], '') AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)""")
+def merge_small_split_large(spark, sf_dir):
+    rows = chunks.sentence_nodes(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.array(x["text"])).alias("groups"))
+    tidy = rows.select("doc_id", F.posexplode(chunks.tidy_groups(F.col("groups"), 100, 300)).alias("pos", "group"))
+    return tidy.select("doc_id", "pos", F.array_join("group", "").alias("text"))

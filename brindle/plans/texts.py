@@ -45,27 +45,49 @@ def truncate_text(spark, sf_dir):
     return _docs(spark, sf_dir).select("doc_id", tx.truncated("text", 800, True).alias("shown"), tx.truncated("text", 2400).alias("asked"))
 
 
-REPLIES = [(1, '```json\n[true, "True", false]\n```', 4), (2, 'Sure: ["false", true, true] done', 2), (3, "no list", 3), (4, "", 1), (5, '[true, null]', 2)]
-FLAGS = "(VALUES (CAST(1 AS BIGINT), 'true,true,false,false'), (2, 'false,true'), (3, 'false,false,false'), (4, 'false'), (5, 'true,false')) t(id, flags)"
+def _case(n, *values):
+    out = F.lit(values[-1]) if isinstance(values[-1], str) else values[-1]
+    for k, value in reversed(list(enumerate(values[:-1]))):
+        out = F.when(F.col("doc_id") % n == k, F.lit(value) if isinstance(value, str) else value).otherwise(out)
+    return out
 
 
-@query(f"SELECT id, flags FROM {FLAGS}")
+#: What stands between the first and the last bracket of a reply without code fences.
+_JSON = r"regexp_extract(regexp_replace(raw, '(?i)```(json)?', '', 'g'), '(?s)\[.*\]', 0)"
+_LIST = f"CASE WHEN {_JSON} <> '' THEN json_extract_string({_JSON}, '$[*]') ELSE [] END"
+
+
+@query(rf"""
+WITH r AS (SELECT doc_id, doc_id % 4 + 1 AS n, CASE doc_id % 5 WHEN 0 THEN '```json' || chr(10) || '[true, "True", false]' || chr(10) || '```' WHEN 1 THEN 'Sure: ["false", true, true] done'
+  WHEN 2 THEN 'no list ' || lang WHEN 3 THEN '' ELSE '[' || CASE WHEN n_chars % 2 = 0 THEN 'true' ELSE 'false' END || ', null, " TRUE "]' END AS raw FROM documents)
+SELECT doc_id, array_to_string(list_concat(list_transform({_LIST}, lambda v: coalesce(lower(trim(v)) = 'true', false)), [false, false, false, false])[1:n], ',') AS flags FROM r""")
 def parse_bool_array(spark, sf_dir):
-    rows = spark.createDataFrame(REPLIES, "id long, raw string, n int")
-    return rows.select("id", F.array_join(F.transform(tx.flags_reply("raw", F.col("n")), lambda f: f.cast("string")), ",").alias("flags"))
+    even = F.when(F.col("n_chars") % 2 == 0, "true").otherwise("false")
+    raw = _case(5, '```json\n[true, "True", false]\n```', 'Sure: ["false", true, true] done', F.concat(F.lit("no list "), F.col("lang")), "", F.concat(F.lit("["), even, F.lit(', null, " TRUE "]')))
+    rows = _docs(spark, sf_dir).select("doc_id", (F.col("doc_id") % 4 + 1).cast("int").alias("n"), raw.alias("raw"))
+    return rows.select("doc_id", F.array_join(F.transform(tx.flags_reply("raw", F.col("n")), lambda f: f.cast("string")), ",").alias("flags"))
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'a|b c'), (2, ''), (3, 'x')) t(id, items)")
+@query(rf"""
+WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '```json' || chr(10) || CAST(to_json([' ' || text[1:20], '  ', lang]) AS VARCHAR) || chr(10) || '```' WHEN 1 THEN 'none' ELSE 'x ["' || source || '"] y' END AS raw FROM documents)
+SELECT doc_id, array_to_string(list_filter(list_transform({_LIST}, lambda v: trim(v)), lambda v: v <> ''), '|') AS items FROM r""")
 def parse_propositions(spark, sf_dir):
-    rows = spark.createDataFrame([(1, '```json\n[" a ", "", "b c"]```'), (2, "nothing"), (3, 'x ["x"] y')], "id long, raw string")
-    return rows.select("id", F.array_join(tx.propositions_reply("raw"), "|").alias("items"))
+    first = F.concat(F.lit("```json\n"), F.to_json(F.array(F.concat(F.lit(" "), F.substring("text", 1, 20)), F.lit("  "), F.col("lang"))), F.lit("\n```"))
+    rows = _docs(spark, sf_dir).select("doc_id", _case(3, first, "none", F.concat(F.lit('x ["'), F.col("source"), F.lit('"] y'))).alias("raw"))
+    return rows.select("doc_id", F.array_join(tx.propositions_reply("raw"), "|").alias("items"))
 
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'q', 'it''s'), (2, 'q2', 'a2')) t(id, question, ground_truth)")
+@query(rf"""
+WITH r AS (SELECT doc_id, CASE doc_id % 3 WHEN 0 THEN '```json' || chr(10) || '[{{"question": "q' || doc_id || '", "ground_truth": "it' || chr(39) || 's ' || lang || '"}}, {{"question": " ", "ground_truth": "x"}}]' || chr(10) || '```'
+  WHEN 1 THEN replace('[{{~question~: ~q' || doc_id || '~, ~ground_truth~: ~' || lang || '~}}]', '~', chr(39)) ELSE 'none' END AS raw FROM documents),
+j AS (SELECT doc_id, CASE WHEN json_valid({_JSON}) THEN {_JSON} ELSE replace({_JSON}, chr(39), '"') END AS t FROM r WHERE {_JSON} <> ''),
+x AS (SELECT doc_id, unnest(json_extract_string(t, '$[*].question')) AS question, unnest(json_extract_string(t, '$[*].ground_truth')) AS ground_truth FROM j)
+SELECT * FROM x WHERE trim(question) <> '' AND trim(ground_truth) <> ''""")
 def parse_qa(spark, sf_dir):
-    raw = [(1, '```json\n[{"question": "q", "ground_truth": "it\'s"}, {"question": " ", "ground_truth": "x"}]\n```'), (2, "[{'question': 'q2', 'ground_truth': 'a2'}]"), (3, "none")]
-    rows = spark.createDataFrame(raw, "id long, raw string")
-    return rows.select("id", F.explode(tx.questions_reply("raw")).alias("x")).select("id", "x.question", "x.ground_truth")
+    strict = F.format_string('```json\n[{"question": "q%d", "ground_truth": "it\'s %s"}, {"question": " ", "ground_truth": "x"}]\n```', "doc_id", "lang")
+    loose = F.format_string("[{'question': 'q%d', 'ground_truth': '%s'}]", "doc_id", "lang")
+    rows = _docs(spark, sf_dir).select("doc_id", _case(3, strict, loose, "none").alias("raw"))
+    return rows.select("doc_id", F.explode(tx.questions_reply("raw")).alias("x")).select("doc_id", "x.question", "x.ground_truth")
 
 
 @query(f"SELECT doc_id, CAST(k AS INT) AS pos, array_to_string(t[k * 462 + 1:k * 462 + 512], ' ') AS text FROM (SELECT doc_id, t, unnest({WIN.format(n='len(t)', size=512, step=462)}) AS k FROM (SELECT doc_id, string_split(text, ' ') AS t FROM documents))")
@@ -91,13 +113,12 @@ def window_replacement(spark, sf_dir):
     return chunks.sentence_window(_docs(spark, sf_dir), 1).select("doc_id", "pos", F.coalesce("window", "text").alias("text"))
 
 
-MARKDOWN = [(1, "intro\n# A\ntext a\n## B\n```\n# not a heading\n```\ntext b\n# C\ntext c"), (2, "plain"), (3, "")]
-
-
-@query("""SELECT * FROM (VALUES (CAST(1 AS BIGINT), CAST(0 AS BIGINT), '', 'intro'), (1, 1, '', '# A' || chr(10) || 'text a'),
-(1, 2, 'A', '## B' || chr(10) || '```' || chr(10) || '# not a heading' || chr(10) || '```' || chr(10) || 'text b'), (1, 3, '', '# C' || chr(10) || 'text c'), (2, 0, '', 'plain')) t(doc_id, pos, header_path, text)""")
+@query("""
+SELECT doc_id, CAST(pos AS BIGINT) AS pos, header_path, text FROM (SELECT doc_id, unnest([0, 1, 2, 3]) AS pos, unnest(['', '', 'A ' || source, '']) AS header_path, unnest(['intro ' || lang,
+  '# A ' || source || chr(10) || n_chars, '## B' || chr(10) || '```' || chr(10) || '# no heading' || chr(10) || '```' || chr(10) || 'size ' || n_chars, '# C' || chr(10) || 'end']) AS text FROM documents)""")
 def chunk_markdown(spark, sf_dir):
-    return chunks.markdown(spark.createDataFrame(MARKDOWN, "doc_id long, text string"))
+    md = F.concat(F.lit("intro "), F.col("lang"), F.lit("\n# A "), F.col("source"), F.lit("\n"), F.col("n_chars"), F.lit("\n## B\n```\n# no heading\n```\nsize "), F.col("n_chars"), F.lit("\n# C\nend"))
+    return chunks.markdown(_docs(spark, sf_dir).select("doc_id", md.alias("text")))
 
 
 @query(r"""
@@ -142,34 +163,27 @@ def hierarchy_leaves(spark, sf_dir):
     return chunks.leaves(chunks.hierarchy(_docs(spark, sf_dir))).select("node_id", "parent_id")
 
 
-TREE = [("p1", None), ("p2", None)] + [(f"a{k}", "p1") for k in range(4)] + [(f"b{k}", "p2") for k in range(5)]
-HITS = [(1, "a0", 0.5), (1, "a1", 0.7), (1, "b0", 0.9), (1, "b1", 0.1), (2, "a3", 0.2)]
-
-
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'p1', 0.6::DOUBLE), (1, 'b0', 0.9), (1, 'b1', 0.1), (2, 'a3', 0.2)) t(query_id, node_id, score)")
+@query("""
+WITH c AS (SELECT 'c' || doc_id AS node_id, 'p' || doc_id // 5 AS parent_id, doc_id FROM documents),
+h AS (SELECT doc_id % 3 AS query_id, 'c' || doc_id AS node_id, n_chars / 1000 AS score FROM documents WHERE n_chars % 2 = 0 UNION ALL SELECT 3, 'c' || doc_id, 1.0 FROM documents WHERE doc_id % 7 < 4),
+n AS (SELECT parent_id, count(*) AS children FROM c GROUP BY parent_id),
+m AS (SELECT query_id, parent_id, avg(score) AS score FROM h JOIN c USING (node_id) JOIN n USING (parent_id) GROUP BY query_id, parent_id, children HAVING count(*) / children > 0.4)
+SELECT query_id, parent_id AS node_id, round(score, 6) AS score FROM m
+UNION ALL SELECT query_id, node_id, round(score, 6) FROM h JOIN c USING (node_id) WHERE (query_id, parent_id) NOT IN (SELECT query_id, parent_id FROM m)""")
 def auto_merge(spark, sf_dir):
-    tree = spark.createDataFrame(TREE, "node_id string, parent_id string")
-    merged = chunks.auto_merge(spark.createDataFrame(HITS, "query_id long, node_id string, score double"), tree)
-    return merged.select("query_id", "node_id", F.round("score", 6).alias("score"))
-
+    docs = _docs(spark, sf_dir)
+    child = F.concat(F.lit("c"), F.col("doc_id")).alias("node_id")
+    parent = F.concat(F.lit("p"), F.floor(F.col("doc_id") / 5))
+    tree = docs.select(child, parent.alias("parent_id")).unionByName(docs.select(parent.alias("node_id"), F.lit(None).cast("string").alias("parent_id")).distinct())
+    hits = docs.where("n_chars % 2 = 0").select((F.col("doc_id") % 3).alias("query_id"), child, (F.col("n_chars") / 1000).alias("score"))
+    more = docs.where("doc_id % 7 < 4").select(F.lit(3).cast("long").alias("query_id"), child, F.lit(1.0).alias("score"))
+    return chunks.auto_merge(hits.unionByName(more), tree).select("query_id", "node_id", F.round("score", 6).alias("score"))
 
-@query("SELECT * FROM (VALUES (CAST(1 AS BIGINT), 'aaaa.b.|cccc.dd.|eeee.'), (2, 'x.')) t(id, parts)")
-def merge_small_split_large(spark, sf_dir):
-    rows = spark.createDataFrame([(1, [["aaaa."], ["b."], ["cccc.", "dd.", "eeee."]]), (2, [["x."]])], "id long, groups array<array<string>>")
-    tidy = chunks.tidy_groups(F.col("groups"), 4, 8)
-    return rows.select("id", F.array_join(F.transform(tidy, lambda g: F.array_join(g, "")), "|").alias("parts"))
 
-
-@query(f"""SELECT 'prop_' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INTEGER), '0') || '_' || md5(text)[1:10] AS node_id, item_id, text FROM (
-SELECT item_id, s[i] AS text, row_number() OVER (ORDER BY item_id, i) - 1 AS n FROM (SELECT item_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT item_id, {SENTENCES_SQL} AS s FROM benchmark)))""")
+@query(f"""SELECT 'prop_' || lpad(CAST(n AS VARCHAR), CAST(greatest(4, length(CAST(n AS VARCHAR))) AS INTEGER), '0') || '_' || md5(text)[1:10] AS node_id, doc_id, text FROM (
+SELECT doc_id, s[i] AS text, row_number() OVER (ORDER BY doc_id, i) - 1 AS n FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM (SELECT doc_id, {SENTENCES_SQL} AS s FROM documents)))""")
 def proposition_nodes(spark, sf_dir):
-    from pyspark.sql import Window
-
-    items = table(spark, sf_dir, "benchmark").select("item_id", tx.sentences("text").alias("s"))
-    # A global counter without a global sort: how many come before an item, then the place in it.
-    before = items.select("item_id", (F.sum(F.size("s")).over(Window.orderBy("item_id")) - F.size("s")).alias("first"))
-    rows = items.join(before, "item_id").select("item_id", "first", F.posexplode("s").alias("i", "text"))
-    return rows.select(tx.node_id("prop", F.col("first") + F.col("i"), "text").alias("node_id"), "item_id", "text")
+    return chunks.proposition_nodes(chunks.sentence_nodes(_docs(spark, sf_dir)), "doc_id", "pos")
 
 
 @query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(regexp_extract(html, '(?is)<body[^>]*>(.*?)(</body>|\z)', 1), '(?is)<(script|style)[^>]*>.*?</(script|style)>', ' ', 'g'), '(?s)<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
@@ -188,13 +202,18 @@ def rows_to_text(spark, sf_dir):
     return files.rows_to_text(table(spark, sf_dir, "nation"), [F.col("n_regionkey")], ["n_nationkey"])
 
 
-PATHS = ["a.docx", "b/B.XLSX", "c.xls", "d.pdf", "e.txt", "f.md", "g.markdown", "h.HTML", "i.htm", "j.json", "noext", "k.zip", "dir.x/file"]
-_ROUTE = "VALUES ('a.docx','word','text'),('b/B.XLSX','excel','text'),('c.xls','excel','text'),('d.pdf','pdf','text'),('e.txt','text','text'),('f.md','markdown','markdown'),('g.markdown','markdown','markdown'),('h.HTML','html','html'),('i.htm','html','html'),('j.json','json','json'),('noext','generic','text'),('k.zip','generic','text'),('dir.x/file','generic','text')"
+_EXTS = (".docx", ".XLSX", ".xls", ".pdf", ".txt", ".md", ".markdown", ".HTML", ".htm", ".json", "", ".zip", ".x/file")
+_PATH = f"source || '.d/' || doc_id || [{', '.join(map(repr, _EXTS))}][CAST(doc_id % 13 + 1 AS INT)]"
 
 
-@query(f"SELECT * FROM ({_ROUTE}) t(path, loader, doc_type)")
+@query(rf"""
+WITH p AS (SELECT {_PATH} AS path, lower(regexp_extract({_PATH}, '(\.[^./]+)$', 1)) AS e FROM documents)
+SELECT path, CASE WHEN e = '.docx' THEN 'word' WHEN e IN ('.xlsx', '.xls') THEN 'excel' WHEN e = '.pdf' THEN 'pdf' WHEN e = '.txt' THEN 'text' WHEN e IN ('.md', '.markdown') THEN 'markdown'
+    WHEN e IN ('.html', '.htm') THEN 'html' WHEN e = '.json' THEN 'json' ELSE 'generic' END AS loader,
+  CASE WHEN e IN ('.md', '.markdown') THEN 'markdown' WHEN e IN ('.html', '.htm') THEN 'html' WHEN e = '.json' THEN 'json' ELSE 'text' END AS doc_type FROM p""")
 def route_by_ext(spark, sf_dir):
-    rows = spark.createDataFrame([(p,) for p in PATHS], "path string")
+    ext = F.element_at(F.array(*map(F.lit, _EXTS)), (F.col("doc_id") % 13 + 1).cast("int"))
+    rows = _docs(spark, sf_dir).select(F.concat("source", F.lit(".d/"), "doc_id", ext).alias("path"))
     return rows.select("path", files.loader_of("path").alias("loader"), files.doc_type_of("path").alias("doc_type"))
 
 
