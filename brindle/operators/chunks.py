@@ -145,15 +145,15 @@ def hierarchy(docs: DataFrame, sizes: tuple[int, ...] = (2048, 512, 128), overla
     none = F.lit(None).cast("string")
     whole = F.struct(F.col("doc_id").cast("string").alias("node_id"), none.alias("parent_id"), F.lit(-1).alias("level"), F.lit(1).alias("at"), F.length("text").alias("n"))
     level, levels = F.array(whole), []
-    for depth, size in enumerate(sorted(sizes, reverse=True)):
 
-        def below(w: Column, depth: int = depth, size: int = size) -> Column:
-            name = lambda k: F.concat(w["node_id"], F.lit("."), k.cast("string")).alias("node_id")
-            parent = (w["node_id"] if depth else none).alias("parent_id")
-            length = lambda start: F.least(F.lit(size), w["n"] - start + 1).alias("n")
-            return F.transform(_windows(w["n"], size, overlap), lambda start, k: F.struct(name(k), parent, F.lit(depth).alias("level"), (w["at"] + start - 1).alias("at"), length(start)))
+    def below(w: Column, depth: int, size: int) -> Column:
+        name = lambda k: F.concat(w["node_id"], F.lit("."), k.cast("string")).alias("node_id")
+        parent = (w["node_id"] if depth else none).alias("parent_id")
+        length = lambda start: F.least(F.lit(size), w["n"] - start + 1).alias("n")
+        return F.transform(_windows(w["n"], size, overlap), lambda start, k: F.struct(name(k), parent, F.lit(depth).alias("level"), (w["at"] + start - 1).alias("at"), length(start)))
 
-        level = F.flatten(F.transform(level, below))
+    for level_size in enumerate(sorted(sizes, reverse=True)):
+        level = F.flatten(F.transform(level, lambda w: below(w, *level_size)))  # noqa: B023  called at once
         levels.append(level)
     rows = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).select("doc_id", "text", F.explode(F.concat(*levels)).alias("w"))
     return rows.select("doc_id", "w.node_id", "w.parent_id", "w.level", F.substring("text", F.col("w.at"), F.col("w.n")).alias("text"))
@@ -295,14 +295,20 @@ SPLITTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
 }
 
 
-def auto_split(docs: DataFrame, doc_type: str | None = "text") -> DataFrame:
-    """Splits documents as their type wants it; without a ``doc_type`` each row is split by its own in a column of that name."""
-    if doc_type is not None:
-        if doc_type not in SPLITTERS:
+def auto_split(docs: DataFrame, doc_type: str | None = "text", types: tuple[str, ...] = tuple(SPLITTERS)) -> DataFrame:
+    """Splits documents as their type wants it.
+
+    Without a ``doc_type`` each row is split by its own, in a column of that
+    name: one of ``types``, each of which is a branch of the plan; other rows
+    give no nodes.
+    """
+    for name in types if doc_type is None else (doc_type,):
+        if name not in SPLITTERS:
             raise ValueError(f"doc_type must be one of {sorted(SPLITTERS)}")
+    if doc_type is not None:
         return SPLITTERS[doc_type](docs)
     out = None
-    for name, split in SPLITTERS.items():
-        part = split(docs.where(F.col("doc_type") == name).select("doc_id", "text"))
+    for name in types:
+        part = SPLITTERS[name](docs.where(F.col("doc_type") == name).select("doc_id", "text"))
         out = part if out is None else out.unionByName(part)
     return out

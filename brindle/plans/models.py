@@ -152,7 +152,7 @@ UNION ALL SELECT doc_id, k, text[k * 824 + 1:k * 824 + 1024] FROM (SELECT doc_id
 UNION ALL SELECT doc_id, i - 1, s[i] FROM (SELECT doc_id, s, unnest(range(1, len(s) + 1)) AS i FROM ({_ITEMS} WHERE doc_id % 3 = 2))""")
 def auto_split(spark, sf_dir):
     kind = F.element_at(F.array(F.lit("token"), F.lit("simple"), F.lit("sentence_window")), (F.col("doc_id") % 3 + 1).cast("int"))
-    return chunks.auto_split(_docs(spark, sf_dir).withColumn("doc_type", kind), None)
+    return chunks.auto_split(_docs(spark, sf_dir).withColumn("doc_type", kind), None, ("token", "simple", "sentence_window"))
 
 
 @query("""

@@ -17,7 +17,7 @@ from brindle.sources.files import EXTENSIONS, auto_load, extension, parse_files
 def document_nodes(docs: DataFrame) -> DataFrame:
     """Nodes of documents (``path``, ``part``, ``doc_type``, ``text``), each split as its type wants it."""
     named = docs.where("text is not null").select(F.concat_ws("#", "path", "part").alias("doc_id"), "text", "doc_type")
-    nodes = auto_split(named, None).where(F.trim("text") != "")
+    nodes = auto_split(named, None, ("text", "markdown", "html", "json")).where(F.trim("text") != "")
     return nodes.select(F.concat_ws("_", F.substring(F.md5("doc_id"), 1, 8), node_id("chunk", F.col("pos"), "text")).alias("node_id"), "doc_id", "pos", "text")
 
 
