@@ -129,3 +129,18 @@ def trace(hits: DataFrame, answered: DataFrame, limit: int = 800) -> DataFrame:
     rows = answered.join(found, "query_id", "left")
     got = F.coalesce(F.array_join("nodes", ","), F.lit(""))
     return rows.select("query_id", F.inline(F.array(event(1, "retrieve", got), event(2, "prompt", F.col("prompt")), event(3, "answer", F.coalesce("response", F.lit(""))))))
+
+
+def chat_loop(respond_to, read=input, write=print) -> int:
+    """A console: reads questions until ``exit``, ``quit`` or the end of input and writes what ``respond_to`` answers; returns how many."""
+    asked = 0
+    while True:
+        try:
+            question = read("> ").strip()
+        except EOFError:
+            return asked
+        if question.lower() in ("exit", "quit"):
+            return asked
+        if question:
+            asked += 1
+            write(respond_to(question))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from brindle.functions import text as tx
 from brindle.operators import chat, chunks, dense, evaluation, fusion, index, layout, modeled, retrievers
 from brindle.operators.providers import ExtractiveModel, HashedEmbedding, LetterEmbedding, OverlapJudge, RuleModel
-from brindle.sources import collection, files
+from brindle.sources import collection, files, pdf
 from brindle.streaming.ingest import fetch, ingest_directory, ingest_pages, status_counts
 
 MIXED = [("n1", "Spark 的 数据 engine runs fast"), ("n2", "数据 library, a X y2k"), ("n3", None), ("n4", "")]
@@ -250,6 +250,58 @@ def test_retrievers_and_chat(spark, tmp_path):
     assert chat.condensed(questions.where("query_id = 71"), memory, RuleModel()).first().query == "Tell of a shuffle. And postings?"
 
 
+def line_pdf():
+    class LinePdf:
+        """A file of lines instead of a PDF; a form feed ends a page."""
+
+        def _pages(self, content):
+            return content.decode().split("\f")
+
+        def page_count(self, content):
+            return len(self._pages(content))
+
+        def spans(self, content):
+            box = lambda n: {"x0": 0.0, "y0": 10.0 * n, "x1": 9.0, "y1": 10.0 * n + 9}
+            return [{"page": p, "line": n, "span": 0, **box(n), "font": "Mono" if t.startswith("$") else "Arial", "size": 20.0 if t.startswith("T") else 10.0, "flags": 0, "text": t} for p, page in enumerate(self._pages(content), 1) for n, t in enumerate(page.split("\n"))]
+
+        def links(self, content):
+            return [{"page": 1, "x0": 0.2, "y0": 10.0, "x1": 9.0, "y1": 19.0, "uri": "http://x"}]
+
+        def tables(self, content):
+            return [{"page": 1, "y": 15.0, "headers": ["a"], "rows": [["1"]]}] if self._pages(content) else []
+
+        def pictures(self, content):
+            return [{"page": 2, "number": 1, "image": b"png"}] if self._pages(content) else []
+
+        def render(self, content, page, options):
+            return f"{options.format}{options.zoom:.1f}:{self._pages(content)[page - 1][:5]}".encode()
+
+    return LinePdf()
+
+
+def test_pdf_files(spark, tmp_path):
+    (tmp_path / "f.pdf").write_text("Title of it\nsee here\n \n- item\nline one\nline two\n \n$ ls\n \n$ cd\fsecond")
+    (tmp_path / "bad.pdf").write_bytes(b"\xff\xfe")
+    found = pdf.files_at(spark, f"{tmp_path}/*.pdf")
+    pages = {(r.path.rsplit("/")[-1], r.page): r.md for r in pdf.convert_pages(found, line_pdf(), image_dir="img/").collect()}
+    one = "# Title of it\n\n[see here](http://x)\n\n| a |\n|---|\n| 1 |\n\n- item\n\nline one line two\n\n```\n$ ls\n$ cd\n```"
+    assert pages == {("f.pdf", 1): one, ("f.pdf", 2): "![page002_img01.png](img/page002_img01.png)\n\nsecond"}
+    assert [r.md for r in pdf.convert(found, line_pdf()).collect()] == [one + "\n\n---\n\nsecond"]
+    options = pdf.RenderOptions(dpi=144, image_format=".PNG")
+    images = {r.name: bytes(r.image) for r in pdf.render_pages(found, line_pdf(), options).collect()}
+    assert images == {"f_page_001.png": b"png2.0:Title", "f_page_002.png": b"png2.0:secon"}
+    assert pdf.render_pages(found, line_pdf(), first=2, last=2).count() == 1
+    with pytest.raises(IndexError):
+        pdf.render_pages(found, line_pdf(), first=1, last=3)
+    with pytest.raises(ValueError):
+        pdf.RenderOptions(image_format="gif")
+
+
+def test_console():
+    said, asked = [], iter(["", " What? ", "quit", "never"])
+    assert chat.chat_loop(str.upper, lambda _: next(asked), said.append) == 1 and said == ["WHAT?"]
+
+
 def test_chat_settings(monkeypatch):
     monkeypatch.setenv("BRINDLE_CHAT_SIMILARITY_TOP_K", "9")
     monkeypatch.setenv("BRINDLE_CHAT_CONDENSE", "true")
