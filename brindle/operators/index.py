@@ -50,6 +50,26 @@ class Index:
         dl = F.coalesce(F.nullif(F.avg("dl"), F.lit(0.0)), F.lit(1.0))
         return self._table("stats", lambda: self.lengths.agg(F.count(F.lit(1)).alias("n"), dl.alias("avgdl")))
 
+    def summary(self, raw_idf: Callable[[Column, Column], Column]) -> DataFrame:
+        """One row: ``n``, ``avgdl``, and the mean of ``raw_idf(n, df)`` over all terms (``mean_idf``).
+
+        Terms and lengths come from one pass, in which each node adds a null term
+        with its length; terms of one frequency are averaged as one.
+        """
+        if self.stored:
+            counts = self.terms.groupBy("df").agg(F.count(F.lit(1)).alias("k")).agg(F.collect_list(F.struct("df", "k")).alias("counts")).crossJoin(self.stats)
+        else:
+            words = self.tokens.select(F.size("tokens").cast("long").alias("dl"), F.explode(F.concat(F.array_distinct("tokens"), F.array(F.lit(None).cast("string")))).alias("term"))
+            terms = words.groupBy("term").agg(F.count("term").alias("df"), F.count(F.lit(1)).alias("n"), F.sum(F.when(F.col("term").isNull(), F.col("dl"))).alias("total"))
+            by_df = terms.groupBy("df").agg(F.count(F.lit(1)).alias("k"), F.max("n").alias("n"), F.max("total").alias("total"))
+            of_null = lambda c: F.max(F.when(F.col("df") == 0, F.col(c)))
+            dl = F.coalesce(F.nullif(of_null("total") / of_null("n"), F.lit(0.0)), F.lit(1.0))
+            counts = by_df.agg(F.collect_list(F.when(F.col("df") > 0, F.struct("df", "k"))).alias("counts"), F.coalesce(of_null("n"), F.lit(0)).alias("n"), dl.alias("avgdl"))
+        add = lambda a, b: a + b
+        total = F.aggregate(F.transform("counts", lambda x: x["k"] * raw_idf(F.col("n"), x["df"])), F.lit(0.0), add)
+        terms = F.aggregate(F.transform("counts", lambda x: x["k"].cast("double")), F.lit(0.0), add)
+        return counts.select("n", "avgdl", (total / F.nullif(terms, F.lit(0.0))).alias("mean_idf"))
+
     def postings_of(self, wanted: DataFrame) -> DataFrame:
         """The postings of the terms in ``wanted``; others are left out before anything is counted or shuffled."""
         if self.stored:
@@ -98,13 +118,13 @@ def top_k(hits: DataFrame, k: int) -> DataFrame:
     return hits.withColumn("score", F.coalesce("score", F.lit(0.0))).withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _matches(index: Index, queries: DataFrame) -> DataFrame:
+def _matches(index: Index, queries: DataFrame, stats: DataFrame | None = None) -> DataFrame:
     terms = query_terms(queries)
     found = index.postings_of(few(queries, terms.select("term").distinct()))
     # It reads both columns, so that both uses of the postings are one exchange; it is the number of rows.
     dfs = found.groupBy("term").agg(F.count(F.when(F.col("tf") > 0, F.col("dl"))).alias("df"))
     wanted = few(queries, terms).join(few(queries, dfs), "term")
-    return found.join(few(queries, wanted), "term").crossJoin(F.broadcast(index.stats))
+    return found.join(few(queries, wanted), "term").crossJoin(F.broadcast(index.stats if stats is None else stats))
 
 
 def _idle(index: Index, queries: DataFrame, idle: Column) -> DataFrame:
@@ -138,10 +158,10 @@ def bm25(
     n, df, tf = F.col("n"), F.col("df"), F.col("tf")
     norm = 1 - b + b * F.col("dl") / F.col("avgdl")
     if variant == "okapi":
-        raw = F.log(n - df + 0.5) - F.log(df + 0.5)
-        floor = index.terms.crossJoin(F.broadcast(index.stats)).agg((F.avg(raw) * epsilon).alias("floor"))
-        found = _matches(index, queries).crossJoin(F.broadcast(floor))
-        idf = F.when(raw < 0, F.col("floor")).otherwise(raw)
+        raw_idf = lambda n, df: F.log(n - df + 0.5) - F.log(df + 0.5)
+        raw = raw_idf(n, df)
+        found = _matches(index, queries, index.summary(raw_idf))
+        idf = F.when(raw < 0, F.col("mean_idf") * epsilon).otherwise(raw)
         gain = idf * tf * (k1 + 1) / (tf + k1 * norm)
         scored = found.groupBy("query_id", "node_id").agg(F.round(F.sum(F.col("m") * gain), digits).alias("score"))
         return top_k(scored.where("score > 0"), k)

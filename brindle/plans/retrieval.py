@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import STOP_CHARACTERS, STOP_WORDS, tokens
 from brindle.operators import dense, fusion, index
-from brindle.operators.providers import HashedEmbedding
 
 from .registry import query, table
 
@@ -282,15 +281,6 @@ def dedup_max(spark, sf_dir):
     return fusion.dedup_max(part(first, 0).unionByName(part(second, 1))).select("query_id", "node_id", "score")
 
 
-@query()
-def hybrid_batch(spark, sf_dir):
-    docs, words = table(spark, sf_dir, "documents"), _queries(spark, sf_dir)
-    embed = HashedEmbedding(32).embed
-    vectors = docs.select(F.col("doc_id").alias("node_id"), embed(F.col("text")).alias("vector"))
-    asked = words.select("query_id", embed(F.col("query")).alias("q"))
-    return fusion.hybrid([dense.dense_hits(vectors, asked), index.bm25(_index(spark, sf_dir), words)])
-
-
 @query(SPARSE_SQL + f""", v AS (SELECT b.vec_id AS query_id, a.vec_id AS node_id, round({DOT}, 6) AS score FROM embeddings a CROSS JOIN embeddings b WHERE b.vec_id % 100 = 0),
 l AS (
   SELECT query_id, 0 AS list_idx, CAST(node_id AS VARCHAR) AS node_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, node_id) AS rank FROM v QUALIFY rank <= 10
