@@ -102,8 +102,11 @@ def scan_licenses(
         known += [(b, k) for b in bigrams]
         long.append((k, name, len(bigrams)))
     ratio = min_dice / (2 - min_dice)
-    grams = F.broadcast(spark.createDataFrame(known, "gram string, template_no int"))
-    sizes = F.broadcast(spark.createDataFrame(long, "template_no int, license string, n int"))
+    if not long:
+        known, long = [("", -1)], [(-1, "", 1)]  # nothing that a text could have
+    # Words of templates are letters and digits, so they need no escapes.
+    grams = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"('{b}', {k})" for b, k in known) + " AS t(gram, template_no)"))
+    sizes = F.broadcast(spark.sql("SELECT * FROM VALUES " + ", ".join(f"({k}, '{name}', {n})" for k, name, n in long) + " AS t(template_no, license, n)"))
     plain = F.trim(F.regexp_replace(F.lower(text_col), "[^a-z0-9]+", " "))
     rows = df.select(F.monotonically_increasing_id().alias("row"), F.col(id_col).alias("id"), F.explode(F.array(F.split(plain, " "))).alias("w"))
     follow = F.slice("w", F.lit(2), F.size("w") - 1)
