@@ -45,7 +45,7 @@ SMOOTHING = 0.5
 KEPT_BYTES = 7
 SAMPLE_ROWS = 1 << 13
 #: UTF-8 bytes of text in a block, about: a worker needs some 30 times as much.
-BLOCK_BYTES = 4_000_000
+BLOCK_BYTES = 2_000_000
 #: Bytes of packed sets in a slice of what is outside and of the texts it is compared with.
 ASKING_BYTES, ASKED_BYTES = 1 << 20, 4 << 20
 #: Groups of buckets up to which their numbers of slices are broadcast.
