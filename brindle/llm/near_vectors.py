@@ -11,7 +11,10 @@ Euclidean space the triangle inequality holds in a stronger form, which sets the
 replication: x is not nearer than (d(x, p_j)^2 - d(x, p_home)^2) / (2 d(p_home, p_j))
 to the plane beyond which p_j is the nearer pivot. Cells of more than
 ``BLOCK_ROWS`` rows are dealt to blocks by a hash, and each pair of blocks is a
-job of its own, so no task holds more than two blocks.
+job of its own, so no task holds more than two blocks. Where most vectors reach
+most cells (they are spread evenly in many dimensions), copies would cost more
+than the cells save, and the label is one cell. Single precision finds the
+pairs in question; double precision decides.
 
 Equal vectors are one class with a multiplicity, and jobs return counts and a
 spanning forest of their links, so a dense group is not expanded into pairs.
@@ -31,7 +34,9 @@ from .components import components
 
 MIN_COSINE = 0.93
 CELL_ROWS = 2000
-BLOCK_ROWS = 3000
+BLOCK_ROWS = 16_000
+#: Rows on each side of a tile of cosines: 4 MB in single precision.
+TILE_ROWS = 1024
 #: Pivots in all, at most: 2 MB at 64 components. They are collected and broadcast.
 MAX_PIVOTS = 4096
 
@@ -39,10 +44,22 @@ MAX_PIVOTS = 4096
 def _unit(column: pa.Array) -> np.ndarray:
     """Rows of double-precision unit vectors; all of one length."""
     flat = column.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-    rows = flat.reshape(len(column), -1)
+    rows = flat.reshape(len(column), len(flat) // max(1, len(column)))
     return rows / np.sqrt((rows * rows).sum(axis=1))[:, None]
 
 
+def _reached(x: np.ndarray, centres: np.ndarray, radius: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The home cell of each vector, and row and cell of all that it goes to: its home, and later ones that it may have a link in."""
+    d = np.sqrt(np.maximum(0, 2 - 2 * (x @ centres.T)))
+    own = d.argmin(axis=1)
+    nearest = d[np.arange(len(x)), own][:, None]
+    apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[own]
+    reach = d * d - nearest * nearest <= 2 * radius * apart + 1e-9
+    reach &= np.arange(len(centres))[None, :] > own[:, None]
+    reach[np.arange(len(x)), own] = True
+    return own, *np.nonzero(reach)
+
+
 def _cells(batches, pivots: dict, radius: float):
     """Home cell and copies of each vector: one row for each."""
     for batch in batches:
@@ -58,15 +75,7 @@ def _cells(batches, pivots: dict, radius: float):
                 cell += [0] * len(at)
                 home += [True] * len(at)
                 continue
-            x = _unit(batch.column(2).take(pa.array(at)))
-            d = np.sqrt(np.maximum(0, 2 - 2 * (x @ centres.T)))
-            own = d.argmin(axis=1)
-            nearest = d[np.arange(len(at)), own][:, None]
-            apart = np.sqrt(np.maximum(0, 2 - 2 * (centres @ centres.T)))[own]
-            reach = d * d - nearest * nearest <= 2 * radius * apart + 1e-9
-            reach &= np.arange(len(centres))[None, :] > own[:, None]
-            reach[np.arange(len(at)), own] = True
-            i, j = np.nonzero(reach)
+            own, i, j = _reached(_unit(batch.column(2).take(pa.array(at))), centres, radius)
             take += np.array(at)[i].tolist()
             cell += j.tolist()
             home += (own[i] == j).tolist()
@@ -77,36 +86,71 @@ def _cells(batches, pivots: dict, radius: float):
         )
 
 
+def _linked(x: np.ndarray, y: np.ndarray, min_cosine: float) -> tuple[np.ndarray, np.ndarray]:
+    """Which unit vectors of ``x`` and ``y`` have the cosine: single precision finds those in question, double precision decides."""
+    slack = (x.shape[1] + 4) * 2.0**-23
+    i, j = np.nonzero(x.astype(np.float32) @ y.astype(np.float32).T >= min_cosine - slack)
+    if len(i) * 8 > len(x) * len(y):
+        return np.nonzero(x @ y.T >= min_cosine)
+    sure = np.concatenate([np.zeros(0, bool), *((x[i[a : a + 16384]] * y[j[a : a + 16384]]).sum(axis=1) >= min_cosine for a in range(0, len(i), 16384))])
+    return i[sure], j[sure]
+
+
+def _tie(root: np.ndarray, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """The least row that each row is connected with, after more links."""
+    while True:
+        a, b = root[i], root[j]
+        apart = a != b
+        if not apart.any():
+            return root
+        i, j, a, b = i[apart], j[apart], a[apart], b[apart]
+        np.minimum.at(root, np.maximum(a, b), np.minimum(a, b))
+        while (root[root] != root).any():
+            root = root[root]
+
+
 def _join_job(table: pa.Table, min_cosine: float) -> pa.Table:
-    """Links in one job: a row for each vector that has any, with the linked rows and the least id it is connected with."""
+    """Links in one job: a row for each vector that has any, with the linked rows and the least id it is connected with.
+
+    Only pairs with a row at home are compared, each once, in tiles: what a job holds grows with its rows.
+    """
     table = table.sort_by("rep")
     rep, copies = table.column("rep").to_numpy(), table.column("copies").to_numpy()
     home = table.column("home").to_numpy(zero_copy_only=False)
     block, low, high = (table.column(c).to_numpy() for c in ("block", "low", "high"))
     x = _unit(table.column("vector").combine_chunks())
-    linked = np.empty((len(rep), len(rep)), bool)
-    for a in range(0, len(rep), 1024):
-        linked[a : a + 1024] = x[a : a + 1024] @ x.T >= min_cosine
-    np.fill_diagonal(linked, False)
-    linked &= home[:, None] | home[None, :]
-    if low[0] != high[0]:
-        linked &= block[:, None] != block[None, :]
-    linked |= linked.T
-    links = _by_rows(linked, lambda rows: rows @ copies)
+    links, root = np.zeros(len(rep), np.int64), np.arange(len(rep))
+
+    def compare(left: np.ndarray, right: np.ndarray, same: bool = False) -> None:
+        nonlocal root
+        for a in range(0, len(left), TILE_ROWS):
+            rows = left[a : a + TILE_ROWS]
+            for b in range(a if same else 0, len(right), TILE_ROWS):
+                others = right[b : b + TILE_ROWS]
+                i, j = _linked(x[rows], x[others], min_cosine)
+                if same and a == b:
+                    i, j = i[i < j], j[i < j]
+                if len(i):
+                    i, j = rows[i], others[j]
+                    np.add.at(links, i, copies[j])
+                    np.add.at(links, j, copies[i])
+                    root = _tie(root, i, j)
+
+    at = lambda of, where: np.flatnonzero((block == of) & (home == where))
+    first, second = low[0], high[0]
+    if first == second:
+        compare(at(first, True), at(first, True), True)
+        compare(at(first, True), at(first, False))
+    else:
+        compare(at(first, True), np.flatnonzero(block == second))
+        compare(at(first, False), at(second, True))
     some = np.flatnonzero(links)
-    linked, root = linked[np.ix_(some, some)], np.arange(len(some))
-    while len(some):
-        least = np.minimum(root, _by_rows(linked, lambda rows, root=root: np.where(rows, root[None, :], len(some)).min(axis=1)))
-        least = least[least]
-        if (least == root).all():
-            break
-        root = least
-    return pa.table([pa.array(rep[some]), pa.array(links[some]), pa.array(rep[some][root])], names=["rep", "links", "root"])
+    return pa.table([pa.array(rep[some]), pa.array(links[some]), pa.array(rep[root[some]])], names=["rep", "links", "root"])
 
 
-def _by_rows(matrix: np.ndarray, function) -> np.ndarray:
-    """``function`` of the rows, some at a time: it may need eight bytes for each bit."""
-    return np.concatenate([np.zeros(0, np.int64), *(function(matrix[a : a + 256]) for a in range(0, len(matrix), 256))])
+def _prunes(pivots: np.ndarray, probes: np.ndarray, radius: float) -> bool:
+    """Whether the cells of ``pivots`` save at least half of the comparisons: judged by the cells that vectors which are no pivots reach."""
+    return len(probes) > 0 and 4 * len(_reached(probes, pivots, radius)[1]) <= len(probes) * len(pivots)
 
 
 def near_vectors(
@@ -160,13 +204,16 @@ def _near_vectors(df: DataFrame, id_col: str, vector_col: str, label_col: str, m
     cell_rows = max(CELL_ROWS, -(-total // (MAX_PIVOTS // 2)))
     large = sizes.where(F.col("n") > cell_rows)
     spin = (F.xxhash64(F.lit(9), "rep").cast("double") / float(1 << 64)) + 0.5
-    chosen = classes.join(large, "group").where(spin < F.lit(1.0) / cell_rows).select("group", "rep", "vector").limit(MAX_PIVOTS).toArrow()
+    # As many others tell whether they prune: where they would not, a group is one cell, and its rows are copied to block pairs only.
+    drawn = classes.join(large, "group").where(spin < F.lit(2.0) / cell_rows).select("group", "rep", "vector", (spin < F.lit(1.0) / cell_rows).alias("pivot")).limit(2 * MAX_PIVOTS).toArrow()
     pivots: dict = {}
-    if chosen.num_rows:
-        chosen = chosen.sort_by("rep")
-        names = np.array(chosen.column("group").to_pylist())
-        for g in set(names.tolist()):
-            pivots[g] = _unit(chosen.filter(pa.array(names == g)).column("vector").combine_chunks())
+    if drawn.num_rows:
+        drawn = drawn.sort_by("rep")
+        names, chosen = np.array(drawn.column("group").to_pylist()), drawn.column("pivot").to_numpy(zero_copy_only=False)
+        for g in set(names[chosen].tolist()):
+            centres, probes = (_unit(drawn.filter(pa.array((names == g) & side)).column("vector").combine_chunks()) for side in (chosen, ~chosen))
+            if _prunes(centres, probes, radius):
+                pivots[g] = centres
     shared = df.sparkSession.sparkContext.broadcast(pivots)
 
     slim = classes.select("group", "rep", "vector", "copies")
