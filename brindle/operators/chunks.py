@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import estimated_tokens, node_id, sentences
 
-from . import dense
+from .runs import gathered
 
 
 def greedy_groups(items: Column, size: Callable[[Column], Column], limit: int) -> Column:
@@ -175,8 +175,17 @@ def auto_merge(hits: DataFrame, nodes: DataFrame, ratio: float = 0.4) -> DataFra
 
 def merge_small(groups: Column, small: Callable[[Column], Column]) -> Column:
     """Groups of which a small one, other than the first, joins the one before it."""
-    step = lambda done, g: F.when((F.size(done) > 0) & small(g), F.concat(F.slice(done, F.lit(1), F.size(done) - 1), F.array(F.concat(F.element_at(done, -1), g)))).otherwise(F.concat(done, F.array(g)))
-    return F.aggregate(groups, F.array().cast("array<array<string>>"), step)
+    begins = F.transform(groups, lambda g, k: F.when((k > 0) & ~F.coalesce(small(g), F.lit(False)), k).otherwise(0))
+    cuts = F.concat(F.array(F.lit(0)), F.filter(begins, lambda k: k > 0), F.array(F.size(groups)))
+    joined = F.transform(F.array(cuts), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.slice(groups, F.element_at(c, i) + 1, F.element_at(c, i + 1) - F.element_at(c, i))))[0]
+    return F.transform(F.filter(joined, lambda g: F.size(g) > 0), F.flatten)
+
+
+def cut_at(items: Column, flags: Column) -> Column:
+    """Groups of consecutive items; a group ends after an item whose flag is set."""
+    ends = F.concat(F.filter(F.transform(flags, lambda f, k: F.when(f, k + 1).otherwise(0)), lambda e: e > 0), F.array(F.size(items)))
+    bounds = F.transform(F.array(F.concat(F.array(F.lit(0)), ends)), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.slice(items, F.element_at(c, i) + 1, F.element_at(c, i + 1) - F.element_at(c, i))))[0]
+    return F.filter(bounds, lambda g: F.size(g) > 0)
 
 
 def tidy_groups(groups: Column, min_chars: int, max_chars: int) -> Column:
@@ -253,16 +262,28 @@ def semantic(docs: DataFrame, embedding, *, buffer_size: int = 1, percentile: fl
     side; a node ends where the distance to the next exceeds the document's
     percentile of distances, so a larger percentile cuts less.
     """
+    groups = _semantic_groups(docs, embedding, buffer_size, percentile)
+    return groups.select("doc_id", F.posexplode(F.transform("groups", lambda g: F.array_join(g, " "))).alias("pos", "text"))
+
+
+def _semantic_groups(docs: DataFrame, embedding, buffer_size: int = 1, percentile: float = 95.0) -> DataFrame:
+    """``doc_id`` and ``groups`` of its sentences. A document's distances stay in its row: no shuffle, no window."""
     rows = sentence_window(docs, buffer_size).withColumn("vector", embedding.embed(F.col("window")))
-    parts = dense.percentile_breaks(dense.adjacent_similarity(rows, "doc_id", "pos", "vector"), "doc_id", "pos", percentile)
-    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: x["text"]), " ")
-    return parts.groupBy("doc_id", F.col("part").cast("int").alias("pos")).agg(joined.alias("text"))
+    found = gathered(rows, "doc_id", ["text"], vector="vector")
+    far = F.array_sort(F.transform(F.filter("sims", lambda s: s.isNotNull()), lambda s: 1 - s))
+    ranked = found.select("doc_id", "text", "sims", F.explode(F.array(far)).alias("far"))
+    at = (F.size("far") - 1) * F.lit(percentile / 100)
+    low, high = F.get("far", F.floor(at).cast("int")), F.get("far", F.ceil(at).cast("int"))
+    limit = F.when(low == high, low).otherwise((F.ceil(at) - at) * low + (at - F.floor(at)) * high)
+    limited = ranked.select("doc_id", "text", "sims", F.explode(F.array(F.round(limit, 9))).alias("limit"))
+    flags = F.transform("sims", lambda s: F.coalesce(F.round(1 - s, 9) > F.col("limit"), F.lit(False)))
+    return limited.select("doc_id", F.explode(F.array(cut_at(F.col("text"), flags))).alias("groups"))
 
 
 def semantic_dual(docs: DataFrame, embedding, *, max_tokens: int = 512, min_tokens: int = 50, **options) -> DataFrame:
     """Semantic nodes; short ones join the one before, and long ones are cut at sentence ends."""
-    nodes = semantic(docs, embedding, **options)
-    lists = nodes.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.array(x["text"])).alias("groups"))
+    nodes = _semantic_groups(docs, embedding, **options)
+    lists = nodes.select("doc_id", F.explode(F.array(F.transform("groups", lambda g: F.array(F.array_join(g, " "))))).alias("groups"))
     merged = lists.select("doc_id", F.explode(F.array(merge_small(F.col("groups"), lambda g: estimated_tokens(F.array_join(g, " ")) < min_tokens))).alias("groups"))
     texts = F.transform("groups", lambda g: F.array_join(g, " "))
     pieces = merged.select("doc_id", F.posexplode(texts).alias("part", "text")).select("doc_id", "part", F.explode(F.array(sentences("text"))).alias("items"))

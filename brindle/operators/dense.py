@@ -115,6 +115,21 @@ def _exact(rows: dict, asked: dict, i: np.ndarray, j: np.ndarray, n_rows: int, n
     return out
 
 
+def cosine_of_rows(groups: dict[int, tuple[np.ndarray, np.ndarray]], rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """The cosine of each row with the next one, as ``adjacent_similarity`` works it out, and whether there is one."""
+    out, known = np.zeros(rows), np.zeros(rows, bool)
+    total = lambda x: np.cumsum(x, axis=1)[:, -1] if x.shape[1] else np.zeros(len(x))
+    with np.errstate(all="ignore"):
+        for at, x in groups.values():
+            for a in range(0, len(at), 16384):
+                i, v = at[a : a + 16385], x[a : a + 16385]
+                norm = np.sqrt(total(v * v)) + EPSILON
+                next_to = np.flatnonzero(i[1:] == i[:-1] + 1)
+                out[i[next_to]] = total(v[next_to] * v[next_to + 1]) / (norm[next_to] * norm[next_to + 1])
+                known[i[next_to]] = True
+    return out, known
+
+
 def adjacent_similarity(rows: DataFrame, group_col: str, order_col: str, vector_col: str) -> DataFrame:
     """``sim``: the cosine of each row's vector with the next one's in its group; null at the end."""
     following = F.lead(vector_col).over(Window.partitionBy(group_col).orderBy(order_col))

@@ -3,7 +3,7 @@
 A model is a provider whose ``complete`` takes a prompt column (see
 ``providers``), so that it may be an expression, an Arrow UDF or a remote call.
 Prompts are rows, documents are not: what a model answers comes back to its
-document by one aggregation.
+document where it stands, as a document's prompts follow each other.
 """
 
 from __future__ import annotations
@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from brindle.functions.text import flags_reply, node_id, propositions_reply, sentences, truncated
 
-from . import dense
-from .chunks import greedy_groups, merge_small
+from .chunks import cut_at, greedy_groups, merge_small
+from .runs import gathered
 
 #: Characters of a sentence in a boundary prompt, of a statement in a confirmation, and below which a paragraph is a statement itself.
 SENTENCE_CHARS, STATEMENT_CHARS, SHORT_PARAGRAPH = 300, 200, 30
@@ -44,16 +44,8 @@ def boundaries(docs: DataFrame, provider, batch_size: int = 8) -> DataFrame:
     asked = boundary_batches(docs, batch_size).withColumn("reply", F.coalesce(provider.complete(F.col("prompt")), F.lit("")))
     # Each batch brings its own sentences; its extra one is the next batch's first.
     own = F.when(F.col("last"), F.col("items")).otherwise(F.slice("items", F.lit(1), F.size("items") - 1))
-    parts = asked.select("doc_id", F.struct("batch", own.alias("own"), flags_reply("reply", F.size("items") - 1).alias("flags")).alias("x"))
-    joined = parts.groupBy("doc_id").agg(F.array_sort(F.collect_list("x")).alias("xs"))
-    return joined.select("doc_id", F.flatten(F.transform("xs", lambda x: x["own"])).alias("sentences"), F.flatten(F.transform("xs", lambda x: x["flags"])).alias("flags"))
-
-
-def cut_at(items: Column, flags: Column) -> Column:
-    """Groups of consecutive items; a group ends after an item whose flag is set."""
-    ends = F.concat(F.filter(F.transform(flags, lambda f, k: F.when(f, k + 1).otherwise(0)), lambda e: e > 0), F.array(F.size(items)))
-    bounds = F.transform(F.array(F.concat(F.array(F.lit(0)), ends)), lambda c: F.transform(F.sequence(F.lit(1), F.size(c) - 1), lambda i: F.slice(items, F.element_at(c, i) + 1, F.element_at(c, i + 1) - F.element_at(c, i))))[0]
-    return F.filter(bounds, lambda g: F.size(g) > 0)
+    parts = asked.select("doc_id", own.alias("sentences"), flags_reply("reply", F.size("items") - 1).alias("flags"))
+    return gathered(parts, "doc_id", ["sentences", "flags"])
 
 
 def split_by_llm(docs: DataFrame, provider, *, batch_size: int = 8, min_chars: int = 200, max_chars: int = 2000) -> DataFrame:
@@ -107,17 +99,25 @@ def split_agentic(
     asked about gaps that are in question.
     """
     parts = propositions(paragraphs_of(docs), provider)
-    listed = parts.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("par", "n", "text"))), lambda x: x["text"]).alias("items"))
-    rows = listed.select("doc_id", F.posexplode("items").alias("n", "text")).withColumn("vector", embedding.embed(F.col("text")))
-    marked = dense.topic_breaks(dense.adjacent_similarity(rows, "doc_id", "n", "vector"), "doc_id", "n", threshold=threshold, window=window)
-    doubtful = marked.where("breaks").select("doc_id", "n")
+    rows = parts.withColumn("vector", embedding.embed(F.col("text")))
+    found = gathered(rows, "doc_id", ["text"], vector="vector").withColumnRenamed("text", "items")
+
+    def low(sim: Column, k: Column) -> Column:
+        first = F.greatest(k - window, F.lit(0))
+        near = F.filter(F.slice("sims", first + 1, k + window - first + 1), lambda s: s.isNotNull())
+        mean = F.aggregate(near, F.lit(0.0), lambda a, b: a + b) / F.nullif(F.size(near), F.lit(0))
+        return F.when(sim.isNotNull() & (F.round(mean, 9) < threshold), k + 1).otherwise(0)
+
+    marked = found.select("doc_id", "items", F.explode(F.array(F.filter(F.transform("sims", low), lambda e: e > 0))).alias("ends"))
     if confirm:
-        asked = doubtful.join(listed, "doc_id").withColumn("reply", provider.complete(confirm_prompt(F.col("items"), F.col("n") + 1)))
-        doubtful = asked.where(F.coalesce(F.lower(F.trim("reply")).startswith("true"), F.lit(False))).select("doc_id", "n")
-    ends = doubtful.groupBy("doc_id").agg(F.array_sort(F.collect_list(F.col("n") + 1)).alias("ends"))
-    whole = listed.join(ends, "doc_id", "left").withColumn("ends", F.coalesce("ends", F.array().cast("array<int>")))
-    flags = F.transform("items", lambda _, k: F.array_contains("ends", k + 1))
-    groups = whole.select("doc_id", F.explode(F.array(cut_at(F.col("items"), F.slice(flags, F.lit(1), F.size("items") - 1)))).alias("groups"))
+        # Each gap in question is a row; the first of a document brings its statements along.
+        gaps = marked.select("doc_id", "items", F.posexplode_outer("ends").alias("j", "end"))
+        prompt = F.when(F.col("end").isNotNull(), confirm_prompt(F.col("items"), F.col("end")))
+        asked = gaps.select("doc_id", F.when(F.coalesce("j", F.lit(0)) == 0, F.col("items")).alias("items"), "end", prompt.alias("prompt")).withColumn("reply", provider.complete(F.col("prompt")))
+        agreed = asked.select("doc_id", "items", F.when(F.coalesce(F.lower(F.trim("reply")).startswith("true"), F.lit(False)), F.col("end")).alias("ends"))
+        marked = gathered(agreed, "doc_id", ["ends"], keep=["items"])
+    flags = F.transform("items", lambda _, k: F.coalesce(F.array_contains("ends", k + 1), F.lit(False)))
+    groups = marked.select("doc_id", F.explode(F.array(cut_at(F.col("items"), F.slice(flags, F.lit(1), F.size("items") - 1)))).alias("groups"))
     merged = groups.select("doc_id", F.explode(F.array(merge_small(F.col("groups"), lambda g: F.size(g) < min_statements))).alias("groups"))
     return _nodes(merged, max_chars, " ", "agentic")
 

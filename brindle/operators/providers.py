@@ -43,7 +43,7 @@ class LetterEmbedding:
 
     def embed(self, text: Column) -> Column:
         low = F.lower(F.coalesce(text, F.lit("")))
-        return F.transform(F.array(low), lambda t: F.array(*[(F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"]))[0]
+        return F.transform(F.array(low), lambda t: F.array(*[(F.octet_length(t) - F.octet_length(F.replace(t, F.lit(c), F.lit("")))).cast("double") for c in "abcdefghijklmnopqrstuvwxyz"]))[0]
 
 
 class RuleModel:

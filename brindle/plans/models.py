@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from brindle.functions.text import sentences
 from brindle.operators import chunks, modeled
 from brindle.operators.providers import LetterEmbedding, RuleModel
 
@@ -178,6 +179,6 @@ m AS (SELECT doc_id, {MERGED.format(small="length(array_to_string(x[1], '')) < 1
 p AS (SELECT doc_id, {PIECES.format(used="length(array_to_string(acc[len(acc)], ''))", size="length(y[1][1])", limit=300)} AS p FROM m)
 SELECT doc_id, CAST(i - 1 AS INT) AS pos, array_to_string(p[i], '') AS text FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS i FROM p)""")
 def merge_small_split_large(spark, sf_dir):
-    rows = chunks.sentence_nodes(_docs(spark, sf_dir)).groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "text"))), lambda x: F.array(x["text"])).alias("groups"))
+    rows = _docs(spark, sf_dir).select("doc_id", F.explode(F.array(F.transform(sentences("text"), lambda s: F.array(s)))).alias("groups"))
     tidy = rows.select("doc_id", F.posexplode(chunks.tidy_groups(F.col("groups"), 100, 300)).alias("pos", "group"))
     return tidy.select("doc_id", "pos", F.array_join("group", "").alias("text"))
